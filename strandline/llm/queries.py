@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, langid, lmscore, packing, tokenbin, tokencount, toxicity
+from . import ann, chat, decontaminate, jaccard, langid, lmscore, packing, sql, tokenbin, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,4 +59,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_packing, op4_nearest, op5_chat, op6_token_files, op7_toxicity, op8_lm_scoring, op9_token_counts, op10_jaccard_join)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_decontamination": sql.DECONTAMINATION, "op5_chat": sql.CHAT, "op10_jaccard_join": sql.JACCARD}
