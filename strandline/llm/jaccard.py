@@ -9,8 +9,10 @@ So every link counts and none is lost between texts that meet, but no step emits
 
 Defined cases: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a text of fewer than n words, but not
 none, has one n-gram of all its words. Null and wordless texts link to nothing. The class id is the smallest doc_id that links
-lead to. Equal texts are links of similarity 1; n_links counts documents. Repeated ids are rows of their own; rows with a null id
-are left out. An empty table gives no rows. Extra columns are kept by ``keep_one`` only.
+lead to. Equal texts are links of similarity 1; n_links counts documents. Repeated rows are rows of their own in ``link``; in ``keep_one``
+rows of one id are one document, and one of them stays. Ids are keys: of rows with one id and different texts, one text is
+verified. Rows with a null id are left out of ``link`` and stay in ``keep_one``. An empty table gives no rows. Extra columns are
+kept by ``keep_one`` only.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, flat, materialise, runs, text_column
+from .common import WORD_BYTES, flat, materialise, runs, spare, text_column
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TABLE = np.frombuffer(WORD_BYTES, np.uint8)
@@ -279,7 +281,7 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
         own, ids, copies, sizes = own[order], ids[order], copies[order], sizes[order]
         starts = np.concatenate([[0], np.cumsum(sizes)])
         mark, links, forest = np.zeros(len(values), np.uint8), np.zeros(len(ids), np.int64), Forest(len(ids))
-        same_block = (own == own[0]).all()
+        same_block = c["i"][0] == c["j"][0]
         for k in range(len(ids) - 1):
             mine = code[starts[k] : starts[k + 1]]
             mark[mine] = 1
@@ -344,6 +346,9 @@ def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The row with the smallest id of each group, with the same columns; rows without an id stay."""
-    gone = link(docs, **options).where("class_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
+    name = spare(docs, "__gone")
+    gone = link(docs, **options).where("class_id != doc_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone[name], "left_anti")
+    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
     return kept.select(*docs.columns)
