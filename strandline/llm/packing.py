@@ -60,12 +60,14 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
         return keys[at] if at >= 0 else 0
 
     def pair_above(j: int, room: int, least: int) -> bool:
-        lo, hi = 0, bisect.bisect_right(keys, room) - 1
+        """Whether two pieces beside one copy of j come to more than ``least`` and still fit."""
+        have = [k for k in keys if k <= room and left[k] > (k == j)]
+        lo, hi = 0, len(have) - 1
         while lo <= hi:
-            total = keys[lo] + keys[hi]
+            total = have[lo] + have[hi]
             if total > room:
                 hi -= 1
-            elif total > least and left[keys[lo]] - (keys[lo] == j) >= 1 + (lo == hi) and left[keys[hi]] - (keys[hi] == j) >= 1 + (lo == hi):
+            elif total > least and (lo < hi or left[have[lo]] - (have[lo] == j) > 1):
                 return True
             else:
                 lo += 1
