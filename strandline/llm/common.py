@@ -82,6 +82,14 @@ def labelled_sample(labels: DataFrame, column: str, limit: int, holdout: tuple[i
     return kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that df doesn't have yet (names don't differ by case alone)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_id() -> Column:
     """A number for each row of a scan, stable under retries as long as the input splits are."""
     return F.monotonically_increasing_id()

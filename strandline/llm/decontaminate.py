@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import spare, words
 
 WINDOW = 10
 #: Distinct windows that one pass searches for, about 200 bytes each: a block of patterns is at most some 20 MB.
@@ -109,16 +109,15 @@ def search(tables: Broadcast):
     return run.asNondeterministic()
 
 
-def found(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs with a column ``__found``: words, disjoint hit ranges [start, end) in words, and the sorted items with occurrences."""
+def found(docs: DataFrame, benchmark: DataFrame, name: str, width: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs with a column of this name: words, disjoint hit ranges [start, end) in words, and the sorted items with occurrences."""
     spark = docs.sparkSession
-    out = docs.withColumn("__found", F.lit(None).cast(FOUND))
+    out = docs.withColumn(name, F.lit(None).cast(FOUND))
     blocks = pattern_blocks(benchmark, width, block_windows)
     block = next(blocks, {})
     while block is not None:
         tables = spark.sparkContext.broadcast(searchers(block))
-
-        out = out.withColumn("__found", search(tables)(F.col("text"), F.col("__found")))
+        out = out.withColumn(name, search(tables)(F.col("text"), F.col(name)))
         block = next(blocks, None)
     return out
 
@@ -135,7 +134,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit ranges as arrays ``starts`` and ``ends``."""
-    got = found(docs.select("doc_id", "text"), benchmark, width, block_windows)
+    got = found(docs.select("doc_id", "text"), benchmark, "__found", width, block_windows)
     hit = F.aggregate(F.zip_with("__found.ends", "__found.starts", lambda b, a: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y)
     return got.select(
         "doc_id", F.col("__found.n_words").alias("n_words"), hit.alias("n_hit"), F.size("__found.items").cast("bigint").alias("n_items"),
@@ -146,4 +145,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows without any benchmark window, with the same columns."""
-    return found(docs, benchmark, **options).where(F.size("__found.starts") == 0).select(*docs.columns)
+    name = spare(docs, "__found")
+    return found(docs, benchmark, name, **options).where(F.size(F.col(name)["starts"]) == 0).select(*docs.columns)

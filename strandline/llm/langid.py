@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, remainder, runs
+from .common import flat, remainder, runs, spare
 
 #: Families of common languages by code. A language that is not listed forms a family of its own.
 FAMILIES = {
@@ -202,8 +202,9 @@ def keep_identified(docs: DataFrame, langs: list[str] | None = None, min_score:
     """The rows with a language (one of ``langs``, if given) of at least ``min_score``, with the same columns."""
     held = remainder("doc_id", 3) == 1
     model = fit(docs.where(F.coalesce(~held, F.lit(True))), **options)
-    got = docs.withColumn("__lang", language(F.col("text"), model))
-    want = (F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= min_score)
+    name = spare(docs, "__lang")
+    got = docs.withColumn(name, language(F.col("text"), model))
+    want = (F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= min_score)
     if langs is not None:
-        want &= F.col("__lang.lang_pred").isin(langs)
+        want &= F.col(name)["lang_pred"].isin(langs)
     return got.where(want).select(*docs.columns)
