@@ -95,7 +95,7 @@ def tsne(data: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int
     y = 1e-4 * u[:, 0] * np.sign(u[np.abs(u[:, 0]).argmax(), 0]) / max(1e-12, u[:, 0].std())
     y = y + 1e-6 * np.random.default_rng(seed).standard_normal(len(y))
     step, gain = np.zeros(len(y)), np.ones(len(y))
-    rate = max(50.0, len(y) / 12)
+    rate = max(10.0, len(y) / 12)
     for it in range(rounds):
         diff = y[:, None] - y
         w = 1 / (1 + diff**2)
