@@ -1 +1 @@
-
+"""Models and operators on observation matrices."""

@@ -1 +1 @@
-
+"""Reading and checking observation matrices."""

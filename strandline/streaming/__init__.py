@@ -1 +1 @@
-
+"""Scoring streams (an extension)."""
