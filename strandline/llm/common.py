@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def runs(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of at most ``most`` bytes in all; a longer text is a range of its own."""
     start, n = 0, len(offsets) - 1
     while start < n:
@@ -60,6 +61,21 @@ def runs(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def tidy(batches: Iterable) -> Iterator:
+    """The batches; at their end, freed memory goes back to the system, as an idle Python worker keeps what it holds."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def each(texts: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts one after the other, without a list of a whole batch."""
+    for at in range(0, len(texts), rows):
+        yield from texts.slice(at, rows).to_pylist()
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text after lower-casing A-Z, as UTF-8."""
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []

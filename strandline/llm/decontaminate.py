@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare, words
+from .common import spare, tidy, words
 
 WINDOW = 10
 #: Distinct windows that one pass searches for, about 200 bytes each: a block of patterns is at most some 20 MB.
@@ -92,7 +92,7 @@ def search(tables: Broadcast):
 
     @F.arrow_udf(FOUND)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, before in batches:
+        for texts, before in tidy(batches):
             rows = []
             for text, old in zip(texts, before):
                 w = words(text.as_py())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, flat, materialise, runs, spare, text_column
+from .common import WORD_BYTES, flat, materialise, runs, spare, text_column, tidy
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TABLE = np.frombuffer(WORD_BYTES, np.uint8)
@@ -35,6 +35,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 SLACK = 5.0
 #: Rows of a bucket in one block, and n-grams of candidates in one block.
 BUCKET_ROWS, BLOCK_GRAMS = 1024, 1 << 18
+#: Parts over which the rows of one key are spread before a join with the key's one row.
+SALTS = 16
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
@@ -115,10 +117,10 @@ def signatures(h: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, n: int, nb: int, nr: int) -> DataFrame:
-    """doc_id, key (hashes of the word sequence; null if wordless), bands (hash of each), sig (a byte of each minimum)."""
+    """doc_id, key (hashes of the word sequence; null if wordless), grams (how many), bands (hash of each), sig (a byte of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             data, off = flat(batch.column(1))
             for i, j in runs(off):
                 h, goff, w, at = grams(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
@@ -138,15 +140,15 @@ def sketch(docs: DataFrame, n: int, nb: int, nr: int) -> DataFrame:
                 some = np.diff(at) > 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[i:j], pa.array([raw[16 * d : 16 * d + 16] if ok else None for d, ok in enumerate(some)], pa.binary()),
+                        batch.column(0)[i:j], pa.array([raw[16 * d : 16 * d + 16] if ok else None for d, ok in enumerate(some)], pa.binary()), pa.array(np.diff(goff)),
                         pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * nb), pa.array(band.view(np.int64).ravel())),
                         pa.array([s.tobytes() for s in (sig >> np.uint32(24)).astype(np.uint8)], pa.binary()),
                     ],
-                    ["doc_id", "key", "bands", "sig"],
+                    ["doc_id", "key", "grams", "bands", "sig"],
                 )
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>, sig binary")
+    return rows.mapInArrow(run, "doc_id bigint, key binary, grams bigint, bands array<bigint>, sig binary")
 
 
 class Forest:
@@ -189,7 +191,7 @@ def by_key(df: DataFrame, keys: list[str], work: Callable[[dict], Iterator[pa.Re
             if out is not None:
                 yield out
 
-        for batch in batches:
+        for batch in tidy(batches):
             if not batch.num_rows:
                 continue
             cols = [batch.column(names.index(k)).to_numpy(zero_copy_only=False) for k in keys]
@@ -213,11 +215,10 @@ def candidate_edges(reps: DataFrame, nb: int, nr: int, threshold: float) -> Data
     """a, b: spanning forests of the candidates in all buckets."""
     size = nb * nr
     least = size * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / size))
-    rows = reps.select("doc_id", "sig", F.posexplode("bands").alias("band", "hash"))
-    bucket = F.xxhash64("band", "hash").alias("bucket")
-    keys = rows.select("doc_id", bucket)
+    # Most texts share no bucket: only ids go to find those that do, and signatures then join these.
+    keys = reps.select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
     full = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.select("doc_id", "sig", bucket).join(full, "bucket")
+    rows = keys.join(full, "bucket").join(reps.select("doc_id", "sig"), "doc_id")
     blocks = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
     rows = rows.select("bucket", "doc_id", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -245,8 +246,10 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 50) -> DataFra
     edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        # A hub's edges are spread over salts before they meet its one row.
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        upper = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = upper.join(low, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(down.select("a", F.col("m").alias("b")))
         new = materialise(small.distinct(), "edges")
@@ -261,10 +264,8 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 50) -> DataFra
 
 
 def verified(sets: DataFrame, threshold: float) -> DataFrame:
-    """From doc_id, copies, root, grams (sorted, distinct): rows (a, b, links): a's links in a block pair (b null), or a forest edge (links 0)."""
-    blocks = sets.groupBy("root").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_GRAMS).cast("int").alias("blocks"), F.count("*").alias("n"))
-    rows = sets.join(blocks.where("n > 1"), "root")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
+    """From doc_id, copies, root, blocks, grams (sorted, distinct): rows (a, b, links): a's links in a block pair, or a forest edge (links 0)."""
+    rows = sets.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
     rows = rows.select("root", "doc_id", "copies", "grams", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "copies", "grams")
 
@@ -303,11 +304,11 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, copies, root, grams of rows (doc_id, copies, root, text)."""
+    """doc_id, copies, root, blocks, grams of rows with a text in the place of grams."""
 
     @F.arrow_udf("array<bigint>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             data, off = flat(batch)
             parts, ends = [], [0]
             for i, j in runs(off):
@@ -317,7 +318,7 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
                     ends.append(ends[-1] + len(parts[-1]))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
-    return docs.select("doc_id", "copies", "root", sets.asNondeterministic()("text").alias("grams"))
+    return docs.select("doc_id", "copies", "root", "blocks", sets.asNondeterministic()("text").alias("grams"))
 
 
 def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -325,11 +326,14 @@ def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     spark = docs.sparkSession
     nb, nr = bands(threshold, recall)
     table = materialise(sketch(docs, n, nb, nr), "sketch")
-    classes = materialise(table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("grams").alias("grams"))
+    classes = materialise(classes, "classes")
     # One row for each class: its smallest id; equal ids of equal texts have equal sketches.
     reps = table.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key", "doc_id"])
     near = materialise(components(spark, candidate_edges(reps, nb, nr, threshold)), "near")
-    wanted = near.join(classes.select(F.col("rep").alias("node"), "copies", "key"), "node").select(F.col("node").alias("doc_id"), "copies", "root")
+    wanted = near.join(classes.select(F.col("rep").alias("node"), "copies", "grams"), "node").select(F.col("node").alias("doc_id"), "copies", "root", "grams")
+    blocks = wanted.groupBy("root").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    wanted = wanted.join(blocks, "root").select("doc_id", "copies", "root", "blocks")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column(docs).alias("text")).join(wanted, "doc_id").dropDuplicates(["doc_id"])
     found = materialise(verified(gram_sets(texts, n), threshold), "links")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
@@ -337,9 +341,8 @@ def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     of = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("a", "rep"), "rep", "left")
     of = of.select("key", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     # Rows of one class are spread over salts before they meet its one row, so that a large class isn't one task.
-    salts = 16
-    salted = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = table.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    salted = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = table.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     keyed = rows.where("key is not null").join(salted, ["key", "salt"]).select("doc_id", "class_id", "n_links")
     return keyed.unionByName(rows.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 

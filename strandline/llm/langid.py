@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, remainder, runs, spare
+from .common import flat, remainder, runs, spare, tidy
 
 #: Families of common languages by code. A language that is not listed forms a family of its own.
 FAMILIES = {
@@ -59,6 +59,12 @@ def frequencies(data: np.ndarray) -> np.ndarray:
     return counts / max(1.0, counts.sum())
 
 
+def packed(vector: np.ndarray) -> bytes:
+    """Positions (two bytes) and values (four bytes) of the entries other than 0."""
+    at = np.flatnonzero(vector)
+    return at.astype(np.uint16).tobytes() + vector[at].astype(np.float32).tobytes()
+
+
 def linear_sums(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Mean weight over the n-grams of each text, for each machine: (texts, machines). N-grams that cross texts don't count."""
     out = np.zeros((len(offsets) - 1, len(weights)))
@@ -144,14 +150,17 @@ def fit(rows: DataFrame, max_per_lang: int = 400, families: dict[str, list[str]]
 
     @F.arrow_udf("binary")
     def vector(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             data, off = flat(batch)
-            yield pa.array([frequencies(data[off[i] : off[i + 1]]).astype(np.float32).tobytes() for i in range(len(batch))], pa.binary())
+            yield pa.array([packed(frequencies(data[off[i] : off[i + 1]])) for i in range(len(batch))], pa.binary())
 
     drawn = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
     got = drawn.select("lang", "draw", vector.asNondeterministic()("text").alias("v")).toPandas().sort_values("draw", kind="stable")
     got = got.groupby("lang").head(max_per_lang)
-    x = np.stack([np.frombuffer(v, np.float32) for v in got["v"]])
+    x = np.zeros((len(got), 1 << BITS), np.float32)
+    for row, v in zip(x, got["v"]):
+        at = np.frombuffer(v, np.uint16, len(v) // 6)
+        row[at] = np.frombuffer(v, np.float32, offset=len(v) - 4 * len(at)) if len(at) else 0
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
     x *= scale
     gram, lang = x @ x.T + 1, got["lang"].to_numpy()
@@ -174,7 +183,7 @@ def language(text: Column, model: LanguageModel) -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             langs, scores = [], []
             data, off = flat(batch)
             for i, j in runs(off):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .common import materialise
+from .common import each, materialise, tidy
 
 Runs = tuple[tuple[int, int], ...]  # (length, copies) inside one bin
 
@@ -160,9 +160,9 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, task = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in tidy(batches):
             rows, owner = [], []
-            for d, ids in enumerate(enc.encode(batch.column(1).to_pylist())):
+            for d, ids in enumerate(enc.encode(each(batch.column(1)))):
                 ids = np.concatenate([np.frombuffer(ids, enc.dtype).astype("<u4"), end])
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((k, start, length, zlib.crc32(ids[start : start + length].tobytes()), seen[length]))

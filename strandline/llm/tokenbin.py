@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .common import shared_path
+from .common import each, shared_path, tidy
 
 SHARD = "part int, shard int, before bigint, dict_sha256 string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, frames binary"
 #: Bytes of frames in one shard, about.
@@ -40,7 +40,7 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 1000, size: int
 
     @F.arrow_udf("binary")
     def serialized(texts: pa.Array) -> pa.Array:
-        return pa.array([ids[:sample_bytes] for ids in encoder(path).encode(texts.to_pylist())], pa.binary())
+        return pa.array([ids[:sample_bytes] for ids in encoder(path).encode(each(texts))], pa.binary())
 
     got = [bytes(r[0]) for r in drawn.select(serialized.asNondeterministic()("text")).collect()]
     try:
@@ -62,17 +62,22 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         enc, pack = encoder(path), zstandard.ZstdCompressor(level=level, **codec(dictionary))
         end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in tidy(batches):
             frames, sizes = [], []
-            for ids in enc.encode(batch.column(1).to_pylist()):
+            for ids in enc.encode(each(batch.column(1))):
                 frames.append(pack.compress(ids + end))
                 sizes.append((len(ids) + len(end)) // enc.dtype.itemsize)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "part", "n", "frame"])
+            part = [0 if d is None else bisect.bisect_right(cuts, d) for d in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, pa.int32()), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "part", "n", "frame"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before = TaskContext.get().partitionId(), 0, 0
@@ -82,7 +87,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
             row = {"part": part, "shard": number, "before": before, "dict_sha256": digest, "doc_ids": ids, "n_tokens": sizes, "offsets": offsets, "frames": b"".join(frames)}
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())]))
 
-        for batch in batches:
+        for batch in tidy(batches):
             for doc, n, frame in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 ids.append(doc)
                 sizes.append(n)
@@ -95,15 +100,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
         if ids:
             yield shard()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-
-    @F.arrow_udf("int")
-    def part_of(doc_id: pa.Array) -> pa.Array:
-        return pa.array([0 if d is None else bisect.bisect_right(cuts, d) for d in doc_id.to_pylist()], pa.int32())
-
-    framed = rows.withColumn("part", part_of("doc_id")).select("doc_id", "text", "part").mapInArrow(compress, "doc_id bigint, part int, n bigint, frame binary")
+    framed = rows.mapInArrow(compress, "doc_id bigint, part int, n bigint, frame binary")
     ordered = framed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "frame")
     ordered.select("doc_id", "n", "frame").mapInArrow(shards, SHARD).write.option("compression", "none").parquet(f"{folder}/shards")
     return folder
@@ -136,7 +133,7 @@ def read_tokens(spark: SparkSession, folder: str, path: str | None = None, with_
         import zstandard
 
         reader = zstandard.ZstdDecompressor(**codec(dictionary))
-        for batch in batches:
+        for batch in tidy(batches):
             for s in range(batch.num_rows):
                 part, _, before, sha, ids, sizes, offsets, frames = (batch.column(c)[s].as_py() for c in range(8))
                 if sha != digest:

@@ -1,7 +1,8 @@
 """Token counts: pieces are counted once for each distinct pre-token and joined to the pre-token frequencies of documents.
 
-SentencePiece turns spaces into a mark that only begins pieces, so no piece crosses from a word to the mark after it (this is
-checked on the vocabulary) and a run of spaces with the word behind it is a unit of its own. The first pass counts the
+SentencePiece turns spaces into a mark that only begins pieces, so no piece crosses from a word to the mark after it, and a run
+of spaces with the word behind it is a unit of its own. Nor does any piece hold a line break with anything else, or a comma or
+full stop behind a letter; so these part units as well. All of this is checked on the vocabulary. The first pass counts the
 distinct pre-tokens of the corpus; the library then sees each of them once. The most frequent ones, a bounded number, are
 broadcast; all others meet the documents in a shuffle join. Nothing but counts is kept: no ids.
 
@@ -20,34 +21,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import materialise, row_id, text_column
+from .common import each, materialise, row_id, text_column, tidy
 
 #: Pre-tokens whose counts are broadcast: at most this many, of at most SHORT characters each; under 10 MB in all.
 FREQUENT = 1 << 17
 SHORT = 24
 MARK = "▁"
-GAPS = re.compile(" {2,}")
+LETTERS = "A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+#: A comma or full stop behind a letter and before white space or the end: always one piece.
+POINT = re.compile(rf"[.,](?<=[{LETTERS}][.,])(?=[ \n]|\Z)")
+UNIT = re.compile(r" +[^ \n]+|\n[^ \n]*| +")
 
 
-def pretokens(text: str) -> list[str]:
-    """Units whose piece counts add up to that of the text: words, with all but one of the spaces before them.
+def pretokens(text: str) -> tuple[list[str], int]:
+    """Units whose piece counts add up to that of the text, but for the points that were cut off, which are the second result.
 
-    The library puts a mark before the text as it does for each space, so the first word counts like the others.
+    A unit is a word with all but one of the spaces before it (the library adds a mark where a text begins, as for a space), a
+    line break with the word behind it, or a run of marks for spaces that no word follows.
     """
     if not text:
-        return []
-    text = text.replace(MARK, " ")
-    if "  " not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    out, pending = [], -1  # pending: spaces to put before the next word
-    for word in text.split(" "):
-        pending += 1
-        if word:
-            out.append(" " * pending + word)
-            pending = -1
-    if pending >= 0:
-        out.append(MARK * (pending + 1))  # spaces at the end, with the mark that the library would add
-    return out
+        return [], 0
+    text, points = POINT.subn("", text.replace(MARK, " "))
+    if "  " not in text and " \n" not in text and text[:1] not in (" ", "\n", "") and text[-1] != " ":
+        return text.replace("\n", " \n").split(" "), points
+    return [u if u[0] == "\n" else u[1:] if u[-1] != " " else MARK * len(u) for u in UNIT.findall(" " + text)], points
 
 
 class PieceCounter:
@@ -57,17 +54,19 @@ class PieceCounter:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        crossing = re.compile(rf"[^{MARK}]{MARK}|\n.|.\n|[{LETTERS}][.,]", re.S)
         for i in range(self.sp.vocab_size()):
-            if re.search(f"[^{MARK}]{MARK}", self.sp.id_to_piece(i)):
-                raise ValueError("a piece crosses a word's end: counts by pre-token would not add up")
-        if [self.sp.id_to_piece(i) for i in self.sp.encode("a")] != [MARK + "a"]:
-            raise ValueError("the model doesn't put a mark before the text")
+            if crossing.search(self.sp.id_to_piece(i)):
+                raise ValueError("a piece crosses a cut: counts by pre-token would not add up")
+        for text, want in (("a", [MARK + "a"]), ("a,", [MARK + "a", ","]), ("a.", [MARK + "a", "."])):
+            if [self.sp.id_to_piece(i) for i in self.sp.encode(text)] != want:
+                raise ValueError("the model doesn't put a mark before the text, or has no piece for a point")
 
     def count(self, units: list[str]) -> list[int]:
-        """A unit that is all marks is encoded with one space less, as the library adds it."""
+        """The library puts a mark before each text: too many before a line break, and it counts as one of a run of marks."""
         plain = [" " * (len(u) - 1) if u[:1] == MARK else u for u in units]
         got = [len(x) for x in self.sp.encode(plain, num_threads=1)]
-        return [1 if u == MARK else n for u, n in zip(units, got)]
+        return [1 if u == MARK else n - (u[:1] == "\n") for u, n in zip(units, got)]
 
 
 _counters: dict[str, PieceCounter] = {}
@@ -88,9 +87,9 @@ def distinct_pretokens(docs: DataFrame, flush: int = 200_000) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(pretokens(text))
+        for batch in tidy(batches):
+            for text in each(batch.column(0)):
+                seen.update(pretokens(text)[0])
                 if len(seen) >= flush:
                     yield out()
                     seen.clear()
@@ -120,27 +119,30 @@ def count_tokens(docs: DataFrame, limit: int = 4096, path: str | None = None, fr
     @F.arrow_udf(kind)
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         get = known.value.get
-        for batch in batches:
+        for batch in tidy(batches):
             sums, offsets, names, counts = [], [0], [], []
-            for text in batch.to_pylist():
-                units = pretokens(text)
+            for text in each(batch):
+                units, points = pretokens(text)
                 got = list(map(get, units))
                 if None in got:
                     rest = Counter(u for u, n in zip(units, got) if n is None)
                     names.extend(rest.keys())
                     counts.extend(rest.values())
-                sums.append(sum(n for n in got if n is not None))
+                sums.append(points + sum(n for n in got if n is not None))
                 offsets.append(len(names))
             rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["pretoken", "f"]))
             yield pa.StructArray.from_arrays([pa.array(sums, pa.int64()), rest], ["known", "rest"])
 
     text = text_column(docs)
     rows = docs.select(row_id().alias("row"), "doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), split.asNondeterministic()(text).alias("s"))
-    flat = rows.select("row", "doc_id", "n_bytes", F.col("s.known").alias("known"), F.explode_outer("s.rest").alias("r"))
-    flat = flat.select(F.struct("row", "doc_id", "n_bytes", "known").alias("d"), "r.pretoken", "r.f")
+    # One row for each rest; a document's own columns stand in the first alone, so the others are small to shuffle.
+    flat = rows.select("row", "doc_id", "n_bytes", F.col("s.known").alias("known"), F.posexplode_outer("s.rest").alias("at", "r"))
+    once = lambda c: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c)
     # Rows without rest get a key of their own, so that they don't meet in one task.
-    left = flat.withColumn("pretoken", F.coalesce("pretoken", F.concat(F.lit("\u0000"), F.col("d.row").cast("string"))))
-    joined = left.join(table.select("pretoken", "pieces"), "pretoken", "left")
-    got = joined.groupBy("d").agg(F.sum(F.coalesce(F.col("f") * F.col("pieces"), F.lit(0))).alias("rest"))
-    total = F.col("d.known") + F.col("rest")
-    return got.select("d.doc_id", "d.n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+    key = F.coalesce("r.pretoken", F.concat(F.lit("\u0000"), F.col("row").cast("string")))
+    flat = flat.select(key.alias("pretoken"), "row", F.col("r.f").cast("int").alias("f"), once("doc_id"), once("n_bytes"), once("known"))
+    joined = flat.join(table.select("pretoken", "pieces"), "pretoken", "left")
+    rest = F.sum(F.coalesce(F.col("f") * F.col("pieces"), F.lit(0))).alias("rest")
+    got = joined.groupBy("row").agg(rest, *[F.max(c).alias(c) for c in ("doc_id", "n_bytes", "known")])
+    total = F.col("known") + F.col("rest")
+    return got.select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

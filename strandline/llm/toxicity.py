@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, materialise, remainder, spare, text_column
+from .common import each, labelled_sample, materialise, remainder, spare, text_column, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 Segment = tuple[int, int, float]  # first word, word after the last, score
@@ -73,7 +73,7 @@ def maximal_segments(items: list[tuple[int, float]], gap: float) -> list[Segment
 class Memo(dict):
     """Scores of words by their most specific entry; None for words without one. Emptied when it has grown."""
 
-    def __init__(self, scores: dict[str, float], most: int = 300_000):
+    def __init__(self, scores: dict[str, float], most: int = 200_000):
         self.scores, self.most = scores, most
 
     def __missing__(self, word: str) -> float | None:
@@ -126,8 +126,8 @@ def word_counts(rows: DataFrame, flush: int = 200_000) -> DataFrame:
             names = list(seen[0].keys() | seen[1].keys())
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in (seen[1], seen[0]))], ["word", "toxic", "other"])
 
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in tidy(batches):
+            for text, y in zip(each(batch.column(0)), batch.column(1).to_pylist()):
                 seen[1 if y else 0].update(s for w in tokens(text) for s in stems(w))
                 if len(seen[0]) + len(seen[1]) >= flush:
                     yield out()
@@ -209,9 +209,9 @@ def scored(text: Column, model: ToxicityModel, chance: float = 0.05) -> Column:
     @F.arrow_udf(SCORED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = Memo(model.scores)
-        for batch in batches:
+        for batch in tidy(batches):
             evidence, segments = [], []
-            for text in batch.to_pylist():
+            for text in each(batch):
                 n, found = model.segments(text, memo)
                 evidence.append(model.evidence(n, found) if found else 0.0)
                 segments.append([{"start": a, "end": b, "score": s, "chance": e} for a, b, s in found if (e := model.chance(n, s)) <= chance])
