@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 
 #: Distinct chunks kept by one Python worker, about 150 bytes each.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 1_000_000
 #: A comma or full stop at the end of a chunk that follows anything but these letters and digits: it may belong to a longer run.
 UNSAFE_MARKS = re.compile(r"[.,](?=[ \n])(?<![A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F][.,])")
 
