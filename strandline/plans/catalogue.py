@@ -392,6 +392,7 @@ def wiener_threshold_em(spark, sf_dir):
 
 
 def small(spark, sf_dir, n=40):
+    """The rows that the recursive and all-pairs SQL takes; the same queries over every row follow as ``*_all``, without SQL."""
     return energy_features(spark, sf_dir).where(F.col("id") < n)
 
 
@@ -403,6 +404,11 @@ def pairwise_distance(spark, sf_dir):
     return tours.pairwise(small(spark, sf_dir)).withColumn("distance", r4(F.col("distance")))
 
 
+@query()
+def pairwise_distance_all(spark, sf_dir):
+    return tours.pairwise(energy_features(spark, sf_dir)).withColumn("distance", r4(F.col("distance")))
+
+
 @query(f"WITH {F1} SELECT i AS start, j AS \"end\", round(distance, 4) AS distance FROM ({PAIRS.format('f1')}) ORDER BY distance DESC, j, i LIMIT 1")
 def farthest_pair(spark, sf_dir):
     return tours.farthest_pair(energy_features(spark, sf_dir)).withColumn("distance", r4(F.col("distance")))
@@ -429,9 +435,19 @@ def nn_tour_grouped(spark, sf_dir):
     return tours.tour(small(spark, sf_dir, 60), group="grp")
 
 
+@query()
+def nn_tour_all(spark, sf_dir):
+    return tours.tour(energy_features(spark, sf_dir))
+
+
+@query()
+def nn_tour_grouped_all(spark, sf_dir):
+    return tours.tour(energy_features(spark, sf_dir), group="grp")
+
+
 def insertion_query(method):
     def run(spark, sf_dir):
-        return tours.tour(small(spark, sf_dir), method)
+        return tours.tour(energy_features(spark, sf_dir), method)
 
     return run
 
@@ -525,9 +541,19 @@ def factor_selection_grouped(spark, sf_dir):
     return selection.grouped_forward_selection(data, "grp", method="nn").withColumn("loss", r4(F.col("loss")))
 
 
+@query()
+def factor_selection_nn_all(spark, sf_dir):
+    return selection.forward_selection(energy_features(spark, sf_dir), method="nn").withColumn("loss", r4(F.col("loss")))
+
+
+@query()
+def factor_selection_grouped_all(spark, sf_dir):
+    return selection.grouped_forward_selection(energy_features(spark, sf_dir), "grp", method="nn").withColumn("loss", r4(F.col("loss")))
+
+
 @query()
 def factor_selection_elbow(spark, sf_dir):
-    return selection.elbow_table(selection.forward_selection(small(spark, sf_dir), fast=True))
+    return selection.elbow_table(selection.forward_selection(energy_features(spark, sf_dir)))
 
 
 # Samples, tables for plots, notebook steps ----------------------------------------------------------------------------------
@@ -649,24 +675,29 @@ def knn_graph(spark, sf_dir):
     return embed.neighbours(small(spark, sf_dir, 200), 15).withColumn("distance", r4(F.col("distance")))
 
 
+@query()
+def knn_graph_all(spark, sf_dir):
+    return embed.neighbours(energy_features(spark, sf_dir), 15).withColumn("distance", r4(F.col("distance")))
+
+
 @query()
 def tsne_order(spark, sf_dir):
-    return embed.tsne(small(spark, sf_dir, 200), rounds=200)
+    return embed.tsne(energy_features(spark, sf_dir), rounds=200)
 
 
 @query()
 def umap_order(spark, sf_dir):
-    return embed.umap_axis(small(spark, sf_dir, 200), rounds=60)
+    return embed.umap_axis(energy_features(spark, sf_dir), rounds=60)
 
 
 @query()
 def hierarchical_single(spark, sf_dir):
-    return embed.hierarchical(small(spark, sf_dir, 200), "single")
+    return embed.hierarchical(energy_features(spark, sf_dir), "single")
 
 
 @query()
 def hierarchical_ward(spark, sf_dir):
-    return embed.hierarchical(small(spark, sf_dir, 200), "ward")
+    return embed.hierarchical(energy_features(spark, sf_dir), "ward")
 
 
 # The heights of single linkage are the edges of the minimum spanning tree: grown here from the row with the least id.
@@ -678,6 +709,11 @@ def merge_heights_single(spark, sf_dir):
     return embed.merge_heights(small(spark, sf_dir, 40), "single").withColumn("height", r4(F.col("height")))
 
 
+@query()
+def merge_heights_single_all(spark, sf_dir):
+    return embed.merge_heights(energy_features(spark, sf_dir), "single").withColumn("height", r4(F.col("height")))
+
+
 @query("SELECT c_custkey AS id, c_mktsegment AS type, round(c_acctbal, 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation)")
 def batch_filter(spark, sf_dir):
     """Rows of one batch, some columns, with their labels by a join."""
