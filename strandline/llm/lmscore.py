@@ -1,9 +1,14 @@
 """Cross-entropy difference (Moore & Lewis 2010) between matched target and background bigram models.
 
-Both models have the same order, smoothing and vocabulary: the most frequent words of the whole corpus, and classes by word
-ending for all other words. The background counts every document, the target the documents labelled good. Counts of words and
-word pairs are summed in tasks, shuffled by pair and summed again, so a common pair is no hot key. With V symbols the models
-are two V x V tables, a proven bound for the broadcast, and scoring is one narrow pass over whole texts.
+Both models have the same order, smoothing and vocabulary: every word of the corpus, without limit (``vocab_size`` limits it on
+request: the most frequent words, and classes by word ending for all others). The background counts every document, the target
+at most ``max_target`` documents labelled good. Words go by 64-bit hashes.
+
+Counts of words form a distributed table. The ``frequent`` most frequent words are broadcast with their counts, and pairs
+among the ``dense`` first of these are counted in tasks, so a common pair is no hot key, and scored from two broadcast
+tables of dense x dense numbers. All other pairs hold a rarer word: their occurrences are shuffled by it, counted there, joined
+to the counts of their words and summed by document. Two rare words make a second join. The labels are joined to the ids of the documents in a
+shuffle; what comes of it is broadcast as one bit a document.
 
 A document's score is the mean over its tokens of the target's loss minus the background's: below 0, it is more like the target.
 
@@ -13,6 +18,7 @@ model. Repeated rows count and are scored each. An empty table gives no rows. Ex
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,15 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import each, labelled_sample, text_column, tidy, words
+from .common import each, labelled_sample, materialise, row_id, text_column, tidy, words
+
+START = 0  # the symbol before a text's first word
+COUNTS = ["ub", "ut", "fb", "ft"]  # of a word: all its places, and those before another word, in background and target
+WEIGHT, ADD = 0.7, 0.5
 
 
 @dataclass
 class Vocabulary:
-    """Symbol 0 is the text's start, then the frequent words, then classes by the last three bytes of other words."""
+    """The frequent words; other words share classes by their last three bytes."""
 
     ids: dict[bytes, int]
     classes: int
@@ -37,13 +47,8 @@ class Vocabulary:
     def size(self) -> int:
         return 1 + len(self.ids) + self.classes
 
-    def symbols(self, text: str | None) -> np.ndarray:
-        get, base = self.ids.get, 1 + len(self.ids)
-        w = words(text)
-        got = list(map(get, w))
-        if None in got:
-            got = [base + zlib.crc32(x[-3:]) % self.classes if s is None else s for s, x in zip(got, w)]
-        return np.array(got, np.int64)
+    def name(self, word: bytes) -> bytes:
+        return word if word in self.ids else b" %d" % (zlib.crc32(word[-3:]) % self.classes)
 
 
 def word_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
@@ -69,75 +74,235 @@ def vocabulary(docs: DataFrame, size: int = 2048, classes: int = 256) -> Vocabul
     return Vocabulary({bytes(r["word"]): i for i, r in enumerate(top, 1)}, classes)
 
 
-def pair_counts(docs: DataFrame, vocab: Vocabulary, flush: int = 4 << 20) -> DataFrame:
-    """pair (first * V + second), target, background: counts in rows (text, target)."""
-    v = vocab.size
+class Symbols(dict):
+    """word -> 64-bit hash of the word or its class; emptied by ``encode`` when it is large."""
+
+    def __init__(self, vocab: Vocabulary | None):
+        self.vocab = vocab
+
+    def __missing__(self, word: bytes) -> int:
+        name = self.vocab.name(word) if self.vocab else word
+        got = self[word] = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True) or 1
+        return got
+
+    def encode(self, text: str | None) -> np.ndarray:
+        w = words(text)
+        if len(self) > 400_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+
+
+@dataclass
+class Marks:
+    """One bit a row, by its scan partition: is its document in the target?"""
+
+    bits: dict[int, np.ndarray]
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Marks:
+        rows = np.sort(rows)
+        parts, first = np.unique(rows >> 33, return_index=True)
+        bits = {}
+        for p, own in zip(parts.tolist(), np.split(rows & ((1 << 33) - 1), first[1:])):
+            flags = np.zeros(int(own[-1]) + 1, bool)
+            flags[own] = True
+            bits[p] = np.packbits(flags)
+        return cls(bits)
+
+    def __call__(self, row: int) -> int:
+        held, at = self.bits.get(row >> 33), row & ((1 << 33) - 1)
+        return 0 if held is None or at >> 3 >= len(held) else int(held[at >> 3]) >> (7 - (at & 7)) & 1
+
+
+@dataclass
+class Frequent:
+    """The most frequent words: hashes in ascending order and the rank of each; symbol 0 has rank 0."""
+
+    hashes: np.ndarray
+    ranks: np.ndarray
+    dense: int
+
+    def rank(self, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the words before and of the words, -1 for rare ones; each word is looked up once."""
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        own = np.where(self.hashes[at] == h, self.ranks[at], -1)
+        return np.where(before == START, 0, np.concatenate([[0], own[:-1]])) if len(h) else own, own
+
+
+def chunks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary | None, marks: Marks, tokens: int = 1 << 18) -> Iterator[tuple]:
+    """Of batches whose last columns are row and text, some texts at a time: their rows, target marks and sizes, and the words (hash before, hash) of all."""
+    symbols = Symbols(vocab)
+    for batch in tidy(batches):
+        rows, got, size = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False), [], 0
+        done = 0
+        for i, text in enumerate(each(batch.column(batch.num_columns - 1)), 1):
+            got.append(symbols.encode(text))
+            size += len(got[-1])
+            if size >= tokens or i == batch.num_rows:
+                n, h = np.array([len(g) for g in got]), np.concatenate(got)
+                before = np.concatenate([[START], h[:-1]]) if len(h) else h
+                before[(np.cumsum(n) - n)[n > 0]] = START
+                mine = rows[done:i]
+                yield batch.slice(done, i - done), mine, np.array([marks(r) for r in mine.tolist()], np.int64), n, before, h
+                got, size, done = [], 0, i
+
+
+def symbol_counts(docs: DataFrame, vocab: Vocabulary | None, marks, flush: int = 1 << 21) -> DataFrame:
+    """w and its COUNTS. Symbol 0 stands before each text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])  # background, target
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            (pb, nb), (pt, nt) = (np.unique(np.concatenate(h) if h else np.zeros(0, np.int64), return_counts=True) for h in held)
-            target = np.zeros(len(pb), np.int64)
-            target[np.searchsorted(pb, pt)] = nt
-            for h in held:
-                h.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pb), pa.array(target), pa.array(nb.astype(np.int64))], ["pair", "target", "background"])
-
-        size = 0
-        for batch in tidy(batches):
-            for text, target in zip(each(batch.column(0)), batch.column(1).to_pylist()):
-                s = vocab.symbols(text)
-                if not len(s):
-                    continue
-                pairs = np.concatenate([[0], s[:-1]]) * v + s
-                held[0].append(pairs)
-                if target:
-                    held[1].append(pairs)
-                size += len(pairs)
-                if size >= flush:
-                    yield out()
-                    size = 0
+            h, before, good = (np.concatenate(c) if held else np.zeros(0, np.int64) for c in (zip(*held) if held else ((), (), ())))
+            w, at = np.unique(np.concatenate([h, before]), return_inverse=True)
+            cols = [np.bincount(part, weights, len(w)).astype(np.int64) for part in (at[: len(h)], at[len(h) :]) for weights in (None, good)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (w, *cols)], ["w", *COUNTS])
+
+        for _, _, good, n, before, h in chunks(batches, vocab, marks.value):
+            held.append((h, before, np.repeat(good, n)))
+            size += len(h)
+            if size >= flush:
+                yield out()
+                held, size = [], 0
+        yield out()
+
+    got = docs.select("row", "text").mapInArrow(run, "w bigint, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return got.groupBy("w").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def dense_counts(docs: DataFrame, vocab: Vocabulary | None, marks, top, flush: int = 4 << 20) -> DataFrame:
+    """pair (first * dense + second), target, background of pairs of dense words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs, good = (np.concatenate(c) if held else np.zeros(0, np.int64) for c in (zip(*held) if held else ((), ())))
+            pair, at = np.unique(pairs, return_inverse=True)
+            cols = [np.bincount(at, weights, len(pair)).astype(np.int64) for weights in (good, None)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (pair, *cols)], ["pair", "target", "background"])
+
+        d = top.value.dense
+        for _, _, good, n, before, h in chunks(batches, vocab, marks.value):
+            a, b = top.value.rank(before, h)
+            use = (a >= 0) & (a < d) & (b >= 0) & (b < d)
+            held.append((a[use] * d + b[use], np.repeat(good, n)[use]))
+            size += int(use.sum())
+            if size >= flush:
+                yield out()
+                held, size = [], 0
         yield out()
 
-    parts = docs.select("text", "target").mapInArrow(run, "pair bigint, target bigint, background bigint")
+    parts = docs.select("row", "text").mapInArrow(run, "pair bigint, target bigint, background bigint")
     return parts.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def losses(pairs: np.ndarray, counts: np.ndarray, v: int, weight: float = 0.7, add: float = 0.5) -> np.ndarray:
-    """V x V table of -log p(second | first): interpolated bigram and add-constant unigram estimates."""
-    table = np.zeros(v * v, np.float64)
-    table[pairs] = counts
-    table = table.reshape(v, v)
-    single = (table.sum(axis=0) + add) / (table.sum() + add * v)
-    row = table.sum(axis=1, keepdims=True)
-    table *= weight / np.maximum(row, 1)
-    table += np.where(row > 0, 1 - weight, 1.0) * single
-    return -np.log(table).astype(np.float32)
+def rarer_pairs(docs: DataFrame, vocab: Vocabulary | None, marks, top, both: bool) -> DataFrame:
+    """Occurrences of pairs that aren't dense: k, other, kind, good, row.
+
+    ``both`` words rare (kind 3): the hashes of the second and the first. Else one rare word and the other's rank (kind 0: the
+    second is rare, 1: the first), or, of two frequent words, both ranks and that of the second (kind 2).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = top.value.dense
+        for _, rows, good, n, before, h in chunks(batches, vocab, marks.value):
+            a, b = top.value.rank(before, h)
+            packed = np.repeat(rows << 3 | good, n)
+            if both:
+                use = (a < 0) & (b < 0)
+                k, other, packed = h[use], before[use], packed[use] | 6
+            else:
+                use = ((a >= 0) | (b >= 0)) & ~((a >= 0) & (a < d) & (b >= 0) & (b < d))
+                a, b, before, h, packed = (c[use] for c in (a, b, before, h, packed))
+                k = np.where(b < 0, h, np.where(a < 0, before, a << 20 | b))
+                other, packed = np.where(b < 0, a, b), packed | np.where(b < 0, 0, np.where(a < 0, 2, 4))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k, other, packed)], ["k", "other", "packed"])
+
+    return docs.select("row", "text").mapInArrow(run, "k bigint, other bigint, packed bigint")
+
 
+def chance(pair, first, single, total: float, size: int):
+    """Interpolated bigram and add-constant unigram estimates, of numpy arrays."""
+    uni = (single + ADD) / (total + ADD * size)
+    return np.where(first > 0, WEIGHT * pair / np.maximum(first, 1) + (1 - WEIGHT) * uni, uni)
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_target: int = 20_000, vocab_size: int = 2048, classes: int = 256) -> DataFrame:
+
+def loss(pair: Column, first: Column, single: Column, total: float, size: int) -> Column:
+    """-log of ``chance``, of columns."""
+    uni = (single + ADD) / (total + ADD * size)
+    return -F.log(F.when(first > 0, WEIGHT * pair / first + (1 - WEIGHT) * uni).otherwise(uni))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, max_target: int = 20_000, vocab_size: int | None = None, classes: int = 256, holdout: tuple[int, int] | None = (5, 0), frequent: int = 1 << 17, dense: int = 2048) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (their difference), each loss per token."""
+    if not 1 <= dense <= frequent <= 1 << 20:
+        raise ValueError("dense and frequent must be from 1 to 2^20, dense not the larger")
     spark = docs.sparkSession
-    vocab = vocabulary(docs, vocab_size, classes)
-    v = vocab.size
-    good = labelled_sample(labels.where(F.col("quality") == 1), "quality", max_target).select("doc_id", F.lit(True).alias("target"))
-    marked = docs.select("doc_id", text_column(docs).alias("text")).join(F.broadcast(good), "doc_id", "left")
-    got = pair_counts(marked, vocab).toArrow()  # V * V rows at most
-    pairs = got["pair"].to_numpy()
-    tables = spark.sparkContext.broadcast((vocab, losses(pairs, got["target"].to_numpy(), v), losses(pairs, got["background"].to_numpy(), v)))
-
-    @F.arrow_udf("struct<n_tokens: bigint, loss_target: double, loss_background: double>")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocab, target, background = tables.value
-        for batch in tidy(batches):
-            out = []
-            for text in each(batch):
-                s = vocab.symbols(text)
-                first = np.concatenate([[0], s[:-1]]) if len(s) else s
-                out.append((len(s), target[first, s].mean(dtype=np.float64), background[first, s].mean(dtype=np.float64)) if len(s) else (0, None, None))
-            n, t, b = zip(*out) if out else ((), (), ())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())], ["n_tokens", "loss_target", "loss_background"])
-
-    rows = docs.select("doc_id", score.asNondeterministic()(text_column(docs)).alias("r")).select("doc_id", "r.*")
+    send = spark.sparkContext.broadcast
+    docs = docs.select("doc_id", row_id().alias("row"), text_column(docs).alias("text"))
+    vocab = vocabulary(docs, vocab_size, classes) if vocab_size else None
+    good = labelled_sample(labels.where(F.col("quality") == 1), "quality", max_target, holdout).select("doc_id")
+    marks = send(Marks.of(docs.select("doc_id", "row").join(good, "doc_id", "left_semi").select("row").toArrow()["row"].to_numpy()))
+
+    table = materialise(symbol_counts(docs, vocab, marks), "symbols")
+    real = table.where(F.col("w") != START)
+    kinds, nb, nt = real.agg(F.count("*"), F.coalesce(F.sum("ub"), F.lit(0)), F.coalesce(F.sum("ut"), F.lit(0))).first()
+    v = vocab.size if vocab else kinds + 1
+    head = pa.concat_tables([table.where(F.col("w") == START).toArrow(), real.orderBy(F.desc("ub"), "w").limit(frequent - 1).toArrow()])
+    if not head.num_rows:
+        return docs.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("n_tokens", "bigint"), ("loss_target", "double"), ("loss_background", "double"), ("score", "double"))]).withColumn("n_tokens", F.lit(0).cast("bigint"))
+    h, (ub, ut, fb, ft) = head["w"].to_numpy(), (head[c].to_numpy() for c in COUNTS)
+    d, order = min(dense, len(h)), np.argsort(h)
+    top = send(Frequent(h[order], order, d))
+    last_n, last_w = (int(ub[-1]), int(h[-1])) if len(h) > 1 else (1 << 62, 0)  # of the frequent words
+    rest = real.where((F.col("ub") < last_n) | ((F.col("ub") == last_n) & (F.col("w") > last_w)))
+
+    got = dense_counts(docs, vocab, marks, top).toArrow()  # dense * dense rows at most
+    pairs, tables = got["pair"].to_numpy(), []
+    for name, f, u, n in (("target", ft, ut, nt), ("background", fb, ub, nb)):
+        c = np.zeros(d * d)
+        c[pairs] = got[name].to_numpy()
+        tables.append(-np.log(chance(c.reshape(d, d), f[:d, None], u[None, :d], n, v)).astype(np.float32))
+    tables = send(tables)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows, _, n, before, h in chunks(batches, vocab, marks.value):
+            a, b = top.value.rank(before, h)
+            use, doc = (a >= 0) & (a < d) & (b >= 0) & (b < d), np.repeat(np.arange(len(n)), n)
+            sums = [np.bincount(doc[use], t[a[use], b[use]], len(n)).astype(float) for t in tables.value]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows), pa.array(n.astype(np.int64)), *map(pa.array, sums)], ["doc_id", "row", "n_tokens", "t", "b"])
+
+    scored = docs.mapInArrow(known, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, n_tokens bigint, t double, b double")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        kind, mark = F.shiftright("packed", 1).bitwiseAND(3).alias("kind"), F.col("packed").bitwiseAND(1)
+        w = Window.partitionBy("k", "other", "kind")
+        rows = rows.select("k", "other", "packed", kind, *[c for c in rows.columns if c not in ("k", "other", "packed")])
+        return rows.withColumn("cb", F.count("*").over(w)).withColumn("ct", F.sum(mark).over(w))
+
+    def lost(rows: DataFrame, first: list[Column], single: list[Column]) -> DataFrame:
+        """row and both losses, from (background, target) counts of the first word and of the second."""
+        t, b = loss(F.col("ct"), first[1], single[1], nt, v), loss(F.col("cb"), first[0], single[0], nb, v)
+        return rows.select(F.shiftright("packed", 3).alias("row"), t.alias("rt"), b.alias("rb"))
+
+    ranked = spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(h))), **{f"r_{c}": head[c] for c in COUNTS}}))
+    one = rarer_pairs(docs, vocab, marks, top, False)
+    one = counted(one.join(rest, (F.col("k") == F.col("w")) & (F.col("packed").bitwiseAND(6) != 4), "left").drop("w"))
+    one = one.join(F.broadcast(ranked), F.col("other") == F.col("rank"), "left").drop("rank")
+    firsts = ranked.select(F.col("rank").alias("a"), F.col("r_fb").alias("a_fb"), F.col("r_ft").alias("a_ft"))
+    one = one.join(F.broadcast(firsts), (F.col("kind") == 2) & (F.shiftright("k", 20) == F.col("a")), "left")
+    at = lambda c0, c1, c2: F.when(F.col("kind") == 0, F.col(c0)).when(F.col("kind") == 1, F.col(c1)).otherwise(F.col(c2))
+    one = lost(one, [at("r_fb", "fb", "a_fb"), at("r_ft", "ft", "a_ft")], [at("ub", "r_ub", "r_ub"), at("ut", "r_ut", "r_ut")])
+
+    two = rarer_pairs(docs, vocab, marks, top, True)
+    two = counted(two.join(rest.select(F.col("w").alias("k"), "ub", "ut"), "k"))
+    two = two.join(rest.select(F.col("w").alias("other"), "fb", "ft"), "other")
+    two = lost(two, [F.col("fb"), F.col("ft")], [F.col("ub"), F.col("ut")])
+
+    sums = one.unionByName(two).groupBy("row").agg(F.sum("rt").alias("rt"), F.sum("rb").alias("rb"))
+    rows = scored.join(sums, "row", "left")
+    mean = lambda x, y: F.when(F.col("n_tokens") > 0, (F.col(x) + F.coalesce(y, F.lit(0.0))) / F.col("n_tokens"))
+    rows = rows.select("doc_id", "n_tokens", mean("t", "rt").alias("loss_target"), mean("b", "rb").alias("loss_background"))
     return rows.withColumn("score", F.col("loss_target") - F.col("loss_background"))
