@@ -86,8 +86,8 @@ def remainder(column: Column | str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column.cast("string").cast("binary")) % n
 
 
-def labelled_sample(labels: DataFrame, column: str, limit: int, holdout: tuple[int, int] | None = (5, 0)) -> DataFrame:
-    """At most ``limit`` labelled rows (doc_id, y), one for each id (the larger label wins), chosen by a hash of the id.
+def labelled_sample(labels: DataFrame, column: str, limit: int | None, holdout: tuple[int, int] | None = (5, 0)) -> DataFrame:
+    """At most ``limit`` labelled rows (doc_id, y), one for each id (the larger label wins), chosen by a hash of the id; all without limit.
 
     Ids whose crc32 leaves the remainder ``holdout[1]`` modulo ``holdout[0]`` are left out. The bound lets callers broadcast it.
     """
@@ -95,7 +95,7 @@ def labelled_sample(labels: DataFrame, column: str, limit: int, holdout: tuple[i
     if holdout:
         kept = kept.where(remainder("doc_id", holdout[0]) != holdout[1])
     kept = kept.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("y"))
-    return kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return kept if limit is None else kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def spare(df: DataFrame, name: str) -> str:

@@ -2,7 +2,7 @@
 
 Both models have the same order, smoothing and vocabulary: every word of the corpus, without limit (``vocab_size`` limits it on
 request: the most frequent words, and classes by word ending for all others). The background counts every document, the target
-at most ``max_target`` documents labelled good. Words go by 64-bit hashes.
+all documents labelled good. Words go by 64-bit hashes.
 
 Counts of words form a distributed table. The ``frequent`` most frequent words are broadcast with their counts, and pairs
 among the ``dense`` first of these are counted in tasks, so a common pair is no hot key, and scored from two broadcast
@@ -235,7 +235,7 @@ def loss(pair: Column, first: Column, single: Column, total: float, size: int) -
     return -F.log(F.when(first > 0, WEIGHT * pair / first + (1 - WEIGHT) * uni).otherwise(uni))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_target: int = 20_000, vocab_size: int | None = None, classes: int = 256, holdout: tuple[int, int] | None = (5, 0), frequent: int = 1 << 17, dense: int = 2048) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, max_target: int | None = None, vocab_size: int | None = None, classes: int = 256, holdout: tuple[int, int] | None = (5, 0), frequent: int = 1 << 17, dense: int = 2048) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (their difference), each loss per token."""
     if not 1 <= dense <= frequent <= 1 << 20:
         raise ValueError("dense and frequent must be from 1 to 2^20, dense not the larger")

@@ -46,7 +46,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lmscore.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), holdout=None)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

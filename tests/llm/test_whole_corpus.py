@@ -1,4 +1,4 @@
-"""LM scores count every word as itself."""
+"""LM scores count every word as itself and every good document."""
 
 import math
 import random
@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from strandline.llm import lmscore
+from strandline.llm import lmscore, queries
 
 from .test_operators import plain_words
 
@@ -47,3 +47,21 @@ def test_every_word_and_good_document_counts(spark, frequent, dense):
     assert set(got) == set(want)
     for d, (n, score) in want.items():
         assert got[d]["n_tokens"] == n and got[d]["score"] == (score if score is None else pytest.approx(score, abs=1e-4))
+
+
+def test_query_has_more_words_than_the_dense_table_and_no_holdout(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {d: " ".join(f"v{rng.randrange(6000)}" for _ in range(200)) for d in range(60)}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, d % 2, 0) for d in texts], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in queries.op8_lm_scoring(spark, str(tmp_path)).collect()}
+    for d, (_, score) in plain_scores(texts, {d for d in texts if d % 2}).items():
+        assert got[d] == pytest.approx(score, abs=1e-4)
+
+
+def test_target_has_no_limit(spark):
+    rows = 25_000
+    docs = spark.range(rows).selectExpr("id AS doc_id", "'good' AS text")
+    labels = spark.range(rows).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    got = lmscore.score_documents(docs, labels, holdout=None)
+    assert got.count() == rows and got.where("abs(score) > 1e-9").count() == 0  # the target is the background
