@@ -134,18 +134,24 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, sample: int = 4
         if data.empty or asked.empty:
             return pd.DataFrame({c: [] for c in names})
         v, ids = np.stack(data["v"]), data["vec_id"].to_numpy()
+        known = set(ids.tolist())
+        distinct = len(known)
+        repeated = distinct < len(ids)
         index, w = BlockIndex(codes.encode(v, False)), np.stack(asked["v"])
         out = []
         for q, code, own in zip(w, codes.encode(w, True), asked["vec_id"].to_numpy()):
-            least, radius = min(k, int((ids != own).sum())), codes.radius
+            least, radius = min(k, distinct - int(own in known)), codes.radius
             while True:
                 found = index.within(code, radius)
                 found = found[ids[found] != own]
-                if len(found) >= least:
+                if len(found) >= least and (not repeated or len(np.unique(ids[found])) >= least):
                     break
                 radius += len(index.tables)
             score = np.einsum("ij,j->i", v[found], q)
-            best = np.lexsort((ids[found], -score))[:k]
+            best = np.lexsort((ids[found], -score))
+            if repeated:  # the best row of each id, in the same order
+                best = best[np.sort(np.unique(ids[found][best], return_index=True)[1])]
+            best = best[:k]
             out.append((np.full(len(best), own), ids[found][best], score[best]))
         return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
 
