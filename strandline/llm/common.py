@@ -109,3 +109,29 @@ def spare(df: DataFrame, name: str) -> str:
 def row_id() -> Column:
     """A number for each row of a scan, stable under retries as long as the input splits are."""
     return F.monotonically_increasing_id()
+
+
+def step_of(n: Column) -> Column:
+    """A count on a coarse scale that keeps order: exact up to 64, then 32 steps for each doubling."""
+    return F.when(n <= 64, n).otherwise(F.floor(F.log2(n) * 32) - 128).cast("int")
+
+
+def frequent_step(counts: DataFrame, n: str, most: int, weight: Column | None = None) -> int:
+    """The least step of ``step_of`` so that the rows at it and above weigh ``most`` at the most (their number, without a weight).
+
+    What decides is a histogram of some 2,000 rows, so no task sorts or takes the rows themselves.
+    """
+    weight = F.lit(1) if weight is None else weight
+    found = counts.groupBy(step_of(F.col(n)).alias("step")).agg(F.sum(weight).alias("w")).collect()
+    total, cut = 0, 1 << 30
+    for r in sorted(found, key=lambda r: -r["step"]):
+        total += r["w"]
+        if total > most:
+            break
+        cut = r["step"]
+    return cut
+
+
+def stable(df: DataFrame, tag: str) -> DataFrame:
+    """df itself if its rows come in the same order each time it is read, as those of a scan; else written and read back."""
+    return materialise(df, tag) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df

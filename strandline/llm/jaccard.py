@@ -24,13 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, flat, materialise, runs, spare, text_column, tidy
+from .common import flat, materialise, runs, spare, text_column, tidy
+from .hashes import BASE, U, mix, powers, word_hashes
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
-TABLE = np.frombuffer(WORD_BYTES, np.uint8)
-U = np.uint64
-BASE = pow(0x100000001B3, 1, 1 << 64)
-INVERSE = pow(BASE, -1, 1 << 64)
 #: Signatures of candidates agree in at least the threshold minus this many standard deviations.
 SLACK = 5.0
 #: Rows of a bucket in one block, and n-grams of candidates in one block.
@@ -48,41 +45,6 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128)
     return most, 1
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2 ** 64."""
-    out = np.ones(max(n, 1), U)
-    done = 1
-    while done < n:
-        step = U(pow(base, done, 1 << 64))
-        out[done : 2 * done] = out[: min(done, n - done)] * step
-        done *= 2
-    return out[:n]
-
-
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts, and the n+1 offsets of the texts among the words. No word goes on into the next text."""
-    b = TABLE[data]
-    inside = b != 32
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    edge = off[1:-1]
-    edge = edge[(edge > 0) & (edge < len(b))]
-    begins[edge] |= inside[edge]
-    ends[edge - 1] |= inside[edge - 1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    total = np.concatenate([np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * powers(BASE, len(b)))])
-    # A word's polynomial, shifted back to its own start; its length goes in as well.
-    h = mix((total[last + 1] - total[first]) * powers(INVERSE, len(b) + 1)[first] + (last - first).astype(U) * U(0x9E3779B97F4A7C15))
-    return h, np.searchsorted(first, off)
-
-
 def grams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """N-gram hashes of the texts with their n+1 offsets, and the words' hashes with theirs."""
     w, at = word_hashes(data, off)
