@@ -7,9 +7,9 @@ all documents labelled good. Words go by 64-bit hashes, and so do the pairs that
 Counts of words form a distributed table. At most ``frequent`` words, the most frequent, are broadcast with their counts. Pairs
 among the ``dense`` first of these are counted in tasks and scored from two broadcast tables of dense x dense numbers. All
 other occurrences hold a rarer word and are dealt out by it, or by the pair if both words are frequent; a task then counts its
-pairs, takes the rarer word's counts from the rows of the word table that were dealt out alike, and sums losses by document.
-By the pigeonhole principle no such key has more than one in ``dense`` of all tokens, however skewed the corpus is. Pairs of two
-rare words go on to the first word's counts by a join.
+pairs, takes the rarer word's counts from the rows of the word table that were dealt out alike, and gives each occurrence's
+losses. By the pigeonhole principle no such key has more than one in ``dense`` of all tokens, however skewed the corpus is. Pairs
+of two rare words are dealt out by the second, and go on to the first word's counts by a join. Losses are summed by document.
 
 Labels are joined to the ids of the documents in a shuffle. Up to ``MARKS`` good rows are broadcast as one bit a row; if there
 are more, the flag is joined to the texts instead.
@@ -248,15 +248,19 @@ def dense_counts(docs: DataFrame, vocab: Vocabulary | None, marks, top) -> DataF
 SECOND, FIRST, NONE, BOTH, PLACES, FIRSTS = range(6)
 
 
-def rarer_pairs(docs: DataFrame, vocab: Vocabulary | None, marks, top) -> DataFrame:
-    """Occurrences of pairs that aren't dense: k, other, packed (row, kind, good). Rare words are hashes, frequent ones ranks; two ranks go into one number."""
+def rarer_pairs(docs: DataFrame, vocab: Vocabulary | None, marks, top, both: bool) -> DataFrame:
+    """Occurrences of pairs of two rare words, or else of other pairs that aren't dense: k, other, packed (row, kind, good).
+
+    Rare words are hashes, frequent ones ranks; two ranks go into one number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = top.value.dense
         for part, good, h, at in chunks(batches, vocab, marks):
             b = top.value.rank(h)
             a = before(b, at, 0)
-            use = np.flatnonzero(~((a >= 0) & (a < d) & (b >= 0) & (b < d)))
+            rare = (a < 0) & (b < 0)
+            use = np.flatnonzero(rare if both else ~(rare | ((a >= 0) & (a < d) & (b >= 0) & (b < d))))
             packed = np.repeat(part.column(0).to_numpy(zero_copy_only=False) << 4 | good, np.diff(at))[use]
             first, second, a, b = before(h, at, START)[use], h[use], a[use], b[use]
             kind = np.where(a < 0, np.where(b < 0, BOTH, FIRST), np.where(b < 0, SECOND, NONE))
@@ -279,8 +283,9 @@ def loss(pair: Column, first: Column, single: Column, total: float, size: int) -
     return -F.log(F.when(first > 0, WEIGHT * pair / first + (1 - WEIGHT) * uni).otherwise(uni))
 
 
-def rarer_losses(dealt: DataFrame, top, totals: tuple[int, int], size: int) -> DataFrame:
-    """row, rt, rb: sums of losses by document and task; pairs of two rare words as single rows with k (the first word), and their counts instead."""
+def rarer_losses(dealt: DataFrame, top, totals: tuple[int, int], size: int, both: bool) -> DataFrame:
+    """row, rt, rb of each occurrence; of pairs of two rare words row, k (the first), and the counts that the losses come from."""
+    names = ["row", "k", "cb", "ct", "ub", "ut"] if both else ["row", "rt", "rb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in tidy(batches) if b.num_rows]  # a task's share, some PART_ROWS rows
@@ -308,30 +313,23 @@ def rarer_losses(dealt: DataFrame, top, totals: tuple[int, int], size: int) -> D
             keys, b, t = table[which]
             return (b, t)[model][np.searchsorted(keys, k[use])]
 
-        losses = []
-        for model in (1, 0):
-            first, single = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
-            f, u = top.value.counts[2 + model], top.value.counts[model]
-            s, r, n, both = (kind == x for x in (SECOND, FIRST, NONE, BOTH))
-            first[s], single[s] = f[other[s]], looked_up(0, model, s)
-            first[r], single[r] = looked_up(1, model, r), u[other[r]]
-            first[n], single[n] = f[k[n] >> 20], u[k[n] & (1 << 20) - 1]
-            single[both] = looked_up(0, model, both)
-            losses.append((-np.log(chance(counts[model], first, single, totals[model], size)), single))
-        (lt, ut), (lb, ub) = losses
-        done = kind[of] != BOTH
-        rows, at = np.unique(row[done], return_inverse=True)
-        none = np.zeros(len(rows), np.int64)
-        sums = [np.bincount(at, x[of[done]], len(rows)) for x in (lt, lb)]
-        yield batch_of(rows, *sums, none, none, none, none, none)
-        of, row = of[~done], row[~done]
-        none = np.zeros(len(of))
-        yield batch_of(row, none, none, other[of], counts[0][of], counts[1][of], ub[of], ut[of])
-
-    def batch_of(*cols: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "rt", "rb", "k", "cb", "ct", "ub", "ut"])
-
-    return dealt.mapInArrow(run, "row bigint, rt double, rb double, k bigint, cb bigint, ct bigint, ub bigint, ut bigint")
+        if both:
+            every = np.ones(len(k), bool)
+            cols = [other, *counts, looked_up(0, 0, every), looked_up(0, 1, every)]
+        else:
+            cols, (s, r, n) = [], (kind == x for x in (SECOND, FIRST, NONE))
+            for model in (1, 0):
+                first, single = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+                f, u = top.value.counts[2 + model], top.value.counts[model]
+                first[s], single[s] = f[other[s]], looked_up(0, model, s)
+                first[r], single[r] = looked_up(1, model, r), u[other[r]]
+                first[n], single[n] = f[k[n] >> 20], u[k[n] & (1 << 20) - 1]
+                cols.append(-np.log(chance(counts[model], first, single, totals[model], size)))
+        for a in range(0, len(row), 1 << 18):
+            part = of[a : a + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(row[a : a + (1 << 18)]), *(pa.array(c[part]) for c in cols)], names)
+
+    return dealt.mapInArrow(run, "row bigint, " + ", ".join(f"{c} {'bigint' if both else 'double'}" for c in names[1:]))
 
 
 def marked(docs: DataFrame, good: DataFrame) -> tuple[DataFrame, object]:
@@ -387,13 +385,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_target: int | None =
     scored = docs.mapInArrow(known, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, n_tokens bigint, rt double, rb double")
 
     words_of = lambda b, t, kind: rest.select(F.col("w").alias("k"), F.col(b).alias("other"), F.shiftleft(t, 4).bitwiseOR(F.lit(kind << 1)).alias("packed"))
-    dealt = rarer_pairs(docs, vocab, marks, top).unionByName(words_of("ub", "ut", PLACES)).unionByName(words_of("fb", "ft", FIRSTS))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(nb - int(got["background"].to_numpy().sum()) + 2 * kinds) // PART_ROWS))
-    lost = materialise(rarer_losses(dealt.repartition(parts, "k"), top, (nb, nt), v), "losses")
-    two = lost.where(F.col("k") != START).join(rest.select(F.col("w").alias("k"), "fb", "ft"), "k")
+    dealt = rarer_pairs(docs, vocab, marks, top, False).unionByName(words_of("ub", "ut", PLACES)).unionByName(words_of("fb", "ft", FIRSTS))
+    one = rarer_losses(dealt.repartition(parts, "k"), top, (nb, nt), v, False)
+    dealt = rarer_pairs(docs, vocab, marks, top, True).unionByName(words_of("ub", "ut", PLACES))
+    two = rarer_losses(dealt.repartition(parts, "k"), top, (nb, nt), v, True).join(rest.select(F.col("w").alias("k"), "fb", "ft"), "k")
     two = two.select("row", loss(F.col("ct"), F.col("ft"), F.col("ut"), nt, v).alias("rt"), loss(F.col("cb"), F.col("fb"), F.col("ub"), nb, v).alias("rb"))
 
-    rows = scored.unionByName(lost.where(F.col("k") == START).select("row", "rt", "rb").unionByName(two), allowMissingColumns=True)
+    rows = scored.unionByName(one.unionByName(two), allowMissingColumns=True)
     rows = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("rt").alias("t"), F.sum("rb").alias("b"))
     mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / F.col("n_tokens"))
     rows = rows.select("doc_id", "n_tokens", mean("t").alias("loss_target"), mean("b").alias("loss_background"))
