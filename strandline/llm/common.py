@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,9 +18,11 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 o
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master alone: executors elsewhere couldn't read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -36,6 +39,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/strandline/" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_column(df: DataFrame, text_col: str = "text") -> Column:
     """The text as a non-null string: null counts as empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
@@ -52,12 +64,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def runs(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts of at most ``most`` bytes in all; a longer text is a range of its own."""
+def runs(offsets: np.ndarray, most: int = 1 << 19, texts: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at most ``texts`` texts, of at most ``most`` bytes in all; a longer text is a range of its own."""
     start, n = 0, len(offsets) - 1
     while start < n:
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
-        yield start, min(stop, n)
+        stop = min(stop, start + texts, n)
+        yield start, stop
         start = stop
 
 
@@ -95,7 +108,11 @@ def labelled_sample(labels: DataFrame, column: str, limit: int | None, holdout:
     if holdout:
         kept = kept.where(remainder("doc_id", holdout[0]) != holdout[1])
     kept = kept.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("y"))
-    return kept if limit is None else kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    if limit is None:
+        return kept
+    # The hash first leaves some more than ``limit`` rows, so that no task takes that many from every partition.
+    share = int(min(1e6, 1.5e6 * limit / max(1, kept.count())) + 1)
+    return kept.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def spare(df: DataFrame, name: str) -> str:

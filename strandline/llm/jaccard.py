@@ -7,12 +7,15 @@ its candidates, not its pairs. Texts whose candidates are connected then meet wi
 of bounded blocks, where every pair is verified exactly; a block gives each text's number of links and a spanning forest.
 So every link counts and none is lost between texts that meet, but no step emits rows by the square of a group.
 
+Exact link counts are the one thing here that costs the square of a group of similar, different texts: its blocks meet pairwise.
+A block holds BLOCK_ROWS texts and BLOCK_GRAMS n-grams at most, so no task's work grows with the group, but their number does.
+
 Defined cases: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a text of fewer than n words, but not
-none, has one n-gram of all its words. Null and wordless texts link to nothing. The class id is the smallest doc_id that links
-lead to. Equal texts are links of similarity 1; n_links counts documents. Repeated rows are rows of their own in ``link``; in ``keep_one``
-rows of one id are one document, and one of them stays. Ids are keys: of rows with one id and different texts, one text is
-verified. Rows with a null id are left out of ``link`` and stay in ``keep_one``. An empty table gives no rows. Extra columns are
-kept by ``keep_one`` only.
+none, has one n-gram of all its words. Null and wordless texts link to nothing and stay. The class id is the smallest doc_id that
+links lead to; a null id is larger than any other, so it names a class only if no row of it has an id. Rows are told apart by where
+they stand, never by id: rows of one id with different texts are texts of their own, and rows with a null id take part like others.
+Equal texts are links of similarity 1; n_links counts rows. Of repeated rows ``keep_one`` keeps one. An empty table gives no rows.
+Extra columns are kept by ``keep_one`` only.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, materialise, runs, spare, text_column, tidy
+from .common import discard, flat, materialise, row_id, runs, spare, stable, text_column, tidy
 from .hashes import BASE, U, mix, powers, word_hashes
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Signatures of candidates agree in at least the threshold minus this many standard deviations.
 SLACK = 5.0
-#: Rows of a bucket in one block, and n-grams of candidates in one block.
-BUCKET_ROWS, BLOCK_GRAMS = 1024, 1 << 18
+#: Rows of a bucket in one block; texts and n-grams of candidates in one block.
+BUCKET_ROWS, BLOCK_ROWS, BLOCK_GRAMS = 512, 256, 1 << 17
 #: Parts over which the rows of one key are spread before a join with the key's one row.
 SALTS = 16
 
@@ -39,10 +42,10 @@ SALTS = 16
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
     """(bands, rows): the longest rows with which a pair at the threshold shares a band with the chance ``recall``."""
     for rows in range(16, 0, -1):
-        need = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
+        need = int(min(1e9, np.ceil(np.log1p(-recall) / np.log1p(-(threshold**rows)))))
         if need * rows <= most:
             return need, rows
-    return most, 1
+    raise ValueError(f"{most} hashes don't reach a recall of {recall} at a similarity of {threshold}")
 
 
 def grams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,11 +82,11 @@ def signatures(h: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, n: int, nb: int, nr: int) -> DataFrame:
-    """doc_id, key (hashes of the word sequence; null if wordless), grams (how many), bands (hash of each), sig (a byte of each minimum)."""
+    """row, doc_id, key (hashes of the word sequence; null if wordless), grams (how many), bands (hash of each), sig (a byte of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
-            data, off = flat(batch.column(1))
+            data, off = flat(batch.column(2))
             for i, j in runs(off):
                 h, goff, w, at = grams(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 sig = signatures(h, goff, nb * nr)
@@ -102,15 +105,14 @@ def sketch(docs: DataFrame, n: int, nb: int, nr: int) -> DataFrame:
                 some = np.diff(at) > 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[i:j], pa.array([raw[16 * d : 16 * d + 16] if ok else None for d, ok in enumerate(some)], pa.binary()), pa.array(np.diff(goff)),
+                        batch.column(0)[i:j], batch.column(1)[i:j], pa.array([raw[16 * d : 16 * d + 16] if ok else None for d, ok in enumerate(some)], pa.binary()), pa.array(np.diff(goff)),
                         pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * nb), pa.array(band.view(np.int64).ravel())),
                         pa.array([s.tobytes() for s in (sig >> np.uint32(24)).astype(np.uint8)], pa.binary()),
                     ],
-                    ["doc_id", "key", "grams", "bands", "sig"],
+                    ["row", "doc_id", "key", "grams", "bands", "sig"],
                 )
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, key binary, grams bigint, bands array<bigint>, sig binary")
+    return docs.mapInArrow(run, "row bigint, doc_id bigint, key binary, grams bigint, bands array<bigint>, sig binary")
 
 
 class Forest:
@@ -174,20 +176,20 @@ def by_key(df: DataFrame, keys: list[str], work: Callable[[dict], Iterator[pa.Re
 
 
 def candidate_edges(reps: DataFrame, nb: int, nr: int, threshold: float) -> DataFrame:
-    """a, b: spanning forests of the candidates in all buckets."""
+    """a, b: spanning forests of the candidates in all buckets, by row."""
     size = nb * nr
     least = size * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / size))
     # Most texts share no bucket: only ids go to find those that do, and signatures then join these.
-    keys = reps.select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
+    keys = reps.select("row", F.posexplode("bands").alias("band", "hash")).select("row", F.xxhash64("band", "hash").alias("bucket"))
     full = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(full, "bucket").join(reps.select("doc_id", "sig"), "doc_id")
+    rows = keys.join(full, "bucket").join(reps.select("row", "sig"), "row")
     blocks = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
-    rows = rows.select("bucket", "doc_id", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "sig")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int"))
+    rows = rows.select("bucket", "row", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "sig")
 
     def work(c: dict) -> pa.RecordBatch | None:
-        ids, own = c["doc_id"].to_numpy(), c["own"].to_numpy()
+        ids, own = c["row"].to_numpy(), c["own"].to_numpy()
         if len(ids) < 2:
             return None
         order = np.argsort(ids, kind="stable")
@@ -203,10 +205,17 @@ def candidate_edges(reps: DataFrame, nb: int, nr: int, threshold: float) -> Data
     return by_key(rows, ["bucket", "i", "j"], work, "a bigint, b bigint").distinct()
 
 
-def components(spark: SparkSession, edges: DataFrame, most: int = 50) -> DataFrame:
-    """node, root (the smallest node) for every node of the edges, by alternating large and small stars (Kiveris et al. 2014)."""
+def components(spark: SparkSession, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, root (the smallest node) for every node of the edges, by alternating large and small stars (Kiveris et al. 2014).
+
+    Goes on until it is done; if that takes more than ``most`` rounds, when given, it raises an error.
+    """
     edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most):
+    rounds = 0
+    while True:
+        rounds += 1
+        if most is not None and rounds > most:
+            raise RuntimeError(f"components aren't done after {most} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # A hub's edges are spread over salts before they meet its one row.
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -218,6 +227,7 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 50) -> DataFra
         # Done when every node has one edge and no root has any.
         nodes = new.groupBy("a").agg(F.count("*").alias("n"))
         again = nodes.where("n > 1").limit(1).count() or new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        discard(edges)
         edges = new
         if not again:
             break
@@ -226,13 +236,13 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 50) -> DataFra
 
 
 def verified(sets: DataFrame, threshold: float) -> DataFrame:
-    """From doc_id, copies, root, blocks, grams (sorted, distinct): rows (a, b, links): a's links in a block pair, or a forest edge (links 0)."""
-    rows = sets.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
-    rows = rows.select("root", "doc_id", "copies", "grams", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "copies", "grams")
+    """From row, copies, root, blocks, grams (sorted, distinct): rows (a, b, links): a's links in a block pair, or a forest edge (links 0)."""
+    rows = sets.withColumn("own", F.pmod(F.xxhash64("row", F.lit(2)), F.col("blocks")).cast("int"))
+    rows = rows.select("root", "row", "copies", "grams", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "copies", "grams")
 
     def work(c: dict) -> pa.RecordBatch | None:
-        own, ids, copies = (c[n].to_numpy() for n in ("own", "doc_id", "copies"))
+        own, ids, copies = (c[n].to_numpy() for n in ("own", "row", "copies"))
         if len(ids) < 2:
             return None
         lists = c["grams"].combine_chunks()
@@ -266,7 +276,7 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, copies, root, blocks, grams of rows with a text in the place of grams."""
+    """row, copies, root, blocks, grams of rows with a text in the place of grams."""
 
     @F.arrow_udf("array<bigint>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -280,40 +290,56 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
                     ends.append(ends[-1] + len(parts[-1]))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
-    return docs.select("doc_id", "copies", "root", "blocks", sets.asNondeterministic()("text").alias("grams"))
+    return docs.select("row", "copies", "root", "blocks", sets.asNondeterministic()("text").alias("grams"))
 
 
-def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links for every row with an id."""
+def spread(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows with the one row of their key. Rows of a key are dealt over salts first, so that a hot key isn't one task."""
+    salted = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
+
+
+def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """From row, doc_id, text: row, doc_id, least (the row that names the class: whether its id is null, id, row), n_links for every row."""
     spark = docs.sparkSession
     nb, nr = bands(threshold, recall)
     table = materialise(sketch(docs, n, nb, nr), "sketch")
-    classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("grams").alias("grams"))
-    classes = materialise(classes, "classes")
-    # One row for each class: its smallest id; equal ids of equal texts have equal sketches.
-    reps = table.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key", "doc_id"])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = table.where("key is not null").groupBy("key").agg(F.min(order).alias("least"), F.count("*").alias("copies"), F.max("grams").alias("grams"))
+    classes = materialise(classes.withColumn("row", F.col("least.row")), "classes")
+    # One row stands for each class.
+    reps = table.select("row", "bands", "sig").join(classes.select("row"), "row", "left_semi")
     near = materialise(components(spark, candidate_edges(reps, nb, nr, threshold)), "near")
-    wanted = near.join(classes.select(F.col("rep").alias("node"), "copies", "grams"), "node").select(F.col("node").alias("doc_id"), "copies", "root", "grams")
-    blocks = wanted.groupBy("root").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    wanted = wanted.join(blocks, "root").select("doc_id", "copies", "root", "blocks")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column(docs).alias("text")).join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    found = materialise(verified(gram_sets(texts, n), threshold), "links")
-    links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    groups = components(spark, found.where("links = 0").select("a", "b"))
-    of = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("a", "rep"), "rep", "left")
-    of = of.select("key", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    # Rows of one class are spread over salts before they meet its one row, so that a large class isn't one task.
-    salted = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = table.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    keyed = rows.where("key is not null").join(salted, ["key", "salt"]).select("doc_id", "class_id", "n_links")
-    return keyed.unionByName(rows.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
+    wanted = spread(near.withColumnRenamed("node", "row").join(classes.select("row", "copies", "grams"), "row"), near.select("root").distinct(), "root", "row")
+    enough = F.greatest(F.ceil(F.sum("grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    blocks = wanted.groupBy("root").agg(enough.alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    wanted = spread(wanted, blocks, "root", "row").select("row", "copies", "root", "blocks")
+    found = materialise(verified(gram_sets(docs.select("row", "text").join(wanted, "row"), n), threshold), "links")
+    links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "row")
+    groups = materialise(components(spark, found.where("links = 0").select("a", "b")).withColumnRenamed("node", "row"), "groups")
+    names = groups.join(classes.select("row", "least"), "row").groupBy("root").agg(F.min("least").alias("first"))
+    named = spread(groups, names, "root", "row").select("row", "first")
+    of = classes.join(named, "row", "left").join(links, "row", "left")
+    of = of.select("key", F.coalesce("first", "least").alias("least"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = table.select("row", "doc_id", "key")
+    keyed = spread(rows.where("key is not null"), of, "key", "row").select("row", "doc_id", "least", "n_links")
+    return keyed.unionByName(rows.where("key is null").select("row", "doc_id", order.alias("least"), F.lit(0).cast("bigint").alias("n_links")))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(row_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
+
+
+def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links for every row."""
+    got = grouped(numbered(stable(docs.select("doc_id", "text"), "texts")), n, threshold, recall)
+    return got.select("doc_id", F.col("least.doc_id").alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The row with the smallest id of each group, with the same columns; rows without an id stay."""
-    name = spare(docs, "__gone")
-    gone = link(docs, **options).where("class_id != doc_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone[name], "left_anti")
-    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
-    return kept.select(*docs.columns)
+    """Of each group the row with the smallest id (then the first one), with the same columns."""
+    docs = stable(docs, "texts")
+    name, other = spare(docs, "__row"), spare(docs, "__gone")
+    gone = grouped(numbered(docs), **options).where("row != least.row").select(F.col("row").alias(other))
+    kept = docs.withColumn(name, row_id())
+    return kept.join(gone, kept[name] == gone[other], "left_anti").select(*docs.columns)
