@@ -3,11 +3,17 @@
 Prefix sums of turn tokens choose turn-aligned spans: a turn belongs to the span of ``room`` tokens in which it ends; a turn
 that crosses into a span stays in it if the span's turns still fit, and stands alone otherwise. Every window repeats the
 system turn and as much of the last ``history`` turns before its span as fits, and the loss mask leaves those out, so each
-assistant text is a target once. Turns are never cut: one that is longer than the budget is a window of its own.
+assistant text is a target once. Turns are never cut: one that doesn't fit is a window of its own, with the system turn.
 
 The template is ``<s>[INST] role [/INST]text</s>`` for each turn. Control strings begin with ``<`` or ``[``; those and ``&``
 are written as entities inside roles and texts, which is reversible, so no text can forge a mark.
 
+A turn's tokens are by default the UTF-8 bytes of the formatted turn, marks and entities included: no byte-level or byte-fallback
+tokenizer gives more, so the budget holds whatever the language. For fuller windows, ``tokens`` names a column with true counts of
+``formatted_turn`` (rows without one fall back to the bytes), or is a function of role and text.
+
+A conversation's digest needs its turns in one place, and so does a window sum: a conversation is a key that isn't split.
+
 Defined cases: null texts and roles count as empty. Rows of a conversation stand by turn (null first), then role, then text;
 repeated rows are turns of their own. Rows with a null conv_id form one conversation. The system turn is a first turn with
 role ``system``; later system rows are turns like others. An empty table gives no rows. Extra columns are ignored.
@@ -34,16 +40,22 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def estimated_tokens(role: Column, text: Column) -> Column:
-    """A quarter of the characters, and four for the marks."""
-    return F.floor(F.char_length(text) / 4) + 4
+def formatted_turn(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(OPEN), escape(role), F.lit(SHUT), escape(text), F.lit(END))
+
+
+def most_tokens(role: Column, text: Column) -> Column:
+    """The bytes of the formatted turn: no fewer than its tokens."""
+    return F.octet_length(escape(role)) + F.octet_length(escape(text)) + len(OPEN + SHUT + END)
 
 
-def spans(conversations: DataFrame, room: int, tokens=estimated_tokens) -> DataFrame:
+def spans(conversations: DataFrame, room: int, tokens=most_tokens) -> DataFrame:
     """One row for each turn: conv_id, pos, role, text, tokens, the sums before and up to it, its span, and the system turn."""
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
-    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("tokens", tokens(F.col("role"), F.col("text")).cast("bigint"))
+    given = F.col(tokens) if isinstance(tokens, str) else F.lit(None)
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), given.cast("bigint").alias("tokens"))
+    count = most_tokens if isinstance(tokens, str) else tokens
+    rows = rows.withColumn("tokens", F.coalesce("tokens", count(F.col("role"), F.col("text")).cast("bigint")))
     conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("pos", F.row_number().over(conv))
     upto = Window.partitionBy("conv_id").orderBy("pos")
@@ -61,7 +73,7 @@ def spans(conversations: DataFrame, room: int, tokens=estimated_tokens) -> DataF
     return rows.withColumn("span", F.col("slot") * 2 + F.when(F.col("alone"), 0).otherwise(1)).drop("slot", "alone")
 
 
-def windows(conversations: DataFrame, budget: int = 512, history: int = 2, history_tokens: int = 128, tokens=estimated_tokens) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = 2048, history: int = 2, history_tokens: int = 512, tokens=most_tokens) -> DataFrame:
     """conv_id, window, formatted, n_repeated (turns at its start that are not new), loss_spans (start, length in characters)."""
     rows = spans(conversations, max(1, budget - history_tokens), tokens)
     upto = Window.partitionBy("conv_id").orderBy("pos")
@@ -88,8 +100,7 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 2, histo
     ).withColumn("used", F.explode(F.filter("used", lambda u: u.isNotNull())))
     kind, is_sys = F.col("used.kind"), F.col("used.kind") == 0
     role, text = F.when(is_sys, F.lit("system")).otherwise(F.col("role")), F.when(is_sys, F.col("system_text")).otherwise(F.col("text"))
-    head = F.concat(F.lit(OPEN), escape(role), F.lit(SHUT))
-    body = escape(text)
+    head, body = F.concat(F.lit(OPEN), escape(role), F.lit(SHUT)), escape(text)
     piece = piece.select(
         "conv_id", F.col("used.span").alias("window"),
         F.struct(
@@ -97,7 +108,7 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 2, histo
             F.char_length(head).alias("skip"), F.when((kind == 2) & (F.col("role") == "assistant"), F.char_length(body)).alias("loss"),
         ).alias("p"),
     )
-    got = piece.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("p")).alias("p"))  # a window holds at most ``budget`` tokens
+    got = piece.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("p")).alias("p"))  # turns of at most ``budget`` tokens, or one that is longer, and the system turn
     got = got.withColumn("n_repeated", F.size(F.filter("p", lambda x: x["kind"] < 2))).withColumn("sizes", F.transform("p", lambda x: F.char_length(x["out"])))
     starts = F.transform("p", lambda x, i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda a, b: a + b) + x["skip"])
     loss = F.filter(F.zip_with("p", starts, lambda x, s: F.struct(s.alias("start"), x["loss"].alias("length"))), lambda x: x["length"].isNotNull())

@@ -20,22 +20,22 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ESCAPED = "length(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))"
+ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+TURN = f"('<s>[INST] ' || {ESCAPED.format('role')} || ' [/INST]' || {ESCAPED.format('text')} || '</s>')"
 
-#: Budget 512, history of 2 turns and 128 tokens: the defaults of chat.windows.
+#: Budget 2048 (bytes of formatted turns), history of 2 turns and 512: the defaults of chat.windows.
 CHAT = f"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(0, 2) x(t)),
-a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, length(text) // 4 + 4 AS tok,
- length('<s>[INST] ' || ' [/INST]' || '</s>') + {ESCAPED.format('role')} + {ESCAPED.format('text')} AS chars FROM r),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, strlen{TURN} AS tok, length{TURN} AS chars FROM r),
 b AS (SELECT *, pos = 1 AND role = 'system' AS sys FROM a),
 c AS (SELECT *, coalesce(max(tok) FILTER (sys) OVER (PARTITION BY conv_id), 0) AS sys_tok, max(chars) FILTER (sys) OVER (PARTITION BY conv_id) AS sys_chars,
  sum(CASE WHEN sys THEN 0 ELSE tok END) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM b),
-d AS (SELECT *, upto - CASE WHEN sys THEN 0 ELSE tok END AS before, greatest(1, 384 - sys_tok) AS free FROM c),
+d AS (SELECT *, upto - CASE WHEN sys THEN 0 ELSE tok END AS before, greatest(1, 1536 - sys_tok) AS free FROM c),
 e AS (SELECT *, ((greatest(upto, 1) - 1) // free)::BIGINT AS slot FROM d),
 f AS (SELECT *, (before // free)::BIGINT < slot AND NOT sys AND max(upto) OVER s - min(before) OVER s > free AS alone FROM e WINDOW s AS (PARTITION BY conv_id, slot)),
 g AS (SELECT *, slot * 2 + CASE WHEN alone THEN 0 ELSE 1 END AS span FROM f),
-h AS (SELECT *, pos = min(pos) OVER s AS begins, least(128, greatest(0, 512 - sys_tok - sum(tok) OVER s)) AS spare FROM g WINDOW s AS (PARTITION BY conv_id, span)),
+h AS (SELECT *, pos = min(pos) OVER s AS begins, least(512, greatest(0, 2048 - sys_tok - sum(tok) OVER s)) AS spare FROM g WINDOW s AS (PARTITION BY conv_id, span)),
 i AS (SELECT *, lead(begins, 1) OVER o AND lead(before, 1) OVER o - before <= lead(spare, 1) OVER o AND NOT sys AS one, lead(begins, 2) OVER o AND lead(before, 2) OVER o - before <= lead(spare, 2) OVER o AND NOT sys AS two,
  begins AND pos > 1 AND sys_chars IS NOT NULL AND lag(span) OVER o <> span AS again FROM h WINDOW o AS (PARTITION BY conv_id ORDER BY pos))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
