@@ -2,17 +2,22 @@
 
 A rotation learned on a bounded sample (iterative quantization, Gong & Lazebnik 2011) turns vectors into codes of up to 64
 bits, cut into substrings. Every block of vectors holds one table for each substring. By the pigeonhole principle, a code
-within Hamming radius r agrees with the query in some substring up to r // substrings bits, so probing the tables at that
-distance retrieves every code within r (Norouzi, Punjani & Fleet 2012); its vectors are then ranked by the exact measure. The
-radius comes from the sample: the quantile ``quantile`` of the distances of true neighbours there. Where fewer than k codes
-lie within it the radius grows until there are k, so no query goes short.
+within Hamming radius r of a query agrees with it in some substring up to a share of r, so probing the tables at these shares
+retrieves every code within r (Norouzi, Punjani & Fleet 2012): with r = m * c + a over m substrings, the first a + 1 are probed
+at c and the others at c - 1. Some 64 queries with like codes probe together, one bit each, and what they retrieve is ranked by the
+exact measure in double precision, after a first estimate in single precision with a margin for its error. The radius comes from
+the sample: the quantile ``quantile`` of the distances of true neighbours there. Where fewer than k codes lie within it the
+radius grows until there are k, so no query goes short.
 
 Vectors of unequal norm get one more coordinate for the codes, which makes the largest inner product the nearest in angle.
-Queries and vectors meet in blocks of bounded size; blocks' bests are merged by query.
+Queries and vectors meet in blocks of bounded size; blocks' bests are merged by query. How much of a block probing can leave out
+depends on the vectors: much if they form clusters, little if they are independent.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor those of another length
-than the most common (ties: the shorter). Ties of the measure go to smaller ids. Repeated ids: rows with the query's own id
-are never its candidates, and an id counts once, with its best score. With fewer than k candidates all are given. Extra columns are ignored.
+than the most common (ties: the shorter). Components of any finite size are scaled for codes and estimates; a score that
+overflows is infinite, and one that isn't a number counts as the least. Ties of the measure go to smaller ids. Repeated ids: rows with
+the query's own id are never its candidates, and an id counts once, with its best score. Of equal vectors in a block, the k + 1 with the smallest
+ids are searched: no other can be among the k nearest. With fewer than k candidates all are given. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,18 +25,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 16_384  # vectors in a block
-QUERIES = 4_096  # queries in a block
+from .common import row_id, stable
+from .hashes import U, mix, powers
+
+BLOCK = 65_536  # vectors in a block
+QUERIES = 16_384  # queries in a block
+BATCH = 64  # queries that probe together
+#: Of the error of an inner product of unit vectors in single precision.
+MARGIN = 2e-5
 
 
 @dataclass
 class Codes:
-    """Centre, rotation and reach of the codes: sign((x augmented - centre) @ rotation), cut into ``substrings``."""
+    """Scale, centre, rotation and reach of the codes: sign((x augmented - centre) @ rotation), cut into ``substrings``."""
 
+    scale: float
     centre: np.ndarray
     rotation: np.ndarray
     norm: float
@@ -44,7 +56,7 @@ class Codes:
 
     def encode(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Substring values of each vector, (rows, substrings). A query's extra coordinate is 0 and its norm is made the largest."""
-        bits = augmented(x, self.norm, query) - self.centre
+        bits = augmented(x / self.scale, self.norm, query) - self.centre
         bits = (bits @ self.rotation) > 0
         pad = self.width * self.substrings - bits.shape[1]
         bits = np.pad(bits, ((0, 0), (0, pad))).reshape(len(x), self.substrings, self.width)
@@ -52,27 +64,35 @@ class Codes:
 
 
 def augmented(x: np.ndarray, norm: float, query: bool) -> np.ndarray:
-    own = np.linalg.norm(x, axis=1)
     if query:
-        return np.column_stack([x * (norm / np.maximum(own, 1e-300))[:, None], np.zeros(len(x))])
+        x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+        return np.column_stack([x * (norm / np.maximum(np.linalg.norm(x, axis=1), 1e-300))[:, None], np.zeros(len(x))])
+    own = np.linalg.norm(x, axis=1)
     return np.column_stack([x, np.sqrt(np.maximum(norm**2 - own**2, 0))])
 
 
-def learn(x: np.ndarray, norm: float, k: int, substrings: int = 8, bits: int = 64, quantile: float = 0.97, rounds: int = 30) -> Codes:
+def whole(codes: np.ndarray, width: int) -> np.ndarray:
+    """All substrings of each code in one number."""
+    return (codes.astype(U) << (np.arange(codes.shape[1]) * width).astype(U)).sum(axis=1, dtype=U)
+
+
+def learn(x: np.ndarray, scale: float, norm: float, k: int, substrings: int = 8, bits: int = 64, quantile: float = 0.97, rounds: int = 30) -> Codes:
     """Principal directions, rotated by iterative quantization; the radius from the true k nearest within the sample."""
-    z = augmented(x, norm, False)
+    z = augmented(x / scale, norm, False)
     centre = z.mean(axis=0)
     z = z - centre
     _, v = np.linalg.eigh(z.T @ z)
-    v = v[:, ::-1][:, : min(bits, z.shape[1])]
+    v = v[:, ::-1][:, : min(bits, 64, z.shape[1])]
     y, rng = z @ v, np.random.default_rng(0)
     r = np.linalg.qr(rng.normal(size=(v.shape[1],) * 2))[0]
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.sign(y @ r).T @ y)
         r = (u @ w).T
-    codes = Codes(centre, v @ r, norm, 0, min(substrings, v.shape[1]))
+    codes = Codes(scale, centre, v @ r, norm, 0, min(substrings, v.shape[1]))
+    if codes.width * codes.substrings > 64 or codes.width > 16:
+        raise ValueError("the substrings must be of 16 bits at most, and of 64 together")
     some = x[: min(len(x), 512)]
-    near = some @ x.T
+    near = (some / scale) @ (x / scale).T
     near[np.arange(len(some)), np.arange(len(some))] = -np.inf
     top = np.argsort(-near, axis=1)[:, : min(k, max(1, len(x) - 1))]
     a, b = codes.encode(some, True), codes.encode(x, False)
@@ -82,24 +102,112 @@ def learn(x: np.ndarray, norm: float, k: int, substrings: int = 8, bits: int = 6
 
 
 class BlockIndex:
-    """One table for each substring: the block's rows sorted by value, with the range of each value that occurs."""
+    """Codes by substring: which rows a set of probes hits is found by looking up the rows' substring values."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.tables = []
-        for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable")
-            values, first = np.unique(codes[order, s], return_index=True)
-            self.tables.append((order, values, first, np.append(first[1:], len(order))))
+    def __init__(self, values: np.ndarray, width: int | None = None):
+        self.width = int(values.max(initial=1)).bit_length() if width is None else width
+        self.whole = whole(values, self.width)
+        self.columns = [np.ascontiguousarray(c) for c in values.T]
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes lie within the radius, by pigeonhole probing and a check of the full distance."""
-        each, hit = radius // len(self.tables), np.zeros(len(self.codes), bool)
-        for s, (order, values, first, last) in enumerate(self.tables):
-            for v in np.flatnonzero(np.bitwise_count(values ^ code[s]) <= each):
-                hit[order[first[v] : last[v]]] = True
+    def probe(self, asked: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that some of at most 64 queries retrieves, and which queries have them within their radius, (queries, rows)."""
+        m, every = len(self.columns), np.arange(1 << self.width, dtype=np.uint32)
+        c, a = np.divmod(radius, m)
+        reach = c[:, None] - (np.arange(m)[None] > a[:, None])  # -1: not probed
+        bit = U(1) << np.arange(len(asked)).astype(U)
+        hit = np.zeros(len(self.whole), U)
+        for s, column in enumerate(self.columns):
+            near = np.bitwise_count(every[None] ^ asked[:, s, None]).astype(np.int64) <= reach[:, s, None]
+            hit |= np.where(near, bit[:, None], U(0)).sum(axis=0, dtype=U)[column]  # one look-up serves all queries
         rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
+        inside = (hit[rows][None] & bit[:, None]) != 0
+        inside &= np.bitwise_count(self.whole[rows][None] ^ whole(asked, self.width)[:, None]) <= radius[:, None]
+        return rows, inside
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose codes lie within the radius of one code."""
+        rows, inside = self.probe(code[None], np.array([radius]))
+        return rows[inside[0]]
+
+
+def searched(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in order of their ids, without repeated rows and without vectors that k + 1 smaller ids have too."""
+    h = mix(np.ascontiguousarray(v + 0.0).view(U)) @ powers(0x9E3779B97F4A7C15, v.shape[1])
+    order = np.lexsort((ids, h))
+    h, i = h[order], ids[order]
+    same = np.concatenate([[False], (h[1:] == h[:-1]) & (v[order[1:]] == v[order[:-1]]).all(axis=1)])
+    new = ~same | np.concatenate([[False], i[1:] != i[:-1]])
+    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+    ahead = np.cumsum(new) - 1
+    keep = order[new & (ahead - ahead[start] <= k)]
+    keep = keep[np.argsort(ids[keep], kind="stable")]
+    return ids[keep], v[keep]
+
+
+class BlockSearch:
+    def __init__(self, codes: Codes, ids: np.ndarray, v: np.ndarray, k: int):
+        self.k, self.codes = k, codes
+        self.ids, self.v = searched(ids, v, k)
+        self.repeated = bool((self.ids[1:] == self.ids[:-1]).any())
+        self.distinct = len(np.unique(self.ids))
+        self.index = BlockIndex(codes.encode(self.v, False), codes.width)
+        self.single = (self.v / (np.abs(self.v).max() or 1.0)).astype(np.float32)
+        self.largest = float(np.linalg.norm(self.single, axis=1).max())
+
+    def scores(self, asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            got = np.einsum("ij,ij->i", self.v[rows], asked)
+        return np.where(np.isnan(got), -np.inf, got)
+
+    def best(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For up to 64 queries (vectors, ids): positions of queries, rows and scores of their k best, in no order."""
+        code = self.codes.encode(q, True)
+        left, right = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+        least = np.minimum(self.k, self.distinct - (right > left))
+        radius, at = np.full(len(q), self.codes.radius), np.arange(len(q))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(at):
+            rows, inside = self.index.probe(code[at], radius[at])
+            for j, (a, b) in enumerate(zip(np.searchsorted(rows, left[at]), np.searchsorted(rows, right[at]))):
+                inside[j, a:b] = False
+            new = np.concatenate([[True], self.ids[rows][1:] != self.ids[rows][:-1]]) if len(rows) else np.zeros(0, bool)
+            count = inside.sum(axis=1)
+            if self.repeated and len(rows):
+                count = np.logical_or.reduceat(inside, np.flatnonzero(new), axis=1).sum(axis=1)
+            enough = count >= least[at]
+            if enough.any() and len(rows):
+                out.append(self.ranked(q[at[enough]], at[enough], rows, inside[enough]))
+            at = at[~enough]
+            radius[at] += self.codes.substrings
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+    def ranked(self, q: np.ndarray, name: np.ndarray, rows: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.repeated and len(rows) > 32 * self.k:
+            unit = q / np.abs(q).max(axis=1, keepdims=True)
+            unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+            near = unit @ (self.single if len(rows) == len(self.ids) else self.single[rows]).T
+            near[~inside] = -np.inf
+            # The k-th largest of the maxima of groups is no more than the k-th largest of all.
+            groups = np.maximum.reduceat(near, np.arange(0, len(rows), max(1, len(rows) // (8 * self.k))), axis=1)
+            floor = np.partition(groups, groups.shape[1] - self.k, axis=1)[:, groups.shape[1] - self.k]
+            inside = inside & (near >= (floor - MARGIN * self.largest)[:, None])
+        of, col = np.nonzero(inside)
+        got = np.concatenate([self.scores(q[of[a : a + 65536]], rows[col[a : a + 65536]]) for a in range(0, len(of), 65536)]) if len(of) else np.zeros(0)
+        ids = self.ids[rows[col]]
+        order = np.lexsort((ids, -got, of))
+        of, col, got, ids = of[order], col[order], got[order], ids[order]
+        if self.repeated:  # the best row of each id
+            first = np.sort(np.unique(np.column_stack([of, ids]), axis=0, return_index=True)[1])
+            of, col, got = of[first], col[first], got[first]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        top = place < self.k
+        return name[of[top]], rows[col[top]], got[top]
+
+
+def vectors(table: pa.Table) -> np.ndarray:
+    lists = table.column("v").combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1)
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -113,49 +221,43 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, sample: int = 4096, block: int = BLOCK, queries: int = QUERIES, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
-    rows = usable(embeddings)
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, longest = rows.agg(F.count("*"), F.max(norm2)).first()
-    shape = "query_id bigint, rank int, vec_id bigint, score double"
+    spark = embeddings.sparkSession
+    rows = usable(stable(embeddings.select("vec_id", "embedding"), "vectors"))
+    n, scale = rows.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs)))).first()
     if not n:
-        return embeddings.sparkSession.createDataFrame([], shape)
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(min(1e6, 1.5e6 * sample / n))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    x = np.array([r[0] for r in drawn.select("v").collect()], float)  # ``sample`` vectors at most
-    codes = learn(x, float(np.sqrt(longest)) * (1 + 1e-12), k, **options)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    longest = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / scale) * (x / scale)))).first()[0]
+    # Copies of a vector are drawn together, and count once.
+    drawn = rows.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(min(1e6, 1.5e6 * sample / n))).distinct()
+    x = drawn.orderBy(F.xxhash64("v")).limit(sample).toArrow()  # ``sample`` vectors at most
+    if not x.num_rows:
+        x = rows.select("v").limit(1).toArrow()
+    codes = learn(vectors(x), float(scale), float(np.sqrt(longest)) * (1 + 1e-12), k, **options)
 
-    nb, nq = -(-n // block), -(-n // (every * queries))
-    of = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nb, nq = max(-(-n // block), min(parts, -(-n // 8192))), -(-n // (every * queries))
+    of = lambda blocks: F.pmod(F.xxhash64(row_id()), F.lit(blocks)).cast("int")
     every_one = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    data = rows.select("vec_id", "v", of(nb).alias("b"), every_one(nq).alias("q"))
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", of(nq).alias("q"), every_one(nb).alias("b"))
-
-    def search(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
-        if data.empty or asked.empty:
-            return pd.DataFrame({c: [] for c in names})
-        v, ids = np.stack(data["v"]), data["vec_id"].to_numpy()
-        known = set(ids.tolist())
-        distinct = len(known)
-        repeated = distinct < len(ids)
-        index, w = BlockIndex(codes.encode(v, False)), np.stack(asked["v"])
+    # A row's block is chosen before its copies are made.
+    data = rows.withColumn("b", of(nb)).withColumn("q", every_one(nq))
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("q", of(nq)).withColumn("b", every_one(nb))
+    shape = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def search(key: tuple, data: pa.Table, asked: pa.Table) -> pa.Table:
+        if not data.num_rows or not asked.num_rows:
+            return shape.empty_table()
+        block = BlockSearch(codes, data.column("vec_id").to_numpy(), vectors(data), k)
+        w, own = vectors(asked), asked.column("vec_id").to_numpy()
+        order = np.argsort(whole(codes.encode(w, True), codes.width))  # like codes probe together
         out = []
-        for q, code, own in zip(w, codes.encode(w, True), asked["vec_id"].to_numpy()):
-            least, radius = min(k, distinct - int(own in known)), codes.radius
-            while True:
-                found = index.within(code, radius)
-                found = found[ids[found] != own]
-                if len(found) >= least and (not repeated or len(np.unique(ids[found])) >= least):
-                    break
-                radius += len(index.tables)
-            score = np.einsum("ij,j->i", v[found], q)
-            best = np.lexsort((ids[found], -score))
-            if repeated:  # the best row of each id, in the same order
-                best = best[np.sort(np.unique(ids[found][best], return_index=True)[1])]
-            best = best[:k]
-            out.append((np.full(len(best), own), ids[found][best], score[best]))
-        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
-
-    found = data.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+        for a in range(0, len(order), BATCH):
+            at = order[a : a + BATCH]
+            q, r, s = block.best(w[at], own[at])
+            out.append((own[at[q]], block.ids[r], s))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=shape)
+
+    parts = max(parts, nb * nq)
+    found = data.repartition(parts, "b", "q").groupBy("b", "q").cogroup(asked.repartition(parts, "b", "q").groupBy("b", "q")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
