@@ -7,11 +7,13 @@ all maximal segments of a text. Karlin-Altschul statistics turn segment scores i
 distribution, sums of the r best included, and a logistic curve fitted on the labelled sample turns the best of these into a
 score in 0..1.
 
-The fit uses a bounded sample of labelled rows; its word table is bounded too. Scoring is one narrow pass over whole texts.
+The fit uses a bounded sample of labelled rows (``max_rows``), one row for each id. The model keeps every word of the sample with a
+significant and marked difference; if these were more than ``max_words``, which bounds the broadcast, the fit raises an error.
+Scoring is one narrow pass over whole texts, and every maximal segment of a text counts.
 
 Defined cases: null, empty or wordless text has no segment and the score of a text without evidence. Words not in the table
 score the constant. If labels are missing or of one class only, every score is that class's (0 without labels).
-Repeated rows are scored each. Several labels of one id: the larger counts. Extra columns are kept by ``keep_civil`` only.
+Repeated rows are scored each. Several labels of one id: the larger counts. Several rows of one id: the fit takes one of them, chosen by a hash of the text. Extra columns are kept by ``keep_civil`` only.
 """
 
 from __future__ import annotations
@@ -101,9 +103,9 @@ class ToxicityModel:
     def evidence(self, n: int, segments: list[Segment]) -> float:
         """Minus the log of the smallest chance, over r, of r segments of such a summed score in n background words."""
         best, total = 0.0, 0.0
-        for r, s in enumerate(sorted((s for *_, s in segments), reverse=True)[:50], 1):
+        for r, s in enumerate(sorted((s for *_, s in segments), reverse=True), 1):
             total += self.rate * s - math.log(max(1.0, self.k * n))
-            if total <= 0:
+            if total <= 0:  # smaller segments can't bring it back above 0
                 break
             best = max(best, total - (r - 1) * math.log(total + 1) + math.lgamma(r + 1) + math.lgamma(r))
         return best
@@ -116,11 +118,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.intercept, -700, 700)))
 
 
-def word_counts(rows: DataFrame, flush: int = 200_000) -> DataFrame:
+def word_counts(rows: DataFrame, flush: int = 200_000, flush_chars: int = 1 << 25) -> DataFrame:
     """word, toxic, other: occurrences of words and stems in rows (text, y); each task sums before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+        size = 0
 
         def out() -> pa.RecordBatch:
             names = list(seen[0].keys() | seen[1].keys())
@@ -129,10 +132,12 @@ def word_counts(rows: DataFrame, flush: int = 200_000) -> DataFrame:
         for batch in tidy(batches):
             for text, y in zip(each(batch.column(0)), batch.column(1).to_pylist()):
                 seen[1 if y else 0].update(s for w in tokens(text) for s in stems(w))
-                if len(seen[0]) + len(seen[1]) >= flush:
+                size += len(text or "")
+                if len(seen[0]) + len(seen[1]) >= flush or size >= flush_chars:
                     yield out()
                     seen[0].clear()
                     seen[1].clear()
+                    size = 0
         yield out()
 
     parts = rows.select("text", "y").mapInArrow(run, "word string, toxic bigint, other bigint")
@@ -176,17 +181,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 100
     return w[0] / scale, w[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 20_000, prior_share: float = 0.05, z_least: float = 3.0, delta_least: float = 2.0, gap: float = -0.5, holdout=(5, 0)) -> ToxicityModel:
-    """Learn from at most ``max_rows`` labelled rows outside the holdout; the word table keeps significant, marked differences, the ``max_words`` largest |z|."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 1 << 17, prior_share: float = 0.05, z_least: float = 3.0, delta_least: float = 2.0, gap: float = -0.5, holdout=(5, 0)) -> ToxicityModel:
+    """Learn from at most ``max_rows`` labelled rows outside the holdout; the word table keeps significant, marked differences."""
     sample = labelled_sample(labels, "toxic", max_rows, holdout)
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y"), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    rows = materialise(rows.select("text", "y"), "labelled")
     by_class = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     model = ToxicityModel(gap=gap)
     if not by_class.get(0) or not by_class.get(1):
         model.intercept = 50.0 if by_class.get(1) else -50.0
         return model
-    odds, toxic, other, prior = log_odds(word_counts(rows), prior_share)
-    kept = odds.where((F.abs("z") >= z_least) & (F.abs("delta") >= delta_least) & (F.col("toxic") + F.col("other") >= 5)).orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
+    odds, toxic, other, prior = log_odds(materialise(word_counts(rows), "words"), prior_share)
+    found = odds.where((F.abs("z") >= z_least) & (F.abs("delta") >= delta_least) & (F.col("toxic") + F.col("other") >= 5))
+    kept = found.limit(max_words + 1).collect()
+    if len(kept) > max_words:
+        raise ValueError(f"more than {max_words} words differ: raise z_least, delta_least or max_words")
+    kept.sort(key=lambda r: r["word"])
     model.scores = {r["word"]: r["delta"] + gap for r in kept}
     if not any(s > 0 for s in model.scores.values()):
         model.intercept = math.log(by_class[1] / by_class[0])
