@@ -3,8 +3,9 @@
 SentencePiece turns spaces into a mark that only begins pieces, so no piece crosses from a word to the mark after it, and a run
 of spaces with the word behind it is a unit of its own. Nor does any piece hold a line break with anything else, or a comma or
 full stop behind a letter; so these part units as well. All of this is checked on the vocabulary. The first pass counts the
-distinct pre-tokens of the corpus; the library then sees each of them once. The most frequent ones, a bounded number, are
-broadcast; all others meet the documents in a shuffle join. Nothing but counts is kept: no ids.
+distinct pre-tokens of the corpus; the library then sees each of them once. The most frequent ones, up to a number of bytes, are
+broadcast; all others meet the documents in a shuffle join, long ones by their digest. Pre-tokens too long to be broadcast may be
+frequent (a banner without a space), so their rows are dealt over salts. Nothing but counts is kept: no ids.
 
 Defined cases: null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each. An empty table gives no rows.
 Extra columns are ignored.
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import each, materialise, row_id, text_column, tidy
+from .common import each, frequent_step, materialise, row_id, step_of, text_column, tidy
 
-#: Pre-tokens whose counts are broadcast: at most this many, of at most SHORT characters each; under 10 MB in all.
-FREQUENT = 1 << 17
-SHORT = 24
+#: Pre-tokens whose counts are broadcast: the most frequent of at most LONG bytes each, this many at WEIGHT bytes each, or fewer longer ones.
+FREQUENT, WEIGHT, LONG = 1 << 17, 64, 1024
+#: Pre-tokens of more bytes are shuffled as digests.
+PLAIN = 64
+SALTS = 16
 MARK = "▁"
 LETTERS = "A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
 #: A comma or full stop behind a letter and before white space or the end: always one piece.
@@ -78,11 +81,12 @@ def counter(path: str) -> PieceCounter:
     return _counters[path]
 
 
-def distinct_pretokens(docs: DataFrame, flush: int = 200_000) -> DataFrame:
-    """pretoken, n over the whole corpus; each task sums before the shuffle, in a table that is emptied at ``flush`` entries."""
+def distinct_pretokens(docs: DataFrame, flush: int = 200_000, flush_chars: int = 1 << 25) -> DataFrame:
+    """pretoken, n over the whole corpus; each task sums before the shuffle, in a table that is emptied at ``flush`` entries or texts of ``flush_chars``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        size = 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "n"])
@@ -90,9 +94,11 @@ def distinct_pretokens(docs: DataFrame, flush: int = 200_000) -> DataFrame:
         for batch in tidy(batches):
             for text in each(batch.column(0)):
                 seen.update(pretokens(text)[0])
-                if len(seen) >= flush:
+                size += len(text)
+                if len(seen) >= flush or size >= flush_chars:
                     yield out()
                     seen.clear()
+                    size = 0
         yield out()
 
     return docs.select(text_column(docs).alias("text")).mapInArrow(run, "pretoken string, n bigint").groupBy("pretoken").agg(F.sum("n").alias("n"))
@@ -112,8 +118,10 @@ def piece_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 def count_tokens(docs: DataFrame, limit: int = 4096, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) for every row."""
     table = materialise(piece_counts(docs, path), "pieces")
-    top = table.where(F.length("pretoken") <= SHORT).orderBy(F.desc("n"), "pretoken").limit(frequent)
-    known = docs.sparkSession.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in top.select("pretoken", "pieces").toLocalIterator()})
+    short = table.where(F.octet_length("pretoken") <= LONG)
+    cut = frequent_step(short, "n", frequent * WEIGHT, F.greatest(F.lit(WEIGHT), F.octet_length("pretoken")))
+    top = short.where(step_of(F.col("n")) >= cut).select("pretoken", "pieces").toArrow()
+    known = docs.sparkSession.sparkContext.broadcast(dict(zip(top["pretoken"].to_pylist(), top["pieces"].to_pylist())))
     kind = "struct<known: bigint, rest: array<struct<pretoken: string, f: bigint>>>"
 
     @F.arrow_udf(kind)
@@ -138,10 +146,14 @@ def count_tokens(docs: DataFrame, limit: int = 4096, path: str | None = None, fr
     # One row for each rest; a document's own columns stand in the first alone, so the others are small to shuffle.
     flat = rows.select("row", "doc_id", "n_bytes", F.col("s.known").alias("known"), F.posexplode_outer("s.rest").alias("at", "r"))
     once = lambda c: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c)
-    # Rows without rest get a key of their own, so that they don't meet in one task.
-    key = F.coalesce("r.pretoken", F.concat(F.lit("\u0000"), F.col("row").cast("string")))
-    flat = flat.select(key.alias("pretoken"), "row", F.col("r.f").cast("int").alias("f"), once("doc_id"), once("n_bytes"), once("known"))
-    joined = flat.join(table.select("pretoken", "pieces"), "pretoken", "left")
+    key = lambda c: F.when(F.octet_length(c) <= PLAIN, F.col(c).cast("binary")).otherwise(F.unhex(F.sha2(F.col(c).cast("binary"), 512)))
+    salt = lambda c, long: F.when(F.octet_length(c) > LONG, long).otherwise(F.lit(0))
+    # Rows without rest get a key of their own (longer than any other), so that they don't meet in one task.
+    alone = F.concat(F.repeat(F.lit(" "), PLAIN), F.col("row").cast("string")).cast("binary")
+    own = F.coalesce(salt("r.pretoken", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")), F.lit(0))
+    flat = flat.select(F.coalesce(F.when(F.col("r.pretoken").isNotNull(), key("r.pretoken")), alone).alias("key"), own.alias("salt"), "row", F.col("r.f").cast("int").alias("f"), once("doc_id"), once("n_bytes"), once("known"))
+    parts = F.explode(F.sequence(F.lit(0), salt("pretoken", F.lit(SALTS - 1))))
+    joined = flat.join(table.select(key("pretoken").alias("key"), parts.alias("salt"), "pieces"), ["key", "salt"], "left")
     rest = F.sum(F.coalesce(F.col("f") * F.col("pieces"), F.lit(0))).alias("rest")
     got = joined.groupBy("row").agg(rest, *[F.max(c).alias(c) for c in ("doc_id", "n_bytes", "known")])
     total = F.col("known") + F.col("rest")
