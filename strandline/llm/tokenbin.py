@@ -2,8 +2,9 @@
 
 Each document is one zstandard frame over its serialized ids, compressed with a dictionary that was trained on a bounded
 sample of such arrays. A shard holds the frames of consecutive documents back to back, with their offsets, token counts and
-ids, and the SHA-256 of the dictionary, so one short document is read without its neighbours. Shards are rows of a Parquet
-folder, so Spark's committer makes writing atomic on any store; the dictionary is a one-row table beside them.
+ids, the least and largest id, and the SHA-256 of the dictionary. Shards are rows of a Parquet folder, so Spark's committer makes
+writing atomic on any store; row groups are small, so a look-up by id skips all but the few whose range holds it, reads the index
+columns of these, and then the frames of the shards with a hit. The dictionary is a one-row table beside them.
 
 Defined cases: a null or empty text is the end id alone. Documents stand in ascending doc_id order, null first; rows with
 equal ids stand in order of their frames. An empty table gives an empty folder of shards. Extra columns are ignored.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .bpe import encoder, tokenizer_path
 from .common import each, shared_path, tidy
 
-SHARD = "part int, shard int, before bigint, dict_sha256 string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, frames binary"
+SHARD = "part int, shard int, before bigint, dict_sha256 string, least bigint, largest bigint, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, frames binary"
 #: Bytes of frames in one shard, about.
 SHARD_BYTES = 4 << 20
 
@@ -36,7 +37,7 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 1000, size: int
 
     rows = docs.select("text").where(F.length("text") > 0)
     n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1e6, 1.2e6 * samples / max(1, n)))).limit(samples)
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1e6, 1.2e6 * samples / max(1, n)))).dropDuplicates(["text"]).limit(samples)  # copies of a text are drawn together
 
     @F.arrow_udf("binary")
     def serialized(texts: pa.Array) -> pa.Array:
@@ -84,8 +85,8 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
         ids, sizes, frames, offsets = [], [], [], [0]
 
         def shard() -> pa.RecordBatch:
-            row = {"part": part, "shard": number, "before": before, "dict_sha256": digest, "doc_ids": ids, "n_tokens": sizes, "offsets": offsets, "frames": b"".join(frames)}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())]))
+            row = {"part": part, "shard": number, "before": before, "dict_sha256": digest, "least": next((d for d in ids if d is not None), None), "largest": ids[-1], "doc_ids": ids, "n_tokens": sizes, "offsets": offsets, "frames": b"".join(frames)}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("dict_sha256", pa.string()), ("least", pa.int64()), ("largest", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())]))
 
         for batch in tidy(batches):
             for doc, n, frame in zip(*(batch.column(c).to_pylist() for c in range(3))):
@@ -102,7 +103,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
 
     framed = rows.mapInArrow(compress, "doc_id bigint, part int, n bigint, frame binary")
     ordered = framed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "frame")
-    ordered.select("doc_id", "n", "frame").mapInArrow(shards, SHARD).write.option("compression", "none").parquet(f"{folder}/shards")
+    ordered.select("doc_id", "n", "frame").mapInArrow(shards, SHARD).write.option("compression", "none").option("parquet.block.size", SHARD_BYTES).parquet(f"{folder}/shards")
     return folder
 
 
@@ -135,7 +136,7 @@ def read_tokens(spark: SparkSession, folder: str, path: str | None = None, with_
         reader = zstandard.ZstdDecompressor(**codec(dictionary))
         for batch in tidy(batches):
             for s in range(batch.num_rows):
-                part, _, before, sha, ids, sizes, offsets, frames = (batch.column(c)[s].as_py() for c in range(8))
+                part, _, before, sha, _, _, ids, sizes, offsets, frames = (batch.column(c)[s].as_py() for c in range(10))
                 if sha != digest:
                     raise ValueError("the shard was written with another dictionary")
                 start, out = first[part] + before, []
@@ -151,17 +152,25 @@ def read_tokens(spark: SparkSession, folder: str, path: str | None = None, with_
     return shards.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 
+def holding(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
+    """part, shard, and start and stop of the frames of the documents with this id, from the index columns of the shards in whose range it lies."""
+    at = F.posexplode("doc_ids").alias("k", "id")
+    near = spark.read.schema(SHARD).parquet(f"{folder}/shards").where((F.col("least") <= doc_id) & (F.col("largest") >= doc_id))
+    hits = near.select("part", "shard", "offsets", at).where(F.col("id") == doc_id)
+    return hits.select("part", "shard", F.element_at("offsets", F.col("k") + 1).alias("start"), F.element_at("offsets", F.col("k") + 2).alias("stop"))
+
+
 def fetch(spark: SparkSession, folder: str, doc_id: int, path: str | None = None) -> list[list[int]]:
     """The ids of the documents with this id: one frame is decompressed for each, found by the shard's index."""
     import zstandard
 
     wide = encoder(path or tokenizer_path()).dtype.itemsize == 4
     reader = zstandard.ZstdDecompressor(**codec(dictionary_of(spark, folder)[1]))
-    at = F.posexplode("doc_ids").alias("k", "id")
-    hits = spark.read.schema(SHARD).parquet(f"{folder}/shards").where(F.array_contains("doc_ids", doc_id)).select("*", at).where(F.col("id") == doc_id)
-    start, stop = F.element_at("offsets", F.col("k") + 1), F.element_at("offsets", F.col("k") + 2)
-    frames = hits.select(F.substring(F.col("frames"), start.cast("int") + 1, (stop - start).cast("int")).alias("f"))
-    return [unpack(bytes(r["f"]), reader, wide).tolist() for r in frames.collect()]
+    found = []
+    for r in holding(spark, folder, doc_id).orderBy("part", "shard", "start").collect():
+        one = spark.read.schema(SHARD).parquet(f"{folder}/shards").where((F.col("part") == r["part"]) & (F.col("shard") == r["shard"]) & (F.col("least") <= doc_id) & (F.col("largest") >= doc_id))
+        found += [bytes(x[0]) for x in one.select(F.substring(F.col("frames"), F.lit(r["start"] + 1), F.lit(r["stop"] - r["start"]))).collect()]
+    return [unpack(f, reader, wide).tolist() for f in found]
 
 
 def encode_and_read(docs: DataFrame, end_id: int = 2, path: str | None = None, folder: str | None = None) -> DataFrame:
