@@ -17,24 +17,32 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import flat, remainder, runs, spare, tidy
 
 #: Families of common languages by code. A language that is not listed forms a family of its own.
 FAMILIES = {
-    "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"],
-    "romance": ["fr", "es", "it", "pt", "ro", "ca", "gl", "oc"],
+    "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "fo", "af", "fy", "lb", "yi"],
+    "romance": ["fr", "es", "it", "pt", "ro", "ca", "gl", "oc", "la", "rm"],
     "slavic": ["ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "bs", "sl", "mk"],
+    "baltic": ["lt", "lv"],
+    "celtic": ["ga", "gd", "cy", "br"],
     "uralic": ["fi", "et", "hu"],
-    "indic": ["hi", "bn", "mr", "ne", "ur", "pa", "gu"],
+    "indic": ["hi", "bn", "mr", "ne", "ur", "pa", "gu", "or", "as", "sd", "si", "sa"],
+    "iranian": ["fa", "ps", "ku", "ckb", "tg"],
+    "dravidian": ["ta", "te", "kn", "ml"],
     "sinitic": ["zh", "yue"],
-    "semitic": ["ar", "he", "mt"],
-    "turkic": ["tr", "az", "kk", "uz"],
+    "semitic": ["ar", "he", "mt", "am", "ti"],
+    "turkic": ["tr", "az", "kk", "uz", "ky", "tk", "tt", "ug"],
+    "austronesian": ["id", "ms", "jv", "su", "tl", "ceb", "mg", "mi"],
+    "bantu": ["sw", "zu", "xh", "st", "sn", "rw", "ny"],
 }
 BITS = 13
 ORDERS = (2, 3, 4)
+#: Bytes of one text, and texts of one batch, whose n-grams are counted at a time.
+SLICE, TEXTS = 1 << 19, 64
 MULTIPLIERS = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
 #: ASCII letters in lower case, other ASCII as one space, bytes of other characters as they are.
 LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
@@ -51,11 +59,25 @@ def hashed(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield n, (code * np.uint32(MULTIPLIERS[n])) >> np.uint32(32 - BITS)
 
 
+def slices(data: np.ndarray) -> Iterator[np.ndarray]:
+    """The text in parts of some SLICE bytes that overlap, so that each n-gram of four bytes starts in one part."""
+    for at in range(0, max(len(data), 1), SLICE):
+        yield data[at : at + SLICE + max(ORDERS) - 1]
+
+
+def bucket_counts(data: np.ndarray) -> np.ndarray:
+    """How often each n-gram bucket occurs in one text."""
+    counts = np.zeros(1 << BITS)
+    for k, part in enumerate(slices(data)):
+        last = (k + 1) * SLICE >= len(data)
+        for _, h in hashed(part):
+            counts += np.bincount(h if last else h[:SLICE], minlength=1 << BITS)
+    return counts
+
+
 def frequencies(data: np.ndarray) -> np.ndarray:
     """Relative frequencies of the n-gram buckets of one text."""
-    counts = np.zeros(1 << BITS)
-    for _, h in hashed(data):
-        counts += np.bincount(h, minlength=1 << BITS)
+    counts = bucket_counts(data)
     return counts / max(1.0, counts.sum())
 
 
@@ -67,15 +89,16 @@ def packed(vector: np.ndarray) -> bytes:
 
 def linear_sums(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Mean weight over the n-grams of each text, for each machine: (texts, machines). N-grams that cross texts don't count."""
-    out = np.zeros((len(offsets) - 1, len(weights)))
-    total = np.zeros(len(offsets) - 1)
-    for n, h in hashed(data):
-        last = np.maximum(offsets[1:] - n + 1, offsets[:-1])
-        total += last - offsets[:-1]
-        for m, w in enumerate(weights):
-            run = np.concatenate([[0.0], np.cumsum(w[h], dtype=np.float64)])
-            out[:, m] += run[np.minimum(last, len(h))] - run[np.minimum(offsets[:-1], len(h))]
-    return out / np.maximum(total, 1)[:, None]
+    n, size = len(offsets) - 1, 1 << BITS
+    if n == 1:
+        counts = bucket_counts(data)[None]
+    else:
+        counts, doc = np.zeros(n * size), np.repeat(np.arange(n) * size, np.diff(offsets))
+        for order, h in hashed(data):
+            at = np.arange(len(h)) + order <= np.repeat(offsets[1:], np.diff(offsets))[: len(h)]
+            counts += np.bincount(doc[: len(h)][at] + h[at], minlength=n * size)
+        counts = counts.reshape(n, size)
+    return counts @ weights.T.astype(float) / np.maximum(counts.sum(axis=1), 1)[:, None]
 
 
 def svm(gram: np.ndarray, y: np.ndarray, c: float = 10.0, sweeps: int = 30) -> np.ndarray:
@@ -134,19 +157,20 @@ class LanguageModel:
         return np.array(names, object)[best], least[np.arange(len(margins)), best]
 
 
-def fit(rows: DataFrame, max_per_lang: int = 400, families: dict[str, list[str]] | None = None) -> LanguageModel:
-    """Learn from ``text`` and ``lang`` of rows: at most ``max_per_lang`` texts of each language, chosen by a hash of the text."""
+def fit(rows: DataFrame, max_per_lang: int = 400, families: dict[str, list[str]] | None = None, max_rows: int = 6000) -> LanguageModel:
+    """Learn from ``text`` and ``lang`` of rows: at most ``max_per_lang`` different texts of each language and ``max_rows`` in all, chosen by a hash of the text."""
     of = {lang: name for name, langs in (families or FAMILIES).items() for lang in langs}
-    rows = rows.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select("text", "lang", F.xxhash64("text").alias("hash")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     tree: dict[str, list[str]] = {}
     for lang in sorted(counts):
         tree.setdefault(of.get(lang, lang), []).append(lang)
     model = LanguageModel(tree)
     if len(counts) < 2:
         return model
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1e6, 1.2e6 * max_per_lang / n))])
+    most = max(1, min(max_per_lang, max_rows // len(counts)))
+    draw = F.pmod("hash", F.lit(1_000_000))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1e6, 1.4e6 * most / n + 1))])
 
     @F.arrow_udf("binary")
     def vector(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -154,23 +178,24 @@ def fit(rows: DataFrame, max_per_lang: int = 400, families: dict[str, list[str]]
             data, off = flat(batch)
             yield pa.array([packed(frequencies(data[off[i] : off[i + 1]])) for i in range(len(batch))], pa.binary())
 
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
-    got = drawn.select("lang", "draw", vector.asNondeterministic()("text").alias("v")).toPandas().sort_values("draw", kind="stable")
-    got = got.groupby("lang").head(max_per_lang)
+    # Few more than ``most`` texts of a language get past the hash, copies count once, and only vectors of ``most`` reach the driver.
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).groupBy("lang", "draw", "hash").agg(F.min("text").alias("text"))
+    drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "hash"))).where(F.col("at") <= most)
+    got = drawn.select("lang", "at", vector.asNondeterministic()("text").alias("v")).toPandas().sort_values(["lang", "at"])
     x = np.zeros((len(got), 1 << BITS), np.float32)
     for row, v in zip(x, got["v"]):
         at = np.frombuffer(v, np.uint16, len(v) // 6)
         row[at] = np.frombuffer(v, np.float32, offset=len(v) - 4 * len(at)) if len(at) else 0
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
     x *= scale
-    gram, lang = x @ x.T + 1, got["lang"].to_numpy()
+    lang = got["lang"].to_numpy()
     level = np.array([of.get(v, v) for v in lang])
     weights, bias = [], []
     jobs = [("", a, b, level) for a, b in itertools.combinations(sorted(tree), 2)]
     jobs += [(f, a, b, lang) for f in sorted(tree) for a, b in itertools.combinations(sorted(tree[f]), 2)]
     for at, a, b, key in jobs:
         use = np.flatnonzero((key == a) | (key == b))
-        coef = svm(gram[np.ix_(use, use)].astype(np.float64), np.where(key[use] == a, 1.0, -1.0))
+        coef = svm((x[use] @ x[use].T + 1).astype(np.float64), np.where(key[use] == a, 1.0, -1.0))
         weights.append((coef @ x[use]) * scale)
         bias.append(coef.sum())
         model.pairs.append((at, a, b))
@@ -186,7 +211,7 @@ def language(text: Column, model: LanguageModel) -> Column:
         for batch in tidy(batches):
             langs, scores = [], []
             data, off = flat(batch)
-            for i, j in runs(off):
+            for i, j in runs(off, SLICE, TEXTS):
                 part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 lang, score = model.decide(linear_sums(part, at, model.weights) + model.bias)
                 langs += list(lang)
@@ -199,10 +224,10 @@ def language(text: Column, model: LanguageModel) -> Column:
     return F.when(text.rlike(r"\p{L}"), predict.asNondeterministic()(text)).otherwise(none)
 
 
-def identify(docs: DataFrame, max_per_lang: int = 400, families: dict[str, list[str]] | None = None) -> DataFrame:
+def identify(docs: DataFrame, max_per_lang: int = 400, families: dict[str, list[str]] | None = None, max_rows: int = 6000) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns only from documents that are not held out."""
     held = remainder("doc_id", 3) == 1
-    model = fit(docs.where(F.coalesce(~held, F.lit(True))), max_per_lang, families)
+    model = fit(docs.where(F.coalesce(~held, F.lit(True))), max_per_lang, families, max_rows)
     got = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), language(F.col("text"), model).alias("r"))
     return got.select("doc_id", "held_out", "r.lang_pred", "r.score")
 
