@@ -3,7 +3,9 @@
 The pattern alphabet is words. All windows of one length form one searcher: a shift table over blocks of two words says how
 far the search may jump, a bucket keyed by the last block selects the windows that may end here, a prefix block rejects most
 of those, and a direct comparison confirms the rest. Text that shares no word pair with any window is read at one word in
-nine. The pattern set is split into bounded blocks; each block is one more narrow pass, so documents are never shuffled.
+nine. Windows are made and grouped by Spark. If there are more than a block of them, they are dealt into blocks by hash; the
+documents are searched for one block after the other, only one block's tables exist at a time, and what each pass finds is written
+before the next begins. Findings are joined to the documents at the end.
 
 Defined cases: null or wordless text has no words, no hits, is not contaminated and has the digest of the empty string.
 Null or wordless items are never found. Equal windows of several items count for each item; repeated rows of one item count once.
@@ -16,13 +18,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spare, tidy, words
+from .common import each, materialise, row_id, spare, stable, tidy, words
 
 WINDOW = 10
-#: Distinct windows that one pass searches for, about 200 bytes each: a block of patterns is at most some 20 MB.
+#: Distinct windows that one pass searches for, some 400 bytes each in a worker: about 40 MB.
 BLOCK_WINDOWS = 100_000
 
 
@@ -70,41 +72,68 @@ def searchers(patterns: dict[tuple[bytes, ...], list[str]]) -> list[Searcher]:
     return [Searcher(by[k]) for k in sorted(by)]
 
 
-def pattern_blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """Blocks of windows with the ids of their items. Items arrive one partition at a time, never all at once."""
-    block: dict[tuple[bytes, ...], set[str]] = {}
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string"), "text")
-    for item, text in items.toLocalIterator():
-        for p in windows_of(text, width):
-            block.setdefault(p, set()).add(item)
-        if len(block) >= block_windows:
-            yield {p: sorted(ids) for p, ids in block.items()}
-            block = {}
-    if block:
-        yield {p: sorted(ids) for p, ids in block.items()}
+def patterns(benchmark: DataFrame, width: int) -> DataFrame:
+    """pattern (the words of a window, joined by spaces) and the sorted ids of its items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tidy(batches):
+            for at, text in enumerate(each(batch.column(1))):
+                found = [b" ".join(p) for p in windows_of(text, width)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * len(found), pa.string()), pa.array(found, pa.binary())], ["item", "pattern"])
+
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    return items.mapInArrow(run, "item string, pattern binary").groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def tables_of(spark: SparkSession, block: DataFrame) -> Broadcast:
+    """The searchers of one block of patterns, broadcast."""
+    got = block.select("pattern", "items").toArrow()
+    found = {tuple(p.split(b" ")): ids for p, ids in zip(got["pattern"].to_pylist(), got["items"].to_pylist())}
+    return spark.sparkContext.broadcast(searchers(found))
 
 
 FOUND = "struct<n_words: bigint, starts: array<int>, ends: array<int>, items: array<string>>"
 
 
+def finding(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> dict:
+    spans = merged(spans)
+    return {"n_words": n_words, "starts": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted(items)}
+
+
+def findings(rows: list[dict]) -> pa.Array:
+    return pa.array(rows, pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
+
+
 def search(tables: Broadcast):
-    """A function of (text, ranges and items found before) for one block of patterns."""
+    """A function of text for one block of patterns."""
 
     @F.arrow_udf(FOUND)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, before in tidy(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in tidy(batches):
             rows = []
-            for text, old in zip(texts, before):
-                w = words(text.as_py())
-                old = old.as_py() or {"starts": [], "ends": [], "items": []}
-                spans, items = list(zip(old["starts"], old["ends"])), set(old["items"])
+            for text in each(texts):
+                w, spans, items = words(text), [], set()
                 for s in tables.value:
                     for start, p in s.find(w):
                         spans.append((start, start + s.length))
                         items.update(s.items[p])
-                spans = merged(spans)
-                rows.append({"n_words": len(w), "starts": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted(items)})
-            yield pa.array(rows, pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
+                rows.append(finding(len(w), spans, items))
+            yield findings(rows)
+
+    return run.asNondeterministic()
+
+
+def together():
+    """A function of text and the findings of all passes in it: one finding."""
+
+    @F.arrow_udf(FOUND)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, lists in tidy(batches):
+            rows = []
+            for text, found in zip(each(texts), lists):
+                found = found.as_py() or []
+                rows.append(finding(len(words(text)), [x for f in found for x in zip(f["starts"], f["ends"])], {x for f in found for x in f["items"]}))
+            yield findings(rows)
 
     return run.asNondeterministic()
 
@@ -112,14 +141,21 @@ def search(tables: Broadcast):
 def found(docs: DataFrame, benchmark: DataFrame, name: str, width: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with a column of this name: words, disjoint hit ranges [start, end) in words, and the sorted items with occurrences."""
     spark = docs.sparkSession
-    out = docs.withColumn(name, F.lit(None).cast(FOUND))
-    blocks = pattern_blocks(benchmark, width, block_windows)
-    block = next(blocks, {})
-    while block is not None:
-        tables = spark.sparkContext.broadcast(searchers(block))
-        out = out.withColumn(name, search(tables)(F.col("text"), F.col(name)))
-        block = next(blocks, None)
-    return out
+    table = materialise(patterns(benchmark, width), "patterns")
+    blocks = -(-table.count() // block_windows)
+    if blocks <= 1:
+        return docs.withColumn(name, search(tables_of(spark, table))(F.col("text")))
+    docs, row = stable(docs, "texts"), spare(docs, "__row")
+    docs, hits = docs.withColumn(row, row_id()), None
+    for b in range(blocks):
+        tables = tables_of(spark, table.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b))
+        one = docs.select(F.col(row).alias("r"), search(tables)(F.col("text")).alias("f")).where(F.size("f.starts") > 0)
+        one = materialise(one, "hits")
+        hits = one if hits is None else hits.unionByName(one)
+        tables.destroy()
+    hits = hits.groupBy("r").agg(F.collect_list("f").alias(name))  # a finding for each pass at most
+    got = docs.join(hits, docs[row] == hits["r"], "left").drop("r", row)
+    return got.withColumn(name, together()(F.col("text"), F.col(name)))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
