@@ -216,6 +216,40 @@ def test_nearest_edges(spark):
     assert [r["vec_id"] for r in got] == [i for i in range(21) if i != 20]
 
 
+def test_nearest_takes_components_of_any_size(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 6))
+    for scale in (1e200, 1e-200, 1.0):
+        df = spark.createDataFrame([(i, (v * scale).tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        rows = ann.nearest(df).where("query_id = 20").orderBy("rank").collect()
+        assert len(rows) == 20 and [r["rank"] for r in rows] == list(range(1, 21))
+        with np.errstate(over="ignore", invalid="ignore"):
+            assert all(r["score"] == float((x[20] * scale) @ (x[r["vec_id"]] * scale)) or abs(r["score"] - float((x[20] * scale) @ (x[r["vec_id"]] * scale))) <= 1e-9 * abs(r["score"]) for r in rows)
+    mixed = spark.createDataFrame([(i, (v * (1e200 if i % 2 else 1e-200)).tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    assert ann.nearest(mixed).count() == 20 * 20
+
+
+def test_nearest_query_has_the_recall(spark):
+    from strandline.llm.queries import op4_nearest
+
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in table(spark, "embeddings").collect()}
+    got = {}
+    for r in op4_nearest(spark, SF).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute_nearest(x, 20, 20)
+    assert set(got) == set(want) and np.mean([len(got[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
+
+
+def test_block_keeps_few_of_equal_vectors_and_all_answers():
+    rng = np.random.default_rng(3)
+    v = np.concatenate([np.repeat(rng.standard_normal((1, 5)), 300, axis=0), rng.standard_normal((200, 5))])
+    ids = rng.permutation(500)
+    ids[10:14] = ids[9]  # one row four times more
+    kept, w = ann.searched(ids, v, 20)
+    assert (np.diff(kept) >= 0).all() and (w == v[0]).all(axis=1).sum() == 21
+    assert sorted(kept[(w == v[0]).all(axis=1)]) == sorted(set(ids[:300]))[:21] and len(kept) == 221
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -244,17 +278,37 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
-def test_chat_windows_keep_their_budget(spark):
+def turns_of(formatted):
+    return [t + "</s>" for t in formatted.split("</s>")[:-1]]
+
+
+def test_chat_windows_keep_their_budget_of_tokens(spark, tokenizer):
     _, df = conversations(spark)
-    spent = lambda r: sum(len(chat_unescape(t.split(" [/INST]", 1)[1])) // 4 + 4 for t in r["formatted"].split("</s>")[:-1])
-    rows = chat.windows(df, budget=256, history=2, history_tokens=64).where("conv_id = 53").orderBy("window").collect()
-    assert len(rows) > 3 and all(spent(r) <= 256 for r in rows)
+    rng = random.Random(8)
+    cjk = [(c, t, "user" if t % 2 else "assistant", "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(rng.choice([3, 60, 200, 900])))) for c in range(20) for t in range(12)]
+    for rows, budget in ((df, 256), (spark.createDataFrame(cjk, "conv_id bigint, turn bigint, role string, text string"), 1024), (table(spark, "conversations"), 2048)):
+        got = chat.windows(rows, budget=budget, history=2, history_tokens=budget // 4).collect()
+        assert len(got) > 20
+        for r in got:
+            turns = turns_of(r["formatted"])
+            own = turns[1:] if turns[0].startswith("<s>[INST] system [/INST]") else turns  # a turn that doesn't fit stands alone, with the system turn
+            assert len(tokenizer.encode(r["formatted"], add_special_tokens=False).ids) <= budget or len(own) <= 1
+
+
+def test_chat_history_and_system_turn(spark):
+    _, df = conversations(spark)
+    rows = chat.windows(df, budget=800, history=2, history_tokens=400).where("conv_id = 53").orderBy("window").collect()
+    assert len(rows) > 3 and all(len(r["formatted"].encode()) <= 800 for r in rows)
     assert all(r["formatted"].startswith("<s>[INST] system [/INST]rules</s>") for r in rows) and any(r["n_repeated"] > 1 for r in rows)
     assert len(chat.windows(df, budget=256).where("conv_id = 54").collect()) == 1
 
 
-def chat_unescape(text):
-    return text.replace("&#91;", "[").replace("&lt;", "<").replace("&amp;", "&")
+def test_chat_takes_true_counts(spark):
+    rows = [(0, t, "user" if t % 2 else "assistant", "word " * 20, 10 if t < 8 else None) for t in range(16)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, n bigint")
+    got = chat.windows(df, budget=40, history=0, history_tokens=0, tokens="n").orderBy("window").collect()
+    assert [len(turns_of(r["formatted"])) for r in got] == [4, 4] + [1] * 8  # rows without a count fall back to their bytes
+    assert chat.read_back(chat.windows(df, budget=40, tokens="n")).first()["n_turns"] == 16
 
 
 def test_chat_is_native(spark):
@@ -292,6 +346,17 @@ def test_token_files(spark, edge_docs, none_docs, tokenizer, tmp_path):
     assert tokenbin.encode_and_read(none_docs).count() == 0
 
 
+def test_fetch_skips_shards_without_the_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenbin, "SHARD_BYTES", 2000)
+    folder = str(tmp_path / "files")
+    tokenbin.write_tokens(spark.createDataFrame([(i, prose(i, 80)) for i in range(300)], "doc_id bigint, text string"), folder)
+    shards = spark.read.parquet(f"{folder}/shards")
+    assert shards.count() > 10 and shards.where("least <= 77 and largest >= 77").count() == 1
+    plan = tokenbin.holding(spark, folder, 77)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(least,77)" in plan and "GreaterThanOrEqual(largest,77)" in plan and "frames" not in plan.split("ReadSchema")[1]
+    assert len(tokenbin.fetch(spark, folder, 77)) == 1
+
+
 def test_dictionary_is_checked(spark, tmp_path):
     folder = str(tmp_path / "files")
     tokenbin.write_tokens(spark.createDataFrame([(i, prose(i, 80)) for i in range(300)], "doc_id bigint, text string"), folder)
@@ -476,15 +541,27 @@ def test_jaccard_join(spark, monkeypatch, small):
 def test_jaccard_edges(spark, edge_docs, none_docs):
     got = jaccard.link(edge_docs).collect()
     by = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got}
-    assert len(got) == 14 and by[0] == (0, 2) and by[1] == (0, 2) and by[2] == (0, 2) and by[8] == (8, 1) and by[10] == (8, 1)
+    assert len(got) == 15 and all(by[i] == (0, 3) for i in (0, 1, 2, None)) and by[8] == (8, 1) and by[10] == (8, 1)
     assert all(by[i] == (i, 0) for i in (4, 5, 6, 9, 11, 12)) and by[3] == (3, 1)
     kept = jaccard.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 3, 4, 5, 6, 7, 8, 9, 11, 12] and kept.where("doc_id is null").count() == 1
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 3, 4, 5, 6, 7, 8, 9, 11, 12] and kept.where("doc_id is null").count() == 0
     assert jaccard.link(none_docs).count() == 0 and jaccard.keep_one(none_docs).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_are_both_kept(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.link(docs).collect())
+    assert got == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (None, 1, 1), (None, None, 1), (None, None, 1), (3, 3, 0)])
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect())
+    assert kept == Counter([(1, a), (1, b), (None, c), (3, "")])
+
+
 def test_bands_reach_the_recall():
+    with pytest.raises(ValueError):
+        jaccard.bands(0.05, 0.9999)
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.99), (0.9, 0.999)):
         b, r = jaccard.bands(threshold, recall)
         assert 1 - (1 - threshold**r) ** b >= recall and b * r <= 128
@@ -506,6 +583,14 @@ def test_components(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in root}
+    with pytest.raises(RuntimeError):
+        jaccard.components(spark, spark.createDataFrame(edges, "a bigint, b bigint"), most=1)
+
+
+def test_a_long_path_is_one_component(spark):
+    path = spark.range(1 << 12).selectExpr("(id * 2654435761) % 4294967296 AS a", "((id + 1) * 2654435761) % 4294967296 AS b")
+    got = jaccard.components(spark, path).collect()
+    assert len(got) == (1 << 12) + 1 and {r["root"] for r in got} == {0}
 
 
 # Queries ---------------------------------------------------------------------------------------------------------------------
