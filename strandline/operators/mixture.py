@@ -2,11 +2,12 @@
 
 One Spark job per iteration: every task reduces its rows to sufficient statistics of the components with numpy, Spark sums
 them by component, and only K * d (or K * d * d) numbers reach the driver, whatever the number of rows. The driver solves the
-small linear systems. The objective of an iteration falls out of the next one's pass.
+linear systems, banded ones under a prior. The objective of an iteration falls out of the next one's pass.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from . import priors
 
-MODELS = ("VVV", "EEI", "EII", "VII")
+#: Volume, shape and orientation of the components' covariances, each equal, variable or (I) along the axes.
+MODELS = ("VVV", "EEE", "EEI", "EVI", "VEI", "VVI", "EII", "VII")
+FULL = ("VVV", "EEE")
 RIDGE, LEAST_WEIGHT, LEAST_DENSITY = 1e-6, 1e-8, 1e-300
 
 
@@ -30,6 +33,7 @@ class Params:
     sigma: np.ndarray
     inverse: np.ndarray | None = field(default=None, repr=False)
     logdet: np.ndarray | None = field(default=None, repr=False)
+    precision: np.ndarray | None = field(default=None, repr=False)  # inverse variances (K, d), if all covariances are diagonal
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -41,8 +45,9 @@ class Params:
             low = np.linalg.cholesky(self.sigma)
         except np.linalg.LinAlgError:
             raise ValueError("a covariance isn't positive definite: a component has collapsed") from None
-        inv = np.linalg.inv(low)
-        return replace(self, inverse=np.swapaxes(inv, 1, 2) @ inv, logdet=2 * np.log(np.diagonal(low, axis1=1, axis2=2)).sum(axis=1))
+        inv, scale = np.linalg.inv(low), np.diagonal(low, axis1=1, axis2=2)
+        plain = not (self.sigma * (1 - np.eye(self.sigma.shape[1]))).any()
+        return replace(self, inverse=np.swapaxes(inv, 1, 2) @ inv, logdet=2 * np.log(scale).sum(axis=1), precision=scale**-2.0 if plain else None)
 
     def as_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(k + 1, float(self.pi[k]), self.mu[k].tolist(), self.sigma[k].tolist()) for k in range(len(self.pi))]
@@ -64,7 +69,7 @@ def log_joint(x: np.ndarray, p: Params) -> np.ndarray:
         const = np.log(p.pi) - 0.5 * (p.logdet + d * np.log(2 * np.pi))
     for j in range(k):
         c = x - p.mu[j]
-        out[:, j] = const[j] - 0.5 * np.einsum("ij,ij->i", c @ p.inverse[j], c)
+        out[:, j] = const[j] - 0.5 * (np.einsum("ij,ij->i", c @ p.inverse[j], c) if p.precision is None else (c * c) @ p.precision[j])
     return out
 
 
@@ -85,7 +90,7 @@ def rows_of(batch: pa.RecordBatch | pa.Array, column: str = "x") -> np.ndarray:
 
 @dataclass
 class Statistics:
-    """Sums over rows: n, weight (K), first (K, d), second (K, d, d) around ``centre``, and the two forms of the log-likelihood."""
+    """Sums over rows: n, weight (K), first (K, d), second (K, d, d) or its diagonals around each component's ``centre`` (K, d), and the two forms of the log-likelihood."""
 
     n: int
     weight: np.ndarray
@@ -116,10 +121,15 @@ def soft(x: np.ndarray, p: Params, batch: pa.RecordBatch) -> tuple[np.ndarray, n
     return responsibilities(x, p)
 
 
-def statistics(data: DataFrame, params: Params, diagonal: bool, centre: np.ndarray, weights: Weights = soft, columns: tuple[str, ...] = ("x",)) -> Statistics:
-    """One pass over ``data``; tasks send K * (1 + d + d or d * d) numbers each, which Spark sums by key."""
+def statistics(data: DataFrame, params: Params, diagonal: bool, centre: np.ndarray | None = None, weights: Weights = soft, columns: tuple[str, ...] = ("x",)) -> Statistics:
+    """One pass over ``data``; tasks send K * (1 + d + d or d * d) numbers each, which Spark sums by key.
+
+    Sums stand around the components' present means unless ``centre`` is given: around one point far from a tight component,
+    its scatter would be lost in rounding.
+    """
     p, (k, d) = params.cached(), params.shape
     width = d if diagonal else d * d
+    centre = np.broadcast_to(p.mu if centre is None else centre, (k, d))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc, extra = np.zeros((k, 1 + d + width)), np.zeros(3)
@@ -128,14 +138,12 @@ def statistics(data: DataFrame, params: Params, diagonal: bool, centre: np.ndarr
                 part = batch.slice(at, 8192)
                 x = rows_of(part)
                 g, ll = weights(x, p, part)
-                y = x - centre
                 extra += (len(x), np.log(np.exp(ll) + LEAST_DENSITY).sum(), np.log(np.maximum(np.exp(ll), LEAST_DENSITY)).sum())
                 acc[:, 0] += g.sum(axis=0)
-                acc[:, 1 : 1 + d] += g.T @ y
-                if diagonal:
-                    acc[:, 1 + d :] += g.T @ (y * y)
-                else:
-                    acc[:, 1 + d :] += np.stack([((y * g[:, [j]]).T @ y).ravel() for j in range(k)])
+                for j in range(k):
+                    y, w = x - centre[j], g[:, j]
+                    acc[j, 1 : 1 + d] += w @ y
+                    acc[j, 1 + d :] += w @ (y * y) if diagonal else ((y * w[:, None]).T @ y).ravel()
         values = np.concatenate([acc.ravel(), extra])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "v"])
 
@@ -157,12 +165,16 @@ def column_summary(data: DataFrame) -> dict[str, np.ndarray]:
     return dict(zip(("mean", "variance", "least", "most"), a.T))
 
 
+def drawn(*parts: object) -> float:
+    """A number in 0..1 from the first 52 bits of the MD5 of the parts, joined by colons."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
 def default_start(data: DataFrame, k: int, seed: int = 1) -> Params:
     """Equal weights, means uniform in the box of the data, identity covariances. The same for the same seed."""
     box = column_summary(data)
-    rng = np.random.default_rng(seed)
-    mu = rng.uniform(box["least"], box["most"], size=(k, len(box["least"])))
-    return isotropic(np.full(k, 1 / k), mu, 1.0)
+    u = np.array([[drawn(seed, i + 1, j + 1) for j in range(len(box["least"]))] for i in range(k)])
+    return isotropic(np.full(k, 1 / k), box["least"] + u * (box["most"] - box["least"]), 1.0)
 
 
 def e_step(data: DataFrame, params: Params, name: str = "gamma") -> DataFrame:
@@ -190,12 +202,22 @@ def e_step_expressions(x: Column, params: Params) -> Column:
 
 
 def covariances(stats: Statistics, means: np.ndarray, floored: np.ndarray, model: str) -> np.ndarray:
+    """Maximum-likelihood covariances of the model around the means (Celeux & Govaert 1995); VVV and EEI carry a small ridge."""
     k, d = means.shape
     s = stats.scatter(means)
     if model == "VVV":
         return s / floored[:, None, None] + RIDGE * np.eye(d)
+    if model == "EEE":
+        return np.repeat((s.sum(axis=0) / stats.n)[None], k, axis=0)
     if model == "EEI":
         shared = np.repeat((s.sum(axis=0) / stats.n + RIDGE)[None], k, axis=0)
+    elif model == "VVI":
+        shared = s / floored[:, None]
+    elif model == "EVI":
+        size = np.exp(np.log(np.maximum(s, LEAST_DENSITY)).mean(axis=1, keepdims=True))
+        shared = s / size * size.sum() / stats.n
+    elif model == "VEI":
+        shared = equal_shape(s, floored)
     elif model == "VII":
         shared = np.repeat((s.sum(axis=1) / (floored * d))[:, None], d, axis=1)
     elif model == "EII":
@@ -205,7 +227,24 @@ def covariances(stats: Statistics, means: np.ndarray, floored: np.ndarray, model
     return shared[:, :, None] * np.eye(d)
 
 
-def m_step(stats: Statistics, params: Params, prior: np.ndarray | None = None, model: str = "VVV", mean_update: str = "weighted", cov_center: str = "unpenalised") -> Params:
+def equal_shape(s: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Variances volume_k * shape with one shape (product 1) for all, from diagonal scatters: volumes and shape in turns."""
+    volume = s.mean(axis=1) / weight
+    for _ in range(rounds):
+        shape = (s / volume[:, None]).sum(axis=0)
+        shape = shape / np.exp(np.log(np.maximum(shape, LEAST_DENSITY)).mean())
+        new = (s / shape).mean(axis=1) / weight
+        done = np.allclose(new, volume, rtol=1e-12, atol=0)
+        volume = new
+        if done:
+            break
+    return volume[:, None] * shape
+
+
+Prior = np.ndarray | priors.Banded
+
+
+def m_step(stats: Statistics, params: Params, prior: Prior | None = None, model: str = "VVV", mean_update: str = "weighted", cov_center: str = "unpenalised") -> Params:
     """New parameters from the statistics.
 
     ``weighted``: with a prior the means solve (blockdiag(N_k inv(S_k)) + Q) u = stack(inv(S_k) sum_k) under the previous
@@ -220,25 +259,22 @@ def m_step(stats: Statistics, params: Params, prior: np.ndarray | None = None, m
     if mean_update == "unweighted":
         if model == "EEI":
             raise ValueError("the unweighted update has no EEI covariances")
-        system = np.diag(np.repeat(weight, d)) + (0 if prior is None else prior)
-        means = np.linalg.solve(system, sums.ravel()).reshape(k, d)
+        means = priors.solved(prior, weight[:, None, None] * np.eye(d), sums) if prior is not None else plain
         return Params(weight / stats.n, means, covariances(stats, means, weight, model))
     means = plain
     if prior is not None:
         inverse = params.inverse if params.inverse is not None else params.cached().inverse
-        system = np.array(prior, float)
-        for j in range(k):
-            system[j * d : (j + 1) * d, j * d : (j + 1) * d] += weight[j] * inverse[j]
-        means = np.linalg.solve(system, np.einsum("kij,kj->ki", inverse, sums).ravel()).reshape(k, d)
+        means = priors.solved(prior, weight[:, None, None] * inverse, np.einsum("kij,kj->ki", inverse, sums))
     centre = means if cov_center == "penalised" else plain
     return Params(weight / stats.n, means, covariances(stats, centre, weight, model))
 
 
-def objective(loglik: float, means: np.ndarray, prior: np.ndarray | None) -> float:
+def objective(loglik: float, means: np.ndarray, prior: Prior | None, log_det: float | None = None) -> float:
+    """Log-likelihood plus log prior density up to a constant; ``log_det`` is that of the prior, if it is known already."""
     if prior is None:
         return loglik
     u = means.ravel()
-    return loglik - 0.5 * float(u @ prior @ u) + 0.5 * priors.log_det(prior)
+    return loglik - 0.5 * float(u @ (prior @ u)) + 0.5 * (priors.log_det(prior) if log_det is None else log_det)
 
 
 @dataclass
@@ -263,7 +299,7 @@ class Fit:
         return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(self.trace)], "iter int, objective double")
 
 
-def fit(data: DataFrame, start: Params, prior: np.ndarray | None = None, model: str = "VVV", max_iter: int = 100, tol: float = 1e-4, mean_update: str = "weighted", cov_center: str = "unpenalised", late_params: bool = True) -> Fit:
+def fit(data: DataFrame, start: Params, prior: Prior | None = None, model: str = "VVV", max_iter: int = 100, tol: float = 1e-4, mean_update: str = "weighted", cov_center: str = "unpenalised", late_params: bool = True) -> Fit:
     """Expectation-maximisation from ``start``.
 
     Stops when the objective gains less than ``tol``, which includes a loss (``decreased``). With ``late_params`` off, a
@@ -274,15 +310,14 @@ def fit(data: DataFrame, start: Params, prior: np.ndarray | None = None, model:
         raise ValueError("max_iter must be 1 at least")
     held = data.select("x").persist()
     try:
-        centre = column_summary(held)["mean"]
-        diagonal = model != "VVV"
+        diagonal, log_det = model not in FULL, None if prior is None else priors.log_det(prior)
         params = start.cached()
-        stats = statistics(held, params, diagonal, centre)
+        stats = statistics(held, params, diagonal)
         trace: list[float] = []
         while True:
             new = m_step(stats, params, prior, model, mean_update, cov_center).cached()
-            stats = statistics(held, new, diagonal, centre)
-            trace.append(objective(stats.loglik_added, new.mu, prior))
+            stats = statistics(held, new, diagonal)
+            trace.append(objective(stats.loglik_added, new.mu, prior, log_det))
             done = len(trace) > 1 and trace[-1] - trace[-2] < tol
             if done or len(trace) == max_iter:
                 given = new if late_params or not done else params
@@ -295,7 +330,7 @@ def fit(data: DataFrame, start: Params, prior: np.ndarray | None = None, model:
 def bic(data: DataFrame, fitted: Fit, model: str) -> float:
     """2 log-likelihood minus parameters times log n: larger is better."""
     k, d = fitted.params.shape
-    free = {"VVV": k * d * (d + 1) / 2, "EEI": d, "EII": 1, "VII": k}[model] + k * d + k - 1
+    free = {"VVV": k * d * (d + 1) / 2, "EEE": d * (d + 1) / 2, "EEI": d, "EVI": 1 + k * (d - 1), "VEI": k + d - 1, "VVI": k * d, "EII": 1, "VII": k}[model] + k * d + k - 1
     return 2 * fitted.trace[-1] - free * np.log(data.count())
 
 

@@ -7,23 +7,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax, total, vector
+from ..sources.staging import materialise
 
 
 def positions(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """df with dense positions 1..n in the given order, without moving all rows to one task.
 
-    Rows are range-partitioned and sorted; a partition's first position is the number of rows before it. The range
-    partitioned rows are checkpoint-free: counts and rows come from the same deterministic order.
+    Rows are range-partitioned, sorted and written with their place in their partition; a partition's first position is the number
+    of rows before it, from a table of one row for each partition that is joined by broadcast.
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    spread = spread.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("bigint"), 33)).persist()
-    counts = spread.groupBy("__part").count().collect()
-    before, upto = {}, 0
-    for r in sorted(counts):
-        before[r["__part"]] = upto
+    spread = spread.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("bigint"), 33))
+    spread = materialise(spread, "positions")
+    before, upto = [], 0
+    for r in sorted(spread.groupBy("__part").count().collect()):
+        before.append((r["__part"], upto))
         upto += r["count"]
-    start = F.create_map(*[F.lit(v) for kv in before.items() for v in kv])[F.col("__part")] if before else F.lit(0)
-    return spread.withColumn(name, (start + F.col("__at") + 1).cast("bigint")).drop("__part", "__at")
+    offsets = df.sparkSession.createDataFrame(before, "__part int, __before bigint")
+    placed = spread.join(F.broadcast(offsets), "__part")
+    return placed.withColumn(name, (F.col("__before") + F.col("__at") + 1).cast("bigint")).drop("__part", "__at", "__before")
 
 
 def by_component(data: DataFrame, gamma: str = "gamma", id_col: str = "id") -> DataFrame:
@@ -67,5 +69,5 @@ def pc_scores(data: DataFrame, component: int = 1, name: str = "metric") -> Data
 
 
 def local_positions(df: DataFrame, group: str, *order: Column, name: str = "position") -> DataFrame:
-    """Positions inside each group."""
+    """Positions inside each group; a group's rows are sorted in one task, with spill."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))

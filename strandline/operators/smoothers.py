@@ -125,8 +125,9 @@ def wiener_process(k: int, pi=None, order: int = 2, locations=None, prior_sd: fl
                 rss = max(1e-300, inner + y @ solved)
                 noise = rss / max(1, n - order)
                 value = -0.5 * (n - order) * math.log(rss) - 0.5 * np.linalg.slogdet(v)[1]
-                if prior_sd:
-                    value -= math.log(2) * math.sqrt(ratio * noise) / prior_sd
+                if prior_sd:  # an exponential density of the scale, on a grid that is even in the log of its square
+                    scale = math.sqrt(ratio * noise)
+                    value += math.log(scale) - math.log(2) * scale / prior_sd
                 logs.append(value)
                 means.append(cov[:, have] @ solved)
                 noises.append(noise)

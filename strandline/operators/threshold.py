@@ -6,7 +6,6 @@ least-squares or Gaussian-process fit needs. So an iteration is one pass over th
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mixture import Params, column_summary, isotropic, responsibilities, responsibility_udf, statistics
+from .mixture import Params, column_summary, drawn, isotropic, responsibilities, responsibility_udf, statistics
 
 
 @dataclass
@@ -32,7 +31,7 @@ class Smoother(Protocol):
 
 def uniforms(ids: list, seed: int, step: int) -> np.ndarray:
     """A number in 0..1 for each id, from a hash: it doesn't depend on partitions or order."""
-    return np.array([zlib.crc32(f"{seed}:{step}:{i}:{zlib.crc32(f'{i}:{step}:{seed}'.encode())}".encode()) / 2**32 for i in ids])
+    return np.array([drawn(seed, step, i) for i in ids])
 
 
 def chosen(g: np.ndarray, u: np.ndarray | None) -> np.ndarray:
@@ -49,11 +48,11 @@ def assign(data: DataFrame, params: Params, seed: int | None = None, step: int =
         return rows.select("id", F.array_position("g", F.array_max("g")).cast("int").alias("k"))
 
     @F.arrow_udf("int")
-    def drawn(ids: pa.Array, g: pa.Array) -> pa.Array:
+    def pick(ids: pa.Array, g: pa.Array) -> pa.Array:
         p = g.flatten().to_numpy().reshape(len(g), -1)
         return pa.array(chosen(p, uniforms(ids.to_pylist(), seed, step)) + 1, pa.int32())
 
-    return rows.select("id", drawn("id", "g").alias("k"))
+    return rows.select("id", pick("id", "g").alias("k"))
 
 
 @dataclass

@@ -1,6 +1,8 @@
 import os
 import sys
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before numpy: tasks run side by side, and so do the tests' own small systems
+
 import pytest
 from pyspark.sql import SparkSession
 

@@ -55,6 +55,21 @@ def plain_em(x, p, prior, model, rounds):
             sigma = np.repeat(np.diag(np.diag(scatter.sum(axis=0)) / len(x) + 1e-6)[None], k, axis=0)
         elif model == "VII":
             sigma = np.array([np.trace(s) / (m * d) * np.eye(d) for s, m in zip(scatter, n)])
+        elif model == "EEE":
+            sigma = np.repeat(scatter.sum(axis=0)[None] / len(x), k, axis=0)
+        elif model == "VVI":
+            sigma = np.array([np.diag(np.diag(s)) / m for s, m in zip(scatter, n)])
+        elif model == "EVI":
+            size = [np.prod(np.diag(s)) ** (1 / d) for s in scatter]
+            sigma = np.array([np.diag(np.diag(s)) / v * sum(size) / len(x) for s, v in zip(scatter, size)])
+        elif model == "VEI":
+            shape = np.ones(d)
+            for _ in range(500):
+                volume = [np.sum(np.diag(s) / shape) / (m * d) for s, m in zip(scatter, n)]
+                shape = sum(np.diag(s) / v for s, v in zip(scatter, volume))
+                shape = shape / np.prod(shape) ** (1 / d)
+            volume = [np.sum(np.diag(s) / shape) / (m * d) for s, m in zip(scatter, n)]
+            sigma = np.array([np.diag(shape) * v for v in volume])
         else:
             sigma = np.repeat((np.trace(scatter.sum(axis=0)) / (n.sum() * d) * np.eye(d))[None], k, axis=0)
         pi, mu = n / len(x), new
@@ -117,6 +132,76 @@ def test_stronger_prior_gives_a_straighter_path(spark, curve):
     assert bends[0] > bends[1] > bends[2]
 
 
+def test_tight_components_far_apart(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([1e5 + 1e-4 * rng.standard_normal((400, 2)), -1e5 + 1e-4 * rng.standard_normal((400, 2))])
+    start = mixture.isotropic([0.5, 0.5], [[1e5, 1e5], [-1e5, -1e5]], 1.0)
+    want = [x[:400].var(axis=0), x[400:].var(axis=0)]
+    for model in ("VVI", "EEI", "VVV"):
+        got = mixture.fit(frame(spark, x), start, None, model, max_iter=2, tol=-math.inf).params
+        for k in range(2):
+            own = np.mean(want, axis=0) + 1e-6 if model == "EEI" else want[k] + (1e-6 if model == "VVV" else 0)
+            np.testing.assert_allclose(np.diag(got.sigma[k]), own, rtol=1e-3)
+    s = mixture.statistics(frame(spark, x), start, True)
+    np.testing.assert_allclose(s.scatter(s.sums() / s.weight[:, None]) / s.weight[:, None], want, rtol=1e-3)
+
+
+@pytest.mark.parametrize("k, d, order", [(7, 3, 1), (7, 3, 2), (8, 2, 3), (5, 1, 4)])
+def test_banded_priors_match_dense_ones(k, d, order):
+    rng = np.random.default_rng(k)
+    diff = np.diff(np.eye(k), n=order, axis=0)
+    want = 3.0 * np.kron(diff.T @ diff + 1e-3 * np.eye(k), np.eye(d))
+    a = rng.standard_normal((d, d))
+    for band, dense in ((priors.random_walk(k, d, order, 3.0, 1e-3, banded=True), want), (priors.var1(k, d, 0.3 * a, a @ a.T + np.eye(d), banded=True), priors.var1(k, d, 0.3 * a, a @ a.T + np.eye(d), banded=False))):
+        np.testing.assert_allclose(band.dense(), dense, atol=1e-12)
+        u = rng.standard_normal(k * d)
+        np.testing.assert_allclose(band @ u, dense @ u, atol=1e-10)
+        np.testing.assert_allclose(band.solve(dense @ u), u, atol=1e-6)
+        assert band.log_det() == pytest.approx(np.linalg.slogdet(dense)[1])
+        blocks = np.array([np.eye(d) * (j + 1) for j in range(k)])
+        np.testing.assert_allclose(priors.solved(band, blocks, u.reshape(k, d)), priors.solved(dense, blocks, u.reshape(k, d)), atol=1e-9)
+
+
+def test_large_priors_are_banded(spark, curve):
+    assert isinstance(priors.random_walk(100, 2), np.ndarray) and isinstance(priors.random_walk(101, 2), priors.Banded)
+    q = priors.random_walk(2500, 8, 2, 10.0)
+    assert q.size == 20_000 and q.solve(q @ np.ones(20_000)) == pytest.approx(np.ones(20_000), rel=1e-2)
+    start = mixture.isotropic(np.full(120, 1 / 120), np.linspace([-2, 0], [2, 0], 120), 1.0)
+    fits = [mixture.fit(frame(spark, curve), start, priors.random_walk(120, 2, 1, 10.0, banded=b), "EEI", max_iter=2, tol=-math.inf) for b in (True, False)]
+    np.testing.assert_allclose(fits[0].params.mu, fits[1].params.mu, atol=1e-8)
+    assert fits[0].trace == pytest.approx(fits[1].trace)
+
+
+def test_linear_run_ends_at_an_objective_that_is_not_finite(spark, curve):
+    with pytest.warns(UserWarning, match="finite"):
+        got = linear.fit_linear(frame(spark, curve), 3, float("inf"), max_iter=5)
+    assert got.trace == []
+
+
+def test_exponential_prior_weights_match_integration():
+    """The posterior over scales with an even grid in the log of the ratio, against a fine sum over the scale itself."""
+    t = np.linspace(0, 1, 6)
+    rng = np.random.default_rng(1)
+    y = np.sin(3 * t) + 0.2 * rng.standard_normal(6)
+    m = Moments(np.full(6, 3.0), 3 * y[:, None], (3 * y * y + 0.1)[:, None])
+    coarse = smoothers.wiener_process(6, order=1, prior_sd=0.3, scales=10.0 ** np.arange(-2, 4.01, 0.25))(m)[1]
+    base = smoothers.wiener_covariance(t, 1)
+    wide = np.ones((6, 1))
+    logs, means = [], []
+    scales = np.linspace(0.005, 3.0, 3000)  # of the process, under each ratio's own noise
+    n, inner = m.n.sum(), 0.6
+    for ratio in scales**2 / 0.05:  # even in the square root of the ratio
+        v = ratio * base + 1e6 * wide @ wide.T + np.diag(1 / m.n)
+        solved = np.linalg.solve(v, y)
+        rss = inner + y @ solved
+        noise = rss / (n - 1)
+        # The scale is sqrt(ratio * noise): its density times its step, with the noise at the value of this ratio.
+        logs.append(-0.5 * (n - 1) * math.log(rss) - 0.5 * np.linalg.slogdet(v)[1] - math.log(2) * math.sqrt(ratio * noise) / 0.3 + 0.5 * math.log(noise))
+        means.append((ratio * base + 1e6 * wide @ wide.T) @ solved)
+    p = np.exp(np.array(logs) - max(logs))
+    np.testing.assert_allclose(coarse[:, 0], (p / p.sum()) @ np.array(means), atol=0.02)
+
+
 def test_errors(spark, curve):
     data = frame(spark, curve)
     start = mixture.isotropic([1.0], curve[:1], 1.0)
