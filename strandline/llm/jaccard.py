@@ -34,7 +34,7 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Signatures of candidates agree in at least the threshold minus this many standard deviations.
 SLACK = 5.0
 #: Rows of a bucket in one block; texts and n-grams of candidates in one block.
-BUCKET_ROWS, BLOCK_ROWS, BLOCK_GRAMS = 512, 256, 1 << 17
+BUCKET_ROWS, BLOCK_ROWS, BLOCK_GRAMS = 512, 128, 1 << 17
 #: Parts over which the rows of one key are spread before a join with the key's one row.
 SALTS = 16
 
