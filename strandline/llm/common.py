@@ -1,51 +1,21 @@
-"""What the operators of this subpackage share: shared folder, Arrow text access, words, bounded label samples."""
+"""What the operators of this subpackage share: Arrow text access, words, row numbers, bounded label samples."""
 
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, turns the rest into spaces.
-WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master alone: executors elsewhere couldn't read it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+from ..sources.staging import discard, materialise, shared_path
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strandline/{tag}-{uuid.uuid4().hex}"
+__all__ = ["discard", "each", "flat", "frequent_step", "labelled_sample", "materialise", "remainder", "row_id", "runs", "shared_path", "spare", "stable", "step_of", "text_column", "tidy", "words"]
 
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses no part of it."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/strandline/" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, turns the rest into spaces.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def text_column(df: DataFrame, text_col: str = "text") -> Column:

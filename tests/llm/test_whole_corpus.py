@@ -40,7 +40,7 @@ def corpus(n, kinds):
 @pytest.mark.parametrize("frequent, dense", [(1 << 17, 2048), (1 << 17, 5), (30, 5), (1, 1)])
 def test_every_word_and_good_document_counts(spark, frequent, dense):
     texts = corpus(150, 4000)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3).localCheckpoint()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
     labels = spark.createDataFrame([(d, int(d % 3 == 0), 0) for d in texts], "doc_id bigint, quality int, toxic int")
     got = {r["doc_id"]: r for r in lmscore.score_documents(docs, labels, holdout=None, frequent=frequent, dense=dense).collect()}
     want = plain_scores(texts, {d for d in texts if d % 3 == 0})
@@ -65,3 +65,16 @@ def test_target_has_no_limit(spark):
     labels = spark.range(rows).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
     got = lmscore.score_documents(docs, labels, holdout=None)
     assert got.count() == rows and got.where("abs(score) > 1e-9").count() == 0  # the target is the background
+
+
+def test_more_marks_than_the_bound_are_joined(spark, monkeypatch):
+    texts = corpus(60, 300)
+    docs = spark.createDataFrame([*texts.items(), (None, "w1 w2 w1")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in texts], "doc_id bigint, quality int, toxic int")
+    few, many = [], []
+    for bound, out in ((1 << 22, few), (3, many)):
+        monkeypatch.setattr(lmscore, "MARKS", bound)
+        out += lmscore.score_documents(docs, labels, holdout=None).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"])
+    for a, b in zip(sorted(few, key=key), sorted(many, key=key), strict=True):
+        assert a["doc_id"] == b["doc_id"] and (a["score"] is None or a["score"] == pytest.approx(b["score"], abs=1e-9))
