@@ -172,7 +172,9 @@ def by_key(df: DataFrame, keys: list[str], work: Callable[[dict], Iterator[pa.Re
         if held:
             yield from done()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    # The number is given because work doesn't follow bytes: few small partitions, put together by size, would keep few cores busy.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def candidate_edges(reps: DataFrame, nb: int, nr: int, threshold: float) -> DataFrame:
@@ -310,7 +312,7 @@ def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     # One row stands for each class.
     reps = table.select("row", "bands", "sig").join(classes.select("row"), "row", "left_semi")
     near = materialise(components(spark, candidate_edges(reps, nb, nr, threshold)), "near")
-    wanted = spread(near.withColumnRenamed("node", "row").join(classes.select("row", "copies", "grams"), "row"), near.select("root").distinct(), "root", "row")
+    wanted = near.withColumnRenamed("node", "row").join(classes.select("row", "copies", "grams"), "row")
     enough = F.greatest(F.ceil(F.sum("grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
     blocks = wanted.groupBy("root").agg(enough.alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     wanted = spread(wanted, blocks, "root", "row").select("row", "copies", "root", "blocks")
