@@ -44,16 +44,23 @@ def neighbours(data: DataFrame, k: int = 15, block: int = 2048) -> DataFrame:
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = left["id"].type
         right = right.sort_by("id") if right.num_rows else right
-        ids, x, y = right["id"].to_numpy(), rows_of(left["x"].combine_chunks()), rows_of(right["x"].combine_chunks())
-        out = ([], [], [])
-        for i, v in zip(left["id"].to_pylist(), x):
-            d = np.sqrt(((y - v) ** 2).sum(axis=1)) if len(y) else np.zeros(0)
-            d[ids == i] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            best = best[np.isfinite(d[best])]
-            out[0].append(np.full(len(best), i))
-            out[1].append(ids[best])
-            out[2].append(d[best])
+        mine, ids, x, y = left["id"].to_numpy(), right["id"].to_numpy(), rows_of(left["x"].combine_chunks()), rows_of(right["x"].combine_chunks())
+        out: tuple[list, list, list] = ([], [], [])
+        for at in range(0, len(x) if len(y) else 0, 256):
+            part, own = x[at : at + 256], mine[at : at + 256]
+            d = np.zeros((len(part), len(y)))
+            for j in range(x.shape[1]):
+                d += (part[:, j, None] - y[:, j]) ** 2
+            d = np.sqrt(d)
+            d[own[:, None] == ids] = np.inf
+            last = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+            i, j = np.nonzero((d <= last[:, None]) & np.isfinite(d))  # the k nearest of each, with those that tie
+            order = np.lexsort((ids[j], d[i, j], i))
+            i, j = i[order], j[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[top], j[top]
+            for held, new in zip(out, (own[i], ids[j], d[i, j])):
+                held.append(new)
         cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table({"id": pa.array(cols[0], kind), "neighbour": pa.array(cols[1], kind), "distance": pa.array(cols[2], pa.float64())})
 

@@ -2,7 +2,7 @@
 
 Distances to all rows grow with the square of their number and a tour is sequential, so a tour runs inside one task per
 group and is meant for groups of bounded size (``MOST`` rows; more is an error: sample first). Scale comes from groups and
-candidate column sets, which run side by side. The farthest pair alone is also given for a whole DataFrame, in blocks.
+candidate column sets, which run side by side. The farthest pair alone is also given for tables of any size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mixture import rows_of
+from ..functions.arrays import total, vector
+from .mixture import column_summary, rows_of
 
 MOST = 5_000
 
@@ -31,7 +32,7 @@ def distances(x: np.ndarray) -> np.ndarray:
 
 def ends(dist: np.ndarray) -> tuple[int, int]:
     """The farthest pair (start, end), start > end; of equals the one with the smallest end, then start."""
-    low = np.tril(dist, -1).T  # row: end, column: start
+    low = np.where(np.tri(len(dist), k=-1, dtype=bool), dist, -1).T  # row: end, column: start
     end, start = np.unravel_index(int(np.argmax(low)), low.shape)
     return int(start), int(end)
 
@@ -141,39 +142,83 @@ def tour(data: DataFrame, method: str = "nn", group: str | None = None) -> DataF
     return out.drop("group") if group is None else out
 
 
-def pairwise(data: DataFrame) -> DataFrame:
-    """i, j, distance for i > j as a plain join; for small inputs and comparison with SQL."""
-    from ..functions.arrays import euclidean
+def in_block_pairs(data: DataFrame, block: int, n: int) -> DataFrame:
+    """a, b, own, id, x: rows dealt to blocks of some ``block`` rows, each copied to the pairs (a, b) of blocks that its own is in."""
+    blocks = max(1, -(-n // block))
+    rows = data.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    rows = rows.select("id", "x", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    return rows.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "x")
+
+
+def strips(t: pa.Table, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of the rows of a pair of blocks in order of id, some at a time: the first of them, their distances to all, and which pairs count.
+
+    Pairs are those with the larger id first, and in a pair of different blocks those across them.
+    """
+    x, own = rows_of(t["x"].combine_chunks()), t["own"].to_numpy()
+    one_block = t["a"][0] == t["b"][0]
+    for at in range(0, len(x), rows):
+        part, d = x[at : at + rows], np.zeros((min(rows, len(x) - at), len(x)))
+        for j in range(x.shape[1]):
+            d += (part[:, j, None] - x[:, j]) ** 2
+        use = np.arange(len(x)) < at + np.arange(len(part))[:, None]
+        if not one_block:
+            use &= own[at : at + rows, None] != own
+        yield at, np.sqrt(d), use
+
+
+def pairwise(data: DataFrame, block: int = 2048) -> DataFrame:
+    """i, j, distance for i > j, by pairs of blocks. The result grows with the square of the rows, whatever makes it."""
+    kind = data.schema["id"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        ids, out = t["id"].to_numpy(), []
+        for at, d, use in strips(t):
+            i, j = np.nonzero(use)
+            out.append(pa.table({"i": pa.array(ids[at + i], t["id"].type), "j": pa.array(ids[j], t["id"].type), "distance": pa.array(d[i, j])}))
+        return pa.concat_tables(out)
 
-    a, b = data.select(F.col("id").alias("i"), F.col("x").alias("xi")), data.select(F.col("id").alias("j"), F.col("x").alias("xj"))
-    return a.join(b, F.col("i") > F.col("j")).select("i", "j", euclidean(F.col("xi"), F.col("xj")).alias("distance"))
+    return in_block_pairs(data, block, data.count()).groupBy("a", "b").applyInArrow(run, f"i {kind}, j {kind}, distance double")
+
+
+def far_rows(data: DataFrame) -> DataFrame:
+    """The rows that may be in a farthest pair. A pair at distance L has one row at least L - R from the mean, if no row is farther than R.
+
+    L is the distance between two rows found by going twice from one to the farthest from it, so three passes leave few rows of most data.
+    """
+    mean = column_summary(data)["mean"]
+    away = lambda v: F.sqrt(total(F.zip_with("x", vector(v), lambda a, b: (a - b) * (a - b))))
+    farthest = lambda v: data.select("x", away(v).alias("r")).agg(F.max(F.struct("r", "x")).alias("m")).first()["m"]
+    first = farthest(mean)
+    second = farthest(np.array(first["x"]))
+    least = max(second["r"], farthest(np.array(second["x"]))["r"])
+    return data.where(away(mean) >= F.lit(float((least - first["r"]) * (1 - 1e-9) - 1e-12)))
 
 
 def farthest_pair(data: DataFrame, block: int = 2048) -> DataFrame:
     """start, end, distance of the farthest pair (start > end; of equals the smallest end, then start).
 
-    Rows are dealt to blocks, blocks are paired, and a pair of blocks gives its one best pair.
+    Rows that are too near the mean are left out; the others are dealt to blocks, blocks are paired, and a pair of blocks gives its
+    one best pair.
     """
-    blocks = max(1, -(-data.count() // block))
-    rows = data.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
-    rows = rows.select("id", "x", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    rows = rows.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "x")
+    kind = data.schema["id"].dataType.simpleString()
+    n = data.count()
+    rows = far_rows(data.select("id", "x")) if n > block else data
+    n = rows.count() if n > block else n
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        ids, x, own = t["id"].to_numpy(), rows_of(t["x"].combine_chunks()), t["own"].to_numpy()
-        best: tuple | None = None
-        for k in range(1, len(ids)):
-            use = np.ones(k, bool) if key[0].as_py() == key[1].as_py() else own[:k] != own[k]
-            if use.any():
-                d = np.sqrt(((x[:k] - x[k]) ** 2).sum(axis=1))
-                d[~use] = -1
-                j = int(np.argmax(d))
-                got = (-d[j], ids[j], ids[k])
+        ids, best = t["id"].to_numpy(), None
+        for at, d, use in strips(t):
+            d[~use] = -1
+            top = d.max(initial=-1)
+            if top >= 0:
+                i, j = np.nonzero(d == top)
+                got = min((-top, ids[b], ids[at + a]) for a, b in zip(i, j))
                 best = got if best is None or got < best else best
         rows = [best] if best else []
         return pa.table({"start": pa.array([r[2] for r in rows], t["id"].type), "end": pa.array([r[1] for r in rows], t["id"].type), "distance": pa.array([-r[0] for r in rows], pa.float64())})
 
-    kind = data.schema["id"].dataType.simpleString()
-    best = rows.groupBy("a", "b").applyInArrow(run, f"start {kind}, end {kind}, distance double")
+    best = in_block_pairs(rows, block, n).groupBy("a", "b").applyInArrow(run, f"start {kind}, end {kind}, distance double")
     return best.orderBy(F.desc("distance"), "end", "start").limit(1)

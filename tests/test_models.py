@@ -320,6 +320,33 @@ def test_tours(spark):
         assert (r["start"], r["end"]) == tours.ends(d) and r["distance"] == pytest.approx(d.max())
 
 
+def test_farthest_pair_of_many_rows(spark):
+    rng = np.random.default_rng(4)
+    for x in (rng.standard_normal((900, 3)), np.round(rng.uniform(-1, 1, (900, 1)), 1), np.ones((300, 2)), rng.standard_normal((400, 2)) + 1e6):
+        d = np.round(tours.distances(x), 9)
+        got = tours.farthest_pair(frame(spark, x), block=100).first()
+        start, end = tours.ends(d)
+        assert got["distance"] == pytest.approx(d.max(), abs=1e-8) and d[got["start"], got["end"]] == pytest.approx(d.max(), abs=1e-8)
+        if len(x) != 400:
+            assert (got["start"], got["end"]) == (start, end)
+    assert tours.far_rows(frame(spark, rng.standard_normal((2000, 3)))).count() < 400
+
+
+@pytest.mark.parametrize("method", tours.METHODS)
+def test_tours_of_equal_rows(method):
+    for n in (2, 3, 6):
+        path = tours.open_path(np.ones((n, 2)), method)
+        assert sorted(path) == list(range(n)) and path[0] == 1
+
+
+def test_pairs_in_blocks(spark):
+    x = np.random.default_rng(6).standard_normal((150, 3))
+    got = {(r["i"], r["j"]): r["distance"] for r in tours.pairwise(frame(spark, x), block=40).collect()}
+    d = tours.distances(x)
+    assert len(got) == 150 * 149 // 2 and all(i > j and v == pytest.approx(d[i, j]) for (i, j), v in got.items())
+    assert "Cartesian" not in tours.pairwise(frame(spark, x))._jdf.queryExecution().toString()
+
+
 def test_losses(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.uniform(0.1, 1, size=(40, 3))
