@@ -387,6 +387,12 @@ def linear_em_2iter(spark, sf_dir):
     return slope_frame(spark, linear_fit(spark, sf_dir, 2))
 
 
+@query(f"WITH {sql_linear(2)} SELECT k::INT AS k, j::INT AS j, round(mu[j] + (SELECT avg(x[j]) FROM f1), 4) AS mean FROM p2, range(1, 9) t(j)")
+def linear_means(spark, sf_dir):
+    """The means come back uncentred."""
+    return long_params(spark, linear_fit(spark, sf_dir, 2).params).select("k", "j", "mean")
+
+
 @query(f"WITH {sql_linear(1)}, {sql_e(1, 'c')} SELECT 1 AS iter, round((sum(ln(greatest(exp(ll), 1e-300))) - 0.5 * any_value(list_sum(list_transform(beta, lambda b: b * b)))) / count(*), 4) AS objective FROM (SELECT DISTINCT id, ll FROM g1), b1")
 def linear_objective(spark, sf_dir):
     f = linear_fit(spark, sf_dir, 1)
@@ -420,11 +426,14 @@ def prior_var1(spark, sf_dir):
     return priors.as_frame(spark, priors.var1(6, 2, 0.8 * np.eye(2), 0.1 * np.eye(2))).withColumn("value", r4(F.col("value"), 6))
 
 
-@query()
+@query(f"""WITH m AS (SELECT k, j, 10 * {DRAW.format("'3:mean:' || k || ':' || j")} - 5 AS mu FROM range(1, 6) a(k), range(1, 3) b(j)), r AS (SELECT id, 1 + floor({DRAW.format("'3:z:' || id")} * 5)::INT AS z FROM range(0, 20000) t(id)),
+x AS (SELECT z, j, mu, mu + sqrt(0.1) * sqrt(-2 * ln(1 - {DRAW.format("'3:' || id || ':' || j || ':a'")})) * cos(2 * pi() * {DRAW.format("'3:' || id || ':' || j || ':b'")}) AS v FROM r JOIN m ON k = z)
+SELECT z, j::INT AS j, count(*) AS n, round(any_value(mu), 4) AS mu, round(avg(v), 4) AS mean, round(var_samp(v), 4) AS variance FROM x GROUP BY z, j""")
 def simulated_moments(spark, sf_dir):
-    rows, p = simulate.simulate_mixture(spark, 100_000, 5, 2, seed=3)
-    got = rows.groupBy("z").agg(F.count("*").alias("n"), F.avg(F.col("x")[0]).alias("m1"), F.avg(F.col("x")[1]).alias("m2"))
-    return got.join(p.as_frame(spark).select(F.col("k").alias("z"), "mu"), "z")
+    rows, p = simulate.simulate_mixture(spark, 20_000, 5, 2, seed=3)
+    true = p.as_frame(spark).select(F.col("k").alias("z"), F.posexplode("mu").alias("at", "mu"))
+    got = rows.select("z", F.posexplode("x").alias("at", "v")).groupBy("z", "at").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("variance"))
+    return got.join(true, ["z", "at"]).select("z", (F.col("at") + 1).alias("j"), "n", *[r4(F.col(c)).alias(c) for c in ("mu", "mean", "variance")])
 
 
 # Threshold EM ---------------------------------------------------------------------------------------------------------------
@@ -763,6 +772,17 @@ def distribution_kde(spark, sf_dir):
     return plotdata.type_density(types, SOME_TYPES, metric=metric, points=21, bandwidth=20.0, span=(0.0, 500.0)).withColumn("density", r4(F.col("density"), 6))
 
 
+@query(f"""WITH {EVENT_TYPES}, j AS (SELECT type, metric FROM m JOIN t USING (id) WHERE type IN ('click', 'view')), s AS (SELECT min(metric) AS a, max(metric) AS z FROM j), g AS (SELECT i, a + (z - a) * i / 10 AS at_ FROM s, range(0, 11) r(i)),
+q AS (SELECT type, count(*) AS n, stddev_samp(metric) AS sd, (quantile_cont(metric, 0.75) - quantile_cont(metric, 0.25)) / 1.34 AS iqr FROM j GROUP BY type),
+b AS (SELECT type, 0.9 * CASE WHEN iqr > 0 AND iqr < sd THEN iqr ELSE sd END * n ** -0.2 AS h FROM q)
+SELECT j.type AS "Type", round(at_, 4) AS "at", round(avg(exp(-0.5 * ((at_ - metric) / h) ** 2) / (h * sqrt(2 * pi()))), 6) AS density FROM j JOIN b USING (type), g GROUP BY j.type, i, at_""")
+def distribution_kde_default(spark, sf_dir):
+    """Over the range of the metric, with each type's own bandwidth."""
+    types, metric = event_types(spark, sf_dir)
+    got = plotdata.type_density(types, SOME_TYPES, metric=metric, points=11)
+    return got.select("Type", r4(F.col("at")).alias("at"), r4(F.col("density"), 6).alias("density"))
+
+
 @query("WITH " + sql_em(3, 5) + ", n AS (SELECT k, mu AS a, lead(mu) OVER (ORDER BY k) AS b FROM p3) SELECT k::INT AS k, j::INT AS j, round(a[j], 4) AS start, round(b[j], 4) AS stop FROM n, range(1, 9) t(j) WHERE b IS NOT NULL AND sqrt(list_sum(list_transform(range(1, 9), lambda i: (a[i] - b[i]) ** 2))) > 1e-6")
 def mean_path_segments(spark, sf_dir):
     data = energy_features(spark, sf_dir)
