@@ -1,10 +1,12 @@
-"""Column functions on numeric arrays: distances, normalisation, log-sum-exp, Gaussian log-densities. All stay in the JVM."""
+"""Column functions on numeric arrays: distances, normalisation, log-sum-exp, Gaussian log-densities. All but ``from_python`` stay in the JVM."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,18 @@ def cosine(a: Column, b: Column) -> Column:
     return 1 - total(F.zip_with(a, b, lambda u, v: u * v)) / F.nullif(norms, F.lit(0.0))
 
 
+def from_python(f: Callable[[np.ndarray, np.ndarray], float]) -> Distance:
+    """A distance of Columns from a function of two numpy vectors, for what Columns can't say. It runs row by row over Arrow batches in
+    Python workers, so a distance of Columns is the one to write where there is a choice. Null if either side is null."""
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = zip(a.to_pylist(), b.to_pylist())
+        return pa.array([None if u is None or v is None else float(f(np.array(u, float), np.array(v, float))) for u, v in rows], pa.float64())
+
+    return lambda a, b: run(a, b)
+
+
 def normalised(x: Column) -> Column:
     """x divided by its sum; a sum of zero is an error."""
     s = total(x)

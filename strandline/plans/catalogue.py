@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cosine, logsumexp, manhattan
+from ..functions.arrays import cosine, from_python, logsumexp, manhattan
 from ..operators import embed, linear, loss, mixture, ordering, plotdata, priors, sampling, selection, simulate, smoothers, threshold, tours
 from ..operators.mixture import Params
 from ..sources.matrices import energy_features, lineitem_features, read_table, validated
@@ -624,6 +624,12 @@ def path_loss_l1(spark, sf_dir):
     return lossy(spark, sf_dir, distance=manhattan)
 
 
+@query(LAG.format("x", "list_max(list_transform(range(1, 9), lambda j: abs(x[j] - y[j])))"))
+def path_loss_python(spark, sf_dir):
+    """A distance that is given as a Python function: the largest difference of an entry."""
+    return lossy(spark, sf_dir, distance=from_python(lambda a, b: np.abs(a - b).max()))
+
+
 @query(LAG.format("x", "1 - list_sum(list_transform(range(1, 9), lambda j: x[j] * y[j])) / sqrt(list_sum(list_transform(x, lambda v: v * v)) * list_sum(list_transform(y, lambda v: v * v)))"))
 def path_loss_cosine(spark, sf_dir):
     return lossy(spark, sf_dir, distance=cosine)
