@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,16 @@ def draw(seed: int, id_col: str = "id") -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 1, id_col: str = "id") -> DataFrame:
-    """At most n rows; a top-n, so tasks send n rows each at most."""
-    return df.orderBy(draw(seed, id_col), id_col).limit(n)
+    """At most n rows, those with the smallest hashes (null ids first). A threshold on the hash first leaves few more than n, so no task takes n rows from every other."""
+    hashed = draw(seed, id_col)
+    first = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / 2.0**32
+    share = (n + 6 * math.sqrt(n) + 20) / max(1, df.count())
+    while share < 1:
+        near = df.where(first.isNull() | (first < share))
+        if near.count() >= n:
+            return near.orderBy(hashed, id_col).limit(n)
+        share *= 2
+    return df.orderBy(hashed, id_col).limit(n)
 
 
 def sample_strata(df: DataFrame, group: str, n: int, seed: int = 1, id_col: str = "id") -> DataFrame:

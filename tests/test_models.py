@@ -390,6 +390,16 @@ def test_samples(spark):
     assert a == b and len(a) == 20
 
 
+@pytest.mark.parametrize("rows, n", [(5000, 40), (5000, 4990), (30, 40), (0, 3)])
+def test_samples_have_the_smallest_hashes(spark, rows, n):
+    import hashlib
+
+    df = spark.range(rows, numPartitions=3).unionByName(spark.createDataFrame([(None,)], "id bigint"))
+    got = [r["id"] for r in sampling.sample_rows(df, n, seed=4).collect()]
+    want = [None] + sorted(range(rows), key=lambda i: hashlib.md5(f"4:{i}".encode()).hexdigest())
+    assert got == want[:n]
+
+
 def test_orderings_and_plot_tables(spark):
     x = np.random.default_rng(3).uniform(size=(50, 3))
     data = frame(spark, x, 5)
