@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import discard, materialise, shared_path
 
-__all__ = ["discard", "each", "flat", "frequent_step", "labelled_sample", "materialise", "remainder", "row_id", "runs", "shared_path", "spare", "stable", "step_of", "text_column", "tidy", "words"]
+__all__ = ["discard", "each", "flat", "frequent_step", "labelled_sample", "materialise", "raw_texts", "remainder", "row_id", "runs", "shared_path", "spare", "spread", "stable", "step_of", "text_column", "tidy", "word_slices", "words"]
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, turns the rest into spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -59,6 +59,26 @@ def each(texts: pa.Array, rows: int = 256) -> Iterator[str | None]:
         yield from texts.slice(at, rows).to_pylist()
 
 
+def raw_texts(texts: pa.Array) -> Iterator[bytes]:
+    """The texts as UTF-8, one after the other; null counts as empty."""
+    data, off = flat(texts)
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        yield data[a:b].tobytes()
+
+
+def word_slices(raw: bytes, table: bytes = WORD_BYTES, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of one text that ``table`` leaves between spaces, some at a time: a slice of a long text ends where a word does."""
+    raw, at = raw.translate(table), 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > size:
+            end = raw.rfind(b" ", at, at + size)
+            end = raw.find(b" ", at + size) if end < 0 else end
+            end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end + 1
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text after lower-casing A-Z, as UTF-8."""
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []
@@ -85,6 +105,17 @@ def labelled_sample(labels: DataFrame, column: str, limit: int | None, holdout:
     return kept.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+#: Parts over which the rows of one key are spread before a join with the key's one row.
+SALTS = 16
+
+
+def spread(rows: DataFrame, one: DataFrame, key: str | list[str], by: str | list[str], how: str = "inner") -> DataFrame:
+    """rows with the one row of their key. Rows of a key are dealt over salts first, so that a hot key isn't one task."""
+    keys, by = ([x] if isinstance(x, str) else x for x in (key, by))
+    salted = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+
 def spare(df: DataFrame, name: str) -> str:
     """The name, or a longer one that df doesn't have yet (names don't differ by case alone)."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, flat, materialise, row_id, runs, spare, stable, text_column, tidy
+from .common import SALTS, discard, flat, materialise, row_id, runs, spare, spread, stable, text_column, tidy
 from .hashes import BASE, U, mix, powers, word_hashes
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -35,8 +35,6 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 SLACK = 5.0
 #: Rows of a bucket in one block; texts and n-grams of candidates in one block.
 BUCKET_ROWS, BLOCK_ROWS, BLOCK_GRAMS = 512, 128, 1 << 17
-#: Parts over which the rows of one key are spread before a join with the key's one row.
-SALTS = 16
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
@@ -295,12 +293,6 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("row", "copies", "root", "blocks", sets.asNondeterministic()("text").alias("grams"))
 
 
-def spread(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """rows with the one row of their key. Rows of a key are dealt over salts first, so that a hot key isn't one task."""
-    salted = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
-
-
 def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """From row, doc_id, text: row, doc_id, least (the row that names the class: whether its id is null, id, row), n_links for every row."""
     spark = docs.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, langid, lmscore, packing, sql, tokenbin, tokencount, toxicity
+from . import ann, chat, decontaminate, divergence, jaccard, langid, lmscore, packing, search, simhash, sql, tokenbin, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_packing, op4_nearest, op5_chat, op6_token_files, op7_toxicity, op8_lm_scoring, op9_token_counts, op10_jaccard_join)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
-ORACLES = {"op2_decontamination": sql.DECONTAMINATION, "op5_chat": sql.CHAT, "op10_jaccard_join": sql.JACCARD}
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_decontamination, op3_packing, op4_nearest, op5_chat, op6_token_files, op7_toxicity, op8_lm_scoring, op9_token_counts, op10_jaccard_join, op11_simhash,
+        op12_source_divergence, op13_lexical_search,
+    )
+}
+
+ORACLES = {
+    "op2_decontamination": sql.DECONTAMINATION, "op5_chat": sql.CHAT, "op10_jaccard_join": sql.JACCARD, "op12_source_divergence": sql.DIVERGENCE, "op13_lexical_search": sql.SEARCH,
+}
