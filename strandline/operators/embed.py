@@ -1,161 +1,249 @@
-"""One-dimensional orderings for comparison: neighbours, t-SNE, UMAP and hierarchical clustering on bounded samples.
+"""One-dimensional orderings for comparison, for any number of rows: neighbours, t-SNE, UMAP and hierarchical clustering.
 
-The k nearest neighbours are found in Spark, block by block. The layouts and dendrograms work on all pairs of their rows and
-are meant for samples: more than ``MOST`` rows are an error.
+Neighbours come from cells around pivots (``cells``), dendrograms from ``linkage``. The layouts keep one written table of places and one
+of edges between neighbours; a round joins places to the edges, sums what pulls each row, and writes the new places. What pushes rows
+apart comes from all rows in t-SNE, by the places' histogram, and from rows drawn by a hash in UMAP.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mixture import rows_of
-from .tours import distances
-
-MOST = 5_000
+from ..sources.staging import discard, materialise
+from . import cells, linkage
+from .graph import spread
+from .ordering import pc_scores, positions
 
+#: Places of a t-SNE layout are binned this finely, with so many bins at most.
+BIN, BINS = 0.01, 1 << 18
 
-def collected(data: DataFrame) -> tuple[list, np.ndarray]:
-    rows = data.select("id", "x").orderBy("id").limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"this takes at most {MOST} rows: sample them first")
-    return [r["id"] for r in rows], np.array([r["x"] for r in rows], float)
 
+def neighbours(data: DataFrame, k: int = 15, **options) -> DataFrame:
+    """id, rank, neighbour, distance: exact Euclidean neighbours, equals by id.
 
-def ranked(data: DataFrame, ids: list, values: np.ndarray, name: str = "metric") -> DataFrame:
-    """id, metric, position (equals by id)."""
-    order = np.lexsort((np.arange(len(ids)), values))
-    place = np.empty(len(ids), int)
-    place[order] = np.arange(1, len(ids) + 1)
+    Rows that differ ask once. Of equal rows the k + 1 with the least ids are searched, as no other can be among the k nearest of any row.
+    """
     kind = data.schema["id"].dataType.simpleString()
-    return data.sparkSession.createDataFrame([(i, float(v), int(p)) for i, v, p in zip(ids, values, place)], f"id {kind}, {name} double, position int")
-
-
-def neighbours(data: DataFrame, k: int = 15, block: int = 2048) -> DataFrame:
-    """id, rank, neighbour, distance: exact Euclidean neighbours, equals by id. Pairs of blocks each give their k best a row."""
-    blocks = max(1, -(-data.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = data.select("id", "x", own.alias("q"), all_blocks.alias("b"))
-    given = data.select("id", "x", own.alias("b"), all_blocks.alias("q"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = left["id"].type
-        right = right.sort_by("id") if right.num_rows else right
-        mine, ids, x, y = left["id"].to_numpy(), right["id"].to_numpy(), rows_of(left["x"].combine_chunks()), rows_of(right["x"].combine_chunks())
-        out: tuple[list, list, list] = ([], [], [])
-        for at in range(0, len(x) if len(y) else 0, 256):
-            part, own = x[at : at + 256], mine[at : at + 256]
-            d = np.zeros((len(part), len(y)))
-            for j in range(x.shape[1]):
-                d += (part[:, j, None] - y[:, j]) ** 2
-            d = np.sqrt(d)
-            d[own[:, None] == ids] = np.inf
-            last = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-            i, j = np.nonzero((d <= last[:, None]) & np.isfinite(d))  # the k nearest of each, with those that tie
-            order = np.lexsort((ids[j], d[i, j], i))
-            i, j = i[order], j[order]
-            top = np.arange(len(i)) - np.searchsorted(i, i) < k
-            i, j = i[top], j[top]
-            for held, new in zip(out, (own[i], ids[j], d[i, j])):
-                held.append(new)
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"id": pa.array(cols[0], kind), "neighbour": pa.array(cols[1], kind), "distance": pa.array(cols[2], pa.float64())})
+    if not data.limit(1).count():
+        return data.sparkSession.createDataFrame([], f"id {kind}, rank int, neighbour {kind}, distance double")
+    rows, copies = linkage.distinct_rows(data)
+    copies = materialise(copies, "copies")
+    few = rows.select("id", "x").unionByName(spread(copies.where(F.col("left_size") <= k), rows.select(F.col("id").alias("left"), "x"), "left", "right").select(F.col("right").alias("id"), "x"))
+    dealt = cells.deal(few, **options)
+    found = cells.nearest(dealt, k + 1)
+    # Each row has the neighbours of the row that stands for it, and that row itself if it is another.
+    of = rows.select("id", F.col("id").alias("stands")).unionByName(copies.select(F.col("right").alias("id"), F.col("left").alias("stands")))
+    near = found.withColumnRenamed("id", "stands")
+    own = copies.select(F.col("right").alias("id"), F.col("left").alias("neighbour"), F.lit(0.0).alias("distance"))
+    got = spread(of, near, "stands", "id").where("id != neighbour").select("id", "neighbour", "distance").unionByName(own)
+    return cells.best_of(got, k).select("id", "rank", "neighbour", "distance")
+
+
+def ranked(places: DataFrame) -> DataFrame:
+    """id, metric, position (equals by id) from id, y."""
+    got = positions(places.select("id", F.col("y").alias("metric")), F.col("metric"), F.col("id"))
+    return got.select("id", "metric", F.col("position").cast("int").alias("position"))
+
+
+def weighted_lists(near: DataFrame, weigh) -> DataFrame:
+    """id, neighbour, w: ``weigh`` turns the distances of some rows to their nearest, (rows, k), into weights. Lists of few rows may be shorter: padded by infinity."""
+    lists = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "distance"))).alias("l"))  # k entries
+    rows = lists.select("id", F.col("l.neighbour").alias("neighbour"), F.col("l.distance").alias("distance"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in cells.pieces(batches):
+            sizes = np.diff(p["distance"].offsets.to_numpy())
+            d = np.full((len(sizes), int(sizes.max())), np.inf)
+            i, j = np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            d[i, j] = p["distance"].flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([p["id"].take(pa.array(i)), p["neighbour"].flatten(), pa.array(weigh(d)[i, j])], ["id", "neighbour", "w"])
+
+    kind = near.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, neighbour {kind}, w double")
+
+
+def both_ways(weights: DataFrame, together: Column) -> DataFrame:
+    """id, neighbour, w in both directions; ``together`` combines the sums s of the two weights and q of their squares."""
+    two = weights.unionByName(weights.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "w"))
+    return two.groupBy("id", "neighbour").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).select("id", "neighbour", together.alias("w"))
+
+
+def entropy_affinities(d: np.ndarray, perplexity: float, rounds: int = 60) -> np.ndarray:
+    """Gaussian affinities of each row's list, with the entropy log(perplexity), by bisection on the precision."""
+    have = np.isfinite(d)
+    d2 = np.where(have, d, 0) ** 2
+    d2 = d2 - np.where(have, d2, np.inf).min(axis=1, keepdims=True)
+    target = np.log(np.minimum(perplexity, np.maximum(1.0, have.sum(axis=1))))
+    low, high, beta = np.zeros(len(d)), np.full(len(d), np.inf), 1 / np.maximum(1e-12, (d2 * have).sum(axis=1) / have.sum(axis=1))
+    for _ in range(rounds):
+        e = np.exp(-np.minimum(700, d2 * beta[:, None])) * have
+        s = e.sum(axis=1)
+        wide = np.log(s) + beta * (d2 * e).sum(axis=1) / s > target
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+        beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+    return e / s[:, None]
+
+
+def smooth_memberships(d: np.ndarray, rounds: int = 64) -> np.ndarray:
+    """Memberships exp(-(d - nearest) / s) of each row's list that sum to log2 of its length (McInnes, Healy & Melville 2018)."""
+    have = np.isfinite(d)
+    above = np.where(have & (d > 0), d, np.inf).min(axis=1, keepdims=True)
+    e = np.where(have, np.maximum(0, np.where(have, d, 0) - np.where(np.isfinite(above), above, 0)), 0)
+    target = np.log2(np.maximum(have.sum(axis=1), 1))
+    low, high, s = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+    for _ in range(rounds):
+        wide = (np.exp(-e / s[:, None]) * have).sum(axis=1) > target
+        low, high = np.where(wide, low, s), np.where(wide, s, high)
+        s = np.where(np.isinf(high), s * 2, (low + high) / 2)
+    return np.exp(-e / np.maximum(s, 1e-12)[:, None]) * have
+
+
+def started(data: DataFrame, count: int) -> DataFrame:
+    """id and the first principal components, y (and z)."""
+    got = data.select("id", "x")
+    for c, name in zip(range(1, count + 1), "yz"):
+        got = pc_scores(got, c, name)
+    return got.select("id", *"yz"[:count])
+
+
+def jitter(seed: int, size: float, *parts: Column) -> Column:
+    """A number in -size..size from a hash: the same for the same row, wherever it is."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 20)) / float(1 << 19) - 1.0) * size
+
+
+class Field:
+    """What all rows do to a place on the axis in one-dimensional t-SNE: sums of the kernel 1 / (1 + d^2), and of d / (1 + d^2)^2.
+
+    Rows go by bins, each at its rows' mean; sums on a grid are convolutions, and places between grid points are interpolated by cubics through values and slopes.
+    """
 
-    kind = data.schema["id"].dataType.simpleString()
-    found = asked.groupBy("q", "b").cogroup(given.groupBy("q", "b")).applyInArrow(search, f"id {kind}, neighbour {kind}, distance double")
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
-
-
-def entropy_affinities(d2: np.ndarray, perplexity: float) -> np.ndarray:
-    """Row-wise Gaussian affinities whose entropy is log(perplexity), by bisection on the precision."""
-    n = len(d2)
-    p, target = np.zeros((n, n)), np.log(min(perplexity, max(1.0, n - 1)))
-    for i in range(n):
-        lo, hi, beta = 0.0, np.inf, 1.0
-        row = np.delete(d2[i], i)
-        row = row - row.min()
-        for _ in range(60):
-            e = np.exp(-row * beta)
-            s = e.sum()
-            h = np.log(s) + beta * (row * e).sum() / s
-            if abs(h - target) < 1e-5:
-                break
-            lo, hi = (beta, hi) if h > target else (lo, beta)
-            beta = beta * 2 if hi == np.inf else (lo + hi) / 2
-        p[i, np.arange(n) != i] = e / s
-    return p
+    def __init__(self, low: float, width: float, n: np.ndarray, mean: np.ndarray):
+        size = len(n)
+        self.low, self.width = low, width
+        shift = mean - (low + width * (np.arange(size) + 0.5))  # of a bin's mean from its middle
+        t = (np.arange(-size, size) + 0.0) * width
+
+        def convolved(*terms: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+            """Sums at the middles of bins, of weights times a kernel of the difference."""
+            total = sum(np.fft.rfft(w, 4 * size) * np.fft.rfft(k, 4 * size) for w, k in terms)
+            return np.fft.irfft(total, 4 * size)[size : 2 * size]
+
+        k = 1 / (1 + t * t)
+        k1 = -2 * t * k**2
+        k2 = (6 * t * t - 2) * k**3
+        k3 = 24 * t * (1 - t * t) * k**4
+        moment = (n, -n * shift, n * shift**2 / 2)
+        # The kernel about a bin's middle, to the second order of the shift.
+        self.kernel, slope, bend = (convolved(*zip(moment, ks)) for ks in ((k, k1, k2), (k1, k2, k3), (k2, k3)))
+        self.push, self.push_slope = -slope / 2, -bend / 2
+        self.slope = slope
+
+    def at(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both sums at the places, the place's own row included."""
+        u = (y - self.low) / self.width - 0.5
+        i = np.clip(np.floor(u).astype(np.int64), 0, len(self.kernel) - 2)
+        t, j = u - i, i + 1
+
+        def cubic(v: np.ndarray, s: np.ndarray) -> np.ndarray:
+            a, b = s[i] * self.width, s[j] * self.width
+            return (1 + 2 * t) * (1 - t) ** 2 * v[i] + t * (1 - t) ** 2 * a + t * t * (3 - 2 * t) * v[j] + t * t * (t - 1) * b
+
+        return cubic(self.kernel, self.slope), cubic(self.push, self.push_slope)
+
+
+def field_of(places: DataFrame, y: str = "y") -> tuple[Field, float]:
+    """The field of all rows' places, and the sum of the kernel over pairs of different rows. The driver takes one number or two for each bin."""
+    low, high, n = places.agg(F.min(y), F.max(y), F.count("*")).first()
+    size = int(np.clip(np.ceil((high - low) / BIN), 16, BINS))
+    width = max((high - low) / size, 1e-9)
+    at = F.least(F.lit(size - 1), F.floor((F.col(y) - low) / width)).cast("int")
+    sums = places.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum(y).alias("s")).toArrow()
+    b, count = sums["bin"].to_numpy(), np.zeros(size)
+    mean = low + width * (np.arange(size) + 0.5)
+    count[b] = sums["n"].to_numpy()
+    mean[b] = sums["s"].to_numpy() / count[b]
+    got = Field(low, width, count, mean)
+    return got, float(got.at(mean)[0] @ count - n)
+
+
+def tsne_gradient(places: DataFrame, edges: DataFrame, exaggeration: float) -> DataFrame:
+    """places with the gradient: 4 times the pull along edges less the push of all rows."""
+    field, total = field_of(places)
+
+    @F.arrow_udf("double")
+    def push(y: pa.Array) -> pa.Array:
+        return pa.array(field.at(y.to_numpy(zero_copy_only=False))[1] / total)
+
+    mine, other = places.select("id", "y"), places.select(F.col("id").alias("neighbour"), F.col("y").alias("z"))
+    gap = F.col("y") - F.col("z")
+    pull = edges.join(other, "neighbour").join(mine, "id").groupBy("id").agg(F.sum(F.col("w") * gap / (1 + gap * gap)).alias("pull"))
+    return places.join(pull, "id", "left").withColumn("gradient", 4 * (exaggeration * F.coalesce("pull", F.lit(0.0)) - push(F.col("y")))).drop("pull")
 
 
 def tsne(data: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 1) -> DataFrame:
-    """Exact one-dimensional t-SNE (van der Maaten & Hinton 2008), started from the first principal component."""
-    ids, x = collected(data)
-    if len(ids) < 3:
-        return ranked(data, ids, np.arange(len(ids), dtype=float))
-    p = entropy_affinities(distances(x) ** 2, perplexity)
-    p = np.maximum((p + p.T) / (2 * len(x)), 1e-12)
-    c = x - x.mean(axis=0)
-    u, s, _ = np.linalg.svd(c, full_matrices=False)
-    y = 1e-4 * u[:, 0] * np.sign(u[np.abs(u[:, 0]).argmax(), 0]) / max(1e-12, u[:, 0].std())
-    y = y + 1e-6 * np.random.default_rng(seed).standard_normal(len(y))
-    step, gain = np.zeros(len(y)), np.ones(len(y))
-    rate = max(10.0, len(y) / 12)
+    """One-dimensional t-SNE (van der Maaten 2014) from the first principal component: affinities among the nearest 3 * perplexity rows, all rows push."""
+    n = data.count()
+    if n < 3:
+        return ranked(data.select("id", F.lit(0.0).alias("y")))
+    k = min(n - 1, int(3 * perplexity))
+    weights = weighted_lists(neighbours(data, k), lambda d: entropy_affinities(d, perplexity))
+    edges = materialise(both_ways(weights, F.col("s") / (2.0 * n)), "edges")
+    first = started(data, 1)
+    spread_of = first.agg(F.stddev_pop("y")).first()[0] or 1.0
+    places = first.select("id", (F.col("y") * (1e-4 / spread_of) + jitter(seed, 1e-6, F.col("id"))).alias("y"), F.lit(0.0).alias("step"), F.lit(1.0).alias("gain"))
+    places, rate = materialise(places, "places"), max(10.0, n / 12)
     for it in range(rounds):
-        diff = y[:, None] - y
-        w = 1 / (1 + diff**2)
-        np.fill_diagonal(w, 0)
-        q = np.maximum(w / w.sum(), 1e-12)
-        grad = 4 * (((12.0 if it < rounds // 4 else 1.0) * p - q) * w * diff).sum(axis=1)
-        gain = np.maximum(np.where(np.sign(grad) == np.sign(step), gain * 0.8, gain + 0.2), 0.01)
-        step = (0.5 if it < rounds // 4 else 0.8) * step - rate * gain * grad
-        y = y + step
-        y -= y.mean()
-    return ranked(data, ids, y)
-
-
-def fuzzy_graph(near: np.ndarray, dist: np.ndarray, n: int) -> np.ndarray:
-    """Symmetric membership strengths of the neighbour graph (McInnes, Healy & Melville 2018)."""
-    g, k = np.zeros((n, n)), dist.shape[1]
-    for i in range(n):
-        d = np.maximum(0, dist[i] - dist[i][dist[i] > 0].min(initial=np.inf)) if (dist[i] > 0).any() else np.zeros(k)
-        lo, hi, s = 0.0, np.inf, 1.0
-        for _ in range(64):
-            v = np.exp(-d / s).sum()
-            if abs(v - np.log2(k)) < 1e-5:
-                break
-            lo, hi = (lo, s) if v > np.log2(k) else (s, hi)
-            s = s * 2 if hi == np.inf else (lo + hi) / 2
-        g[i, near[i]] = np.exp(-d / max(s, 1e-12))
-    return g + g.T - g * g.T
-
-
-def umap_axis(data: DataFrame, n_neighbors: int = 15, min_dist: float = 0.1, rounds: int = 200, seed: int = 1) -> DataFrame:
-    """First axis of a two-dimensional UMAP layout; neighbours come from Spark, the layout is optimised on all pairs."""
-    ids, x = collected(data)
-    n, at = len(ids), {v: i for i, v in enumerate(ids)}
+        early = it < rounds // 4
+        got = tsne_gradient(places, edges, 12.0 if early else 1.0)
+        same = F.signum("gradient") == F.signum("step")
+        got = got.withColumn("gain", F.greatest(F.lit(0.01), F.when(same, F.col("gain") * 0.8).otherwise(F.col("gain") + 0.2)))
+        got = got.withColumn("step", (0.5 if early else 0.8) * F.col("step") - rate * F.col("gain") * F.col("gradient")).withColumn("y", F.col("y") + F.col("step"))
+        new = materialise(got.select("id", "y", "step", "gain"), "places")
+        discard(places)
+        places = new
+    return ranked(places)
+
+
+def umap_axis(data: DataFrame, n_neighbors: int = 15, min_dist: float = 0.1, rounds: int = 200, seed: int = 1, drawn: int = 5) -> DataFrame:
+    """First axis of a two-dimensional UMAP layout. In each round edges pull with their memberships, and ``drawn`` rows, drawn anew by a hash, push each row."""
+    n = data.count()
     k = min(n_neighbors, n - 1)
     if k < 2:
-        return ranked(data, ids, np.arange(n, dtype=float))
-    near, dist = np.zeros((n, k), int), np.zeros((n, k))
-    for r in neighbours(data, k).collect():
-        near[at[r["id"]], r["rank"] - 1], dist[at[r["id"]], r["rank"] - 1] = at[r["neighbour"]], r["distance"]
-    g = fuzzy_graph(near, dist, n)
+        return ranked(data.select("id", F.lit(0.0).alias("y")))
+    edges = both_ways(weighted_lists(neighbours(data, k), smooth_memberships), F.col("s") - (F.col("s") * F.col("s") - F.col("q")) / 2)
+    numbers = materialise(positions(data.select("id"), F.col("id"), name="at"), "numbers")
+    mine, theirs = numbers.select("id", F.col("at").alias("i")), numbers.select(F.col("id").alias("neighbour"), F.col("at").alias("j"))
+    edges = materialise(edges.join(mine, "id").join(theirs, "neighbour").select("i", "j", "w"), "edges")
+    degrees = edges.groupBy("i").agg(F.sum("w").alias("degree"))
+    first = started(data, 2) if len(data.first()["x"]) > 1 else started(data, 1).withColumn("z", F.lit(0.0))
+    far = first.agg(F.greatest(F.max(F.abs("y")), F.max(F.abs("z")))).first()[0] or 1.0
+    places = first.join(numbers, "id").withColumnRenamed("at", "i").join(degrees, "i", "left")
+    places = materialise(places.select("i", "id", "degree", *[(F.col(c) * (10.0 / far) + jitter(seed, 1e-4, F.col("i"), F.lit(c))).alias(c) for c in "yz"]), "places")
     a, b = curve(min_dist)
-    c = x - x.mean(axis=0)
-    u, s, _ = np.linalg.svd(c, full_matrices=False)
-    y = (u[:, :2] * s[:2]) if u.shape[1] > 1 else np.column_stack([u[:, 0] * s[0], np.zeros(n)])
-    y = 10 * y / max(1e-12, np.abs(y).max()) + 1e-4 * np.random.default_rng(seed).standard_normal((n, 2))
+    d2 = (F.col("y") - F.col("p")) * (F.col("y") - F.col("p")) + (F.col("z") - F.col("q")) * (F.col("z") - F.col("q"))
+    kept = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
     for it in range(rounds):
-        diff = y[:, None] - y
-        d2 = (diff**2).sum(axis=2)
-        pull = -2 * a * b * np.maximum(d2, 1e-9) ** (b - 1) / (1 + a * d2**b) * g
-        push = 2 * b / ((0.001 + d2) * (1 + a * d2**b)) * (1 - g) * (g.sum() / (n * n))
-        np.fill_diagonal(push, 0)
-        y = y + (1 - it / rounds) * np.clip(((pull + push)[..., None] * diff).sum(axis=1), -4, 4)
-    return ranked(data, ids, y[:, 0])
+        mine, theirs = places.select("i", "y", "z"), places.select(F.col("i").alias("j"), F.col("y").alias("p"), F.col("z").alias("q"))
+        near = edges.join(theirs, "j").join(mine, "i").withColumn("d2", F.greatest(d2, F.lit(1e-9)))
+        pull = F.col("w") * (-2 * a * b) * F.pow("d2", F.lit(b - 1)) / (1 + a * F.pow("d2", F.lit(b)))
+        forces = [near.select("i", *[(pull * (F.col(u) - F.col(v))).alias(f) for u, v, f in (("y", "p", "fy"), ("z", "q", "fz"))])]
+        draws = places.select("i", "y", "z", "degree", F.explode(F.sequence(F.lit(1), F.lit(drawn))).alias("s"))
+        draws = draws.withColumn("j", F.pmod(F.xxhash64(F.lit(seed), "i", "s", F.lit(it)), F.lit(n)) + 1).where("i != j")
+        away = draws.join(theirs, "j").withColumn("d2", d2)
+        push = F.col("degree") * (2 * b * 5 / drawn) / ((0.001 + F.col("d2")) * (1 + a * F.pow("d2", F.lit(b))))
+        forces.append(away.select("i", *[kept(push * (F.col(u) - F.col(v))).alias(f) for u, v, f in (("y", "p", "fy"), ("z", "q", "fz"))]))
+        total = forces[0].unionByName(forces[1]).groupBy("i").agg(F.sum("fy").alias("fy"), F.sum("fz").alias("fz"))
+        moved = places.join(total, "i", "left")
+        new = moved.select("i", "id", "degree", *[(F.col(c) + (1 - it / rounds) * kept(F.coalesce(f, F.lit(0.0)))).alias(c) for c, f in (("y", "fy"), ("z", "fz"))])
+        new = materialise(new, "places")
+        discard(places)
+        places = new
+    return ranked(places)
 
 
 def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
@@ -166,57 +254,19 @@ def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     return min(grid, key=lambda ab: ((1 / (1 + ab[0] * d ** (2 * ab[1])) - want) ** 2).sum())
 
 
-def merges(x: np.ndarray, linkage: str) -> list[tuple[int, int, float]]:
-    """Agglomeration by Lance-Williams updates: (cluster, cluster, height), clusters numbered as n, n+1, ... as they arise.
-
-    ``single``, or ``ward`` on Euclidean distances (Ward's D2, Murtagh & Legendre 2014).
-    """
-    if linkage not in ("single", "ward"):
+def merges(data: DataFrame, method: str) -> DataFrame:
+    """The merges of a linkage: step, height, left, right, left_size, right_size."""
+    if method not in ("single", "ward"):
         raise ValueError("linkage must be single or ward")
-    n = len(x)
-    d = distances(x)
-    np.fill_diagonal(d, np.inf)
-    size, name, alive, out = np.ones(n), np.arange(n), np.ones(n, bool), []
-    for step in range(n - 1):
-        low = d.min(axis=1)
-        i = int(np.argmin(low))
-        j = int(np.argmin(d[i]))
-        i, j = min(i, j), max(i, j)
-        h = d[i, j]
-        if linkage == "single":
-            new = np.minimum(d[i], d[j])
-        else:
-            others = np.where(np.isfinite(d[i]) & np.isfinite(d[j]), 1.0, np.nan)
-            new = np.sqrt(np.maximum(0, ((size[i] + size) * d[i] ** 2 + (size[j] + size) * d[j] ** 2 - size * h**2) / (size[i] + size[j] + size))) * others
-        out.append((int(name[i]), int(name[j]), float(h)))
-        alive[j] = False
-        new = np.where(alive, new, np.inf)
-        new[i] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        name[i] = n + step
-    return out
-
-
-def leaf_order(steps: list[tuple[int, int, float]], n: int) -> list[int]:
-    """Leaves from left to right. Of two clusters, the one with the smaller least row stands left; our convention."""
-    leaves: dict[int, list[int]] = {i: [i] for i in range(n)}
-    for k, (a, b, _) in enumerate(steps):
-        left, right = sorted((leaves.pop(a), leaves.pop(b)), key=min)
-        leaves[n + k] = left + right
-    return leaves[max(leaves)] if leaves else []
-
-
-def hierarchical(data: DataFrame, linkage: str = "single") -> DataFrame:
-    """id, metric (place in the dendrogram as a number), position."""
-    ids, x = collected(data)
-    place = np.empty(len(ids))
-    place[leaf_order(merges(x, linkage), len(ids))] = np.arange(1, len(ids) + 1)
-    return ranked(data, ids, place)
-
-
-def merge_heights(data: DataFrame, linkage: str = "single") -> DataFrame:
+    return linkage.single(data) if method == "single" else linkage.ward(data)
+
+
+def hierarchical(data: DataFrame, method: str = "single") -> DataFrame:
+    """id, metric (place in the dendrogram as a number), position. Of two clusters, the one with the smaller least row stands left; our convention."""
+    places = linkage.leaf_places(data, merges(data, method))
+    return places.select("id", F.col("position").cast("double").alias("metric"), "position")
+
+
+def merge_heights(data: DataFrame, method: str = "single") -> DataFrame:
     """step, height of the agglomeration."""
-    _, x = collected(data)
-    return data.sparkSession.createDataFrame([(i + 1, h) for i, (_, _, h) in enumerate(merges(x, linkage))], "step int, height double")
+    return merges(data, method).select(F.col("step").cast("int").alias("step"), "height")

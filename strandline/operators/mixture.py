@@ -158,7 +158,10 @@ def statistics(data: DataFrame, params: Params, diagonal: bool, centre: np.ndarr
 
 def column_summary(data: DataFrame) -> dict[str, np.ndarray]:
     """Mean, population variance, least and largest of each feature, in one aggregation."""
-    d = len(data.select("x").first()["x"])
+    first = data.select("x").first()
+    if first is None:
+        raise ValueError("there are no rows")
+    d = len(first["x"])
     x = [F.col("x")[j] for j in range(d)]
     r = data.agg(*[f(c) for c in x for f in (F.avg, F.var_pop, F.min, F.max)]).first()
     a = np.array(r, float).reshape(d, 4)

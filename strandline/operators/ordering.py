@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax, total, vector
+from ..functions.names import spare
 from ..sources.staging import materialise
 
 
@@ -16,16 +17,17 @@ def positions(df: DataFrame, *order: Column, name: str = "position") -> DataFram
     Rows are range-partitioned, sorted and written with their place in their partition; a partition's first position is the number
     of rows before it, from a table of one row for each partition that is joined by broadcast.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    spread = spread.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("bigint"), 33))
+    part, at, first = (spare(df, c) for c in ("__part", "__at", "__before"))
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
+    spread = spread.withColumn(at, F.monotonically_increasing_id() - F.shiftleft(F.col(part).cast("bigint"), 33))
     spread = materialise(spread, "positions")
     before, upto = [], 0
-    for r in sorted(spread.groupBy("__part").count().collect()):
-        before.append((r["__part"], upto))
+    for r in sorted(spread.groupBy(part).count().collect()):
+        before.append((r[part], upto))
         upto += r["count"]
-    offsets = df.sparkSession.createDataFrame(before, "__part int, __before bigint")
-    placed = spread.join(F.broadcast(offsets), "__part")
-    return placed.withColumn(name, (F.col("__before") + F.col("__at") + 1).cast("bigint")).drop("__part", "__at", "__before")
+    offsets = df.sparkSession.createDataFrame(before, f"{part} int, {first} bigint")
+    placed = spread.join(F.broadcast(offsets), part)
+    return placed.withColumn(name, (F.col(first) + F.col(at) + 1).cast("bigint")).drop(part, at, first)
 
 
 def by_component(data: DataFrame, gamma: str = "gamma", id_col: str = "id") -> DataFrame:

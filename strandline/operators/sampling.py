@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import spare
+
 
 def draw(seed: int, id_col: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
@@ -28,4 +30,5 @@ def sample_rows(df: DataFrame, n: int, seed: int = 1, id_col: str = "id") -> Dat
 def sample_strata(df: DataFrame, group: str, n: int, seed: int = 1, id_col: str = "id") -> DataFrame:
     """At most n rows of each group. Spark limits each group inside the tasks before it shuffles."""
     w = Window.partitionBy(group).orderBy(draw(seed, id_col), id_col)
-    return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
+    rank = spare(df, "__rank")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n).drop(rank)

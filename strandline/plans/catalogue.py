@@ -849,12 +849,12 @@ def knn_graph(spark, sf_dir):
 
 @query()
 def tsne_order(spark, sf_dir):
-    return embed.tsne(energy_features(spark, sf_dir), rounds=200)
+    return embed.tsne(energy_features(spark, sf_dir), rounds=40)
 
 
 @query()
 def umap_order(spark, sf_dir):
-    return embed.umap_axis(energy_features(spark, sf_dir), rounds=60)
+    return embed.umap_axis(energy_features(spark, sf_dir), rounds=30)
 
 
 @query()
@@ -877,11 +877,6 @@ def merge_heights_single(spark, sf_dir):
     return embed.merge_heights(energy_features(spark, sf_dir), "single").withColumn("height", r4(F.col("height")))
 
 
-#: The same queries under the names that they had when others of these names read some rows only.
-for _n in ("pairwise_distance", "nn_tour", "nn_tour_grouped", "factor_selection_nn", "factor_selection_grouped", "knn_graph", "merge_heights_single"):
-    QUERIES[f"{_n}_all"], ORACLES[f"{_n}_all"] = QUERIES[_n], ORACLES[_n]
-
-
 @query("SELECT c_custkey AS id, c_mktsegment AS type, round(c_acctbal, 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation)")
 def batch_filter(spark, sf_dir):
     """Rows of one batch, some columns, with their labels by a join."""

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +28,18 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, tag: str) -> DataFrame:
+    """df with a number for each row in the column ``name``, written once.
+
+    Numbers that each scan makes anew may name other rows each time: Spark cuts a scan by the cores that it has at the moment.
+    """
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), tag)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import embed, linear, loss, mixture, ordering, plotdata, priors, sampling, selection, simulate, smoothers, threshold, tours
+from strandline.operators import linear, loss, mixture, ordering, plotdata, priors, sampling, selection, simulate, smoothers, threshold, tours
 from strandline.operators.threshold import Moments
 from strandline.sources.matrices import from_wide, to_wide, validated
 
@@ -423,46 +423,6 @@ def test_orderings_and_plot_tables(spark):
     assert len(one) == 50 and {r["Component"] for r in one} == {"loading2"}
 
 
-def brute_merges(x, linkage):
-    clusters, heights = [[i] for i in range(len(x))], []
-
-    def gap(a, b):
-        if linkage == "single":
-            return min(np.linalg.norm(x[i] - x[j]) for i in a for j in b)
-        return math.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * np.linalg.norm(x[a].mean(axis=0) - x[b].mean(axis=0))
-
-    while len(clusters) > 1:
-        h, a, b = min(((gap(p, q), i, j) for i, p in enumerate(clusters) for j, q in enumerate(clusters) if i < j))
-        heights.append(h)
-        clusters = [c for k, c in enumerate(clusters) if k not in (a, b)] + [clusters[a] + clusters[b]]
-    return heights
-
-
-@pytest.mark.parametrize("linkage", ["single", "ward"])
-def test_hierarchical(spark, linkage):
-    x = np.random.default_rng(6).uniform(size=(20, 2))
-    steps = embed.merges(x, linkage)
-    np.testing.assert_allclose([h for *_, h in steps], brute_merges(x, linkage))
-    assert sorted(embed.leaf_order(steps, 20)) == list(range(20))
-    assert sorted(r["position"] for r in embed.hierarchical(frame(spark, x), linkage).collect()) == list(range(1, 21))
-
-
-def test_layouts_follow_a_line(spark):
-    t = np.sort(np.random.default_rng(7).uniform(size=120))
-    x = np.column_stack([5 * t, np.sin(2 * t)])
-    for got in (embed.tsne(frame(spark, x), perplexity=15, rounds=300), embed.umap_axis(frame(spark, x), rounds=60)):
-        pos = np.array([r["position"] for r in got.orderBy("id").collect()])
-        assert abs(np.corrcoef(pos, np.arange(120))[0, 1]) > 0.9
-
-
-def test_neighbours_in_blocks(spark):
-    x = np.random.default_rng(8).integers(0, 5, size=(60, 2)).astype(float)
-    d = tours.distances(x)
-    for block in (7, 1000):
-        got = {(r["id"], r["rank"]): r["neighbour"] for r in embed.neighbours(frame(spark, x), 4, block).collect()}
-        assert got == {(i, k + 1): j for i in range(60) for k, j in enumerate(sorted((j for j in range(60) if j != i), key=lambda j: (d[i, j], j))[:4])}
-
-
 def test_stream(spark, tmp_path, curve):
     from strandline.streaming.scoring import scored_stream, windowed_counts
 
