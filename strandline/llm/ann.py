@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_id, stable
 from .hashes import U, mix, powers
 
 BLOCK = 65_536  # vectors in a block
@@ -222,7 +221,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, sample: int = 4096, block: int = BLOCK, queries: int = QUERIES, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     spark = embeddings.sparkSession
-    rows = usable(stable(embeddings.select("vec_id", "embedding"), "vectors"))
+    rows = usable(embeddings.select("vec_id", "embedding"))
     n, scale = rows.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs)))).first()
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -236,7 +235,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, sample: int = 4
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nb, nq = max(-(-n // block), min(parts, -(-n // 8192))), -(-n // (every * queries))
-    of = lambda blocks: F.pmod(F.xxhash64(row_id()), F.lit(blocks)).cast("int")
+    of = lambda blocks: F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     every_one = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     # A row's block is chosen before its copies are made.
     data = rows.withColumn("b", of(nb)).withColumn("q", every_one(nq))

@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import discard, materialise, shared_path
+from ..functions.names import every_column, spare
+from ..sources.staging import discard, materialise, numbered, shared_path
 
-__all__ = ["discard", "each", "flat", "frequent_step", "labelled_sample", "materialise", "raw_texts", "remainder", "row_id", "runs", "shared_path", "spare", "spread", "stable", "step_of", "text_column", "tidy", "word_slices", "words"]
+__all__ = [
+    "discard", "each", "every_column", "flat", "frequent_step", "labelled_sample", "materialise", "numbered", "raw_texts", "remainder", "runs", "shared_path", "spare", "step_of", "text_column",
+    "tidy", "word_slices", "words",
+]
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, turns the rest into spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -105,30 +109,6 @@ def labelled_sample(labels: DataFrame, column: str, limit: int | None, holdout:
     return kept.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-#: Parts over which the rows of one key are spread before a join with the key's one row.
-SALTS = 16
-
-
-def spread(rows: DataFrame, one: DataFrame, key: str | list[str], by: str | list[str], how: str = "inner") -> DataFrame:
-    """rows with the one row of their key. Rows of a key are dealt over salts first, so that a hot key isn't one task."""
-    keys, by = ([x] if isinstance(x, str) else x for x in (key, by))
-    salted = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
-
-
-def spare(df: DataFrame, name: str) -> str:
-    """The name, or a longer one that df doesn't have yet (names don't differ by case alone)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def row_id() -> Column:
-    """A number for each row of a scan, stable under retries as long as the input splits are."""
-    return F.monotonically_increasing_id()
-
-
 def step_of(n: Column) -> Column:
     """A count on a coarse scale that keeps order: exact up to 64, then 32 steps for each doubling."""
     return F.when(n <= 64, n).otherwise(F.floor(F.log2(n) * 32) - 128).cast("int")
@@ -149,7 +129,3 @@ def frequent_step(counts: DataFrame, n: str, most: int, weight: Column | None =
         cut = r["step"]
     return cut
 
-
-def stable(df: DataFrame, tag: str) -> DataFrame:
-    """df itself if its rows come in the same order each time it is read, as those of a scan; else written and read back."""
-    return materialise(df, tag) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df

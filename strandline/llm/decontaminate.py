@@ -3,13 +3,15 @@
 The pattern alphabet is words. All windows of one length form one searcher: a shift table over blocks of two words says how
 far the search may jump, a bucket keyed by the last block selects the windows that may end here, a prefix block rejects most
 of those, and a direct comparison confirms the rest. Text that shares no word pair with any window is read at one word in
-nine. Windows are made and grouped by Spark. If there are more than a block of them, they are dealt into blocks by hash; the
+nine. Windows are made by Spark, one row for each item and window. If there are more than a block of them, they are dealt into blocks by
+hash, so a window that very many items share is in many blocks; the
 documents are searched for one block after the other, only one block's tables exist at a time, and what each pass finds is written
 before the next begins. Findings are joined to the documents at the end.
 
 Defined cases: null or wordless text has no words, no hits, is not contaminated and has the digest of the empty string.
 Null or wordless items are never found. Equal windows of several items count for each item; repeated rows of one item count once.
-Documents that repeat are each scored. Extra columns are ignored.
+Documents that repeat are each scored. Very long texts are searched whole, with a list of their words. An empty table gives no rows, and without items
+nothing is found; no ties arise. ``contamination`` ignores extra columns, ``keep_clean`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each, materialise, row_id, spare, stable, tidy, words
+from .common import each, every_column, materialise, numbered, spare, tidy, words
 
 WINDOW = 10
-#: Distinct windows that one pass searches for, some 400 bytes each in a worker: about 40 MB.
+#: Windows of items that one pass searches for (one that several items have counts for each), some 400 bytes each in a worker: about 40 MB.
 BLOCK_WINDOWS = 100_000
 
 
@@ -73,7 +75,7 @@ def searchers(patterns: dict[tuple[bytes, ...], list[str]]) -> list[Searcher]:
 
 
 def patterns(benchmark: DataFrame, width: int) -> DataFrame:
-    """pattern (the words of a window, joined by spaces) and the sorted ids of its items."""
+    """item, pattern (the words of a window, joined by spaces): the windows of each item once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
@@ -82,13 +84,14 @@ def patterns(benchmark: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * len(found), pa.string()), pa.array(found, pa.binary())], ["item", "pattern"])
 
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
-    return items.mapInArrow(run, "item string, pattern binary").groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return items.mapInArrow(run, "item string, pattern binary").distinct()
 
 
 def tables_of(spark: SparkSession, block: DataFrame) -> Broadcast:
     """The searchers of one block of patterns, broadcast."""
-    got = block.select("pattern", "items").toArrow()
-    found = {tuple(p.split(b" ")): ids for p, ids in zip(got["pattern"].to_pylist(), got["items"].to_pylist())}
+    got, found = block.select("pattern", "item").toArrow(), {}
+    for p, item in zip(got["pattern"].to_pylist(), got["item"].to_pylist()):
+        found.setdefault(tuple(p.split(b" ")), []).append(item)
     return spark.sparkContext.broadcast(searchers(found))
 
 
@@ -145,16 +148,16 @@ def found(docs: DataFrame, benchmark: DataFrame, name: str, width: int = WINDOW,
     blocks = -(-table.count() // block_windows)
     if blocks <= 1:
         return docs.withColumn(name, search(tables_of(spark, table))(F.col("text")))
-    docs, row = stable(docs, "texts"), spare(docs, "__row")
-    docs, hits = docs.withColumn(row, row_id()), None
+    row, hits = spare(docs, "__row"), None
+    docs = numbered(docs, row, "texts")
     for b in range(blocks):
-        tables = tables_of(spark, table.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b))
-        one = docs.select(F.col(row).alias("r"), search(tables)(F.col("text")).alias("f")).where(F.size("f.starts") > 0)
+        tables = tables_of(spark, table.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(blocks)) == b))
+        one = docs.select(row, search(tables)(F.col("text")).alias("f")).where(F.size("f.starts") > 0)
         one = materialise(one, "hits")
         hits = one if hits is None else hits.unionByName(one)
         tables.destroy()
-    hits = hits.groupBy("r").agg(F.collect_list("f").alias(name))  # a finding for each pass at most
-    got = docs.join(hits, docs[row] == hits["r"], "left").drop("r", row)
+    hits = hits.groupBy(row).agg(F.collect_list("f").alias(name))  # a finding for each pass at most
+    got = docs.join(hits, row, "left").drop(row)
     return got.withColumn(name, together()(F.col("text"), F.col(name)))
 
 
@@ -182,4 +185,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows without any benchmark window, with the same columns."""
     name = spare(docs, "__found")
-    return found(docs, benchmark, name, **options).where(F.size(F.col(name)["starts"]) == 0).select(*docs.columns)
+    return found(docs, benchmark, name, **options).where(F.size(F.col(name)["starts"]) == 0).select(*every_column(docs))

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, raw_texts, spread, text_column, tidy, word_slices
+from ..operators.graph import spread
+from .common import materialise, raw_texts, text_column, tidy, word_slices
 
 LEAST, TOP = 10, 10
 #: Sources of a term that meet in one block; terms that a task holds before it gives them on.

@@ -24,10 +24,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, discard, flat, materialise, row_id, runs, spare, spread, stable, text_column, tidy
+from ..operators.graph import components, spread
+from .common import every_column, flat, materialise, numbered, runs, spare, text_column, tidy
 from .hashes import BASE, U, mix, powers, word_hashes
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -182,7 +183,7 @@ def candidate_edges(reps: DataFrame, nb: int, nr: int, threshold: float) -> Data
     # Most texts share no bucket: only ids go to find those that do, and signatures then join these.
     keys = reps.select("row", F.posexplode("bands").alias("band", "hash")).select("row", F.xxhash64("band", "hash").alias("bucket"))
     full = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(full, "bucket").join(reps.select("row", "sig"), "row")
+    rows = spread(keys, full, "bucket", "row").join(reps.select("row", "sig"), "row")
     blocks = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int"))
     rows = rows.select("bucket", "row", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -205,36 +206,6 @@ def candidate_edges(reps: DataFrame, nb: int, nr: int, threshold: float) -> Data
     return by_key(rows, ["bucket", "i", "j"], work, "a bigint, b bigint").distinct()
 
 
-def components(spark: SparkSession, edges: DataFrame, most: int | None = None) -> DataFrame:
-    """node, root (the smallest node) for every node of the edges, by alternating large and small stars (Kiveris et al. 2014).
-
-    Goes on until it is done; if that takes more than ``most`` rounds, when given, it raises an error.
-    """
-    edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    rounds = 0
-    while True:
-        rounds += 1
-        if most is not None and rounds > most:
-            raise RuntimeError(f"components aren't done after {most} rounds")
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # A hub's edges are spread over salts before they meet its one row.
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        upper = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-        large = upper.join(low, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(down.select("a", F.col("m").alias("b")))
-        new = materialise(small.distinct(), "edges")
-        # Done when every node has one edge and no root has any.
-        nodes = new.groupBy("a").agg(F.count("*").alias("n"))
-        again = nodes.where("n > 1").limit(1).count() or new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        discard(edges)
-        edges = new
-        if not again:
-            break
-    roots = edges.select("b").distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
-
-
 def verified(sets: DataFrame, threshold: float) -> DataFrame:
     """From row, copies, root, blocks, grams (sorted, distinct): rows (a, b, links): a's links in a block pair, or a forest edge (links 0)."""
     rows = sets.withColumn("own", F.pmod(F.xxhash64("row", F.lit(2)), F.col("blocks")).cast("int"))
@@ -320,20 +291,17 @@ def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     return keyed.unionByName(rows.where("key is null").select("row", "doc_id", order.alias("least"), F.lit(0).cast("bigint").alias("n_links")))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(row_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
-
-
 def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links for every row."""
-    got = grouped(numbered(stable(docs.select("doc_id", "text"), "texts")), n, threshold, recall)
+    rows = numbered(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column(docs).alias("text")), "row", "texts")
+    got = grouped(rows, n, threshold, recall)
     return got.select("doc_id", F.col("least.doc_id").alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """Of each group the row with the smallest id (then the first one), with the same columns."""
-    docs = stable(docs, "texts")
     name, other = spare(docs, "__row"), spare(docs, "__gone")
-    gone = grouped(numbered(docs), **options).where("row != least.row").select(F.col("row").alias(other))
-    kept = docs.withColumn(name, row_id())
-    return kept.join(gone, kept[name] == gone[other], "left_anti").select(*docs.columns)
+    rows = numbered(docs, name, "texts")
+    gone = grouped(rows.select(F.col(name).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_column(rows).alias("text")), **options)
+    gone = gone.where("row != least.row").select(F.col("row").alias(other))
+    return rows.join(gone, rows[name] == gone[other], "left_anti").select(*every_column(docs))

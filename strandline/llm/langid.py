@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, remainder, runs, spare, tidy
+from .common import every_column, flat, remainder, runs, spare, tidy
 
 #: Families of common languages by code. A language that is not listed forms a family of its own.
 FAMILIES = {
@@ -241,4 +241,4 @@ def keep_identified(docs: DataFrame, langs: list[str] | None = None, min_score:
     want = (F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= min_score)
     if langs is not None:
         want &= F.col(name)["lang_pred"].isin(langs)
-    return got.where(want).select(*docs.columns)
+    return got.where(want).select(*every_column(docs))

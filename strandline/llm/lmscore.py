@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, flat, frequent_step, labelled_sample, materialise, row_id, runs, stable, step_of, text_column, tidy, words
+from .common import each, flat, frequent_step, labelled_sample, materialise, numbered, runs, step_of, text_column, tidy, words
 from .hashes import U, mix, word_hashes
 
 START = 0  # the symbol before a text's first word
@@ -103,7 +103,7 @@ class Symbols(dict):
 
 @dataclass
 class Marks:
-    """One bit a row, by its scan partition: is its document in the target?"""
+    """One bit a row, by the partition that it was numbered in: is its document in the target?"""
 
     bits: dict[int, np.ndarray]
 
@@ -119,12 +119,14 @@ class Marks:
         return cls(bits)
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
-        """1 for the rows of a batch (of one partition) that are marked."""
-        held, at = self.bits.get(int(rows[0]) >> 33) if len(rows) else None, rows & ((1 << 33) - 1)
-        if held is None:
-            return np.zeros(len(rows), np.int64)
-        inside = at >> 3 < len(held)
-        return np.where(inside, held[np.where(inside, at >> 3, 0)] >> (7 - (at & 7)).astype(np.uint8) & 1, 0).astype(np.int64)
+        """1 for the rows that are marked."""
+        part, at, out = rows >> 33, rows & ((1 << 33) - 1), np.zeros(len(rows), np.int64)
+        for p in np.unique(part).tolist():
+            held = self.bits.get(p)
+            if held is not None:
+                use = np.flatnonzero((part == p) & (at >> 3 < len(held)))
+                out[use] = held[at[use] >> 3] >> (7 - (at[use] & 7)).astype(np.uint8) & 1
+        return out
 
 
 class Frequent:
@@ -347,8 +349,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_target: int | None =
         raise ValueError("dense and frequent must be from 1 to 2^20, dense not the larger")
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
-    docs = stable(docs.select("doc_id", text_column(docs).alias("text")), "texts")
-    docs = docs.select("doc_id", row_id().alias("row"), "text")
+    docs = numbered(docs.select("doc_id", text_column(docs).alias("text")), "row", "texts").select("doc_id", "row", "text")
     vocab = vocabulary(docs, vocab_size, classes) if vocab_size else None
     docs, marks = marked(docs, labelled_sample(labels.where(F.col("quality") == 1), "quality", max_target, holdout).select("doc_id"))
 

@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, raw_texts, spread, text_column, tidy, word_slices
-from .jaccard import Forest, by_key, components
+from ..operators.graph import components, spread
+from .common import discard, materialise, raw_texts, text_column, tidy, word_slices
+from .jaccard import Forest, by_key
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of one variant that are compared pair by pair; more are cut again, down to no more than this.

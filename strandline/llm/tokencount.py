@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import each, frequent_step, materialise, row_id, step_of, text_column, tidy
+from .common import each, frequent_step, materialise, step_of, text_column, tidy
 
 #: Pre-tokens whose counts are broadcast: the most frequent of at most LONG bytes each, this many at WEIGHT bytes each, or fewer longer ones.
 FREQUENT, WEIGHT, LONG = 1 << 17, 64, 1024
@@ -142,7 +142,7 @@ def count_tokens(docs: DataFrame, limit: int = 4096, path: str | None = None, fr
             yield pa.StructArray.from_arrays([pa.array(sums, pa.int64()), rest], ["known", "rest"])
 
     text = text_column(docs)
-    rows = docs.select(row_id().alias("row"), "doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), split.asNondeterministic()(text).alias("s"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), split.asNondeterministic()(text).alias("s"))
     # One row for each rest; a document's own columns stand in the first alone, so the others are small to shuffle.
     flat = rows.select("row", "doc_id", "n_bytes", F.col("s.known").alias("known"), F.posexplode_outer("s.rest").alias("at", "r"))
     once = lambda c: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, labelled_sample, materialise, remainder, spare, text_column, tidy
+from .common import each, every_column, labelled_sample, materialise, remainder, spare, text_column, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 Segment = tuple[int, int, float]  # first word, word after the last, score
@@ -243,4 +243,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows that score below the threshold, with the same columns."""
     model, name = fit(docs, labels, **options), spare(docs, "__toxic")
-    return docs.withColumn(name, scored(text_column(docs), model)).where(F.col(name)["score"] < threshold).select(*docs.columns)
+    return docs.withColumn(name, scored(text_column(docs), model)).where(F.col(name)["score"] < threshold).select(*every_column(docs))
