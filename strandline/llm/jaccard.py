@@ -111,7 +111,7 @@ def sketch(docs: DataFrame, n: int, nb: int, nr: int) -> DataFrame:
                     ["row", "doc_id", "key", "grams", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(run, "row bigint, doc_id bigint, key binary, grams bigint, bands array<bigint>, sig binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, key binary, grams bigint, bands array<bigint>, sig binary")
 
 
 class Forest:
