@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from . import priors
 
 #: Volume, shape and orientation of the components' covariances, each equal, variable or (I) along the axes.
-MODELS = ("VVV", "EEE", "EEI", "EVI", "VEI", "VVI", "EII", "VII")
-FULL = ("VVV", "EEE")
+MODELS = ("EII", "VII", "EEI", "VEI", "EVI", "VVI", "EEE", "VEE", "EVE", "VVE", "EEV", "VEV", "EVV", "VVV")
+FULL = tuple(m for m in MODELS if m[2] != "I")
 RIDGE, LEAST_WEIGHT, LEAST_DENSITY = 1e-6, 1e-8, 1e-300
 
 
+class Collapsed(ValueError):
+    """A component's covariance isn't positive definite any more."""
+
+
 @dataclass
 class Params:
     """Weights (K), means (K, d) and covariances (K, d, d)."""
@@ -40,11 +44,13 @@ class Params:
         return self.mu.shape
 
     def cached(self) -> Params:
-        """With inverses and log-determinants of the covariances; ValueError if one isn't positive definite."""
+        """With inverses and log-determinants of the covariances; Collapsed if one isn't positive definite."""
         try:
+            if not np.isfinite(self.sigma).all():
+                raise np.linalg.LinAlgError
             low = np.linalg.cholesky(self.sigma)
         except np.linalg.LinAlgError:
-            raise ValueError("a covariance isn't positive definite: a component has collapsed") from None
+            raise Collapsed("a covariance isn't positive definite: a component has collapsed") from None
         inv, scale = np.linalg.inv(low), np.diagonal(low, axis1=1, axis2=2)
         plain = not (self.sigma * (1 - np.eye(self.sigma.shape[1]))).any()
         return replace(self, inverse=np.swapaxes(inv, 1, 2) @ inv, logdet=2 * np.log(scale).sum(axis=1), precision=scale**-2.0 if plain else None)
@@ -205,9 +211,26 @@ def e_step_expressions(x: Column, params: Params) -> Column:
 
 
 def covariances(stats: Statistics, means: np.ndarray, floored: np.ndarray, model: str) -> np.ndarray:
-    """Maximum-likelihood covariances of the model around the means (Celeux & Govaert 1995); VVV and EEI carry a small ridge."""
+    """Maximum-likelihood covariances of the model around the means (Celeux & Govaert 1995); VVV and EEI carry a small ridge.
+
+    EEV and VEV turn each scatter into its own axes, in order of size; VEE, EVE and VVE take turns until nothing changes.
+    """
     k, d = means.shape
     s = stats.scatter(means)
+    if model in FULL and not np.isfinite(s).all():
+        raise Collapsed("a scatter isn't finite")
+    if model in ("EEV", "VEV"):
+        values, axes = np.linalg.eigh(s)
+        values = np.maximum(values, 0)
+        own = np.repeat((values.sum(axis=0) / stats.n)[None], k, axis=0) if model == "EEV" else equal_shape(values, floored)
+        return rotated(own, axes)
+    if model == "EVV":
+        size = volumes(s)
+        return s / size[:, None, None] * (size.sum() / stats.n)
+    if model == "VEE":
+        return equal_form(s, floored)
+    if model in ("EVE", "VVE"):
+        return equal_axes(s, floored, stats.n, model)
     if model == "VVV":
         return s / floored[:, None, None] + RIDGE * np.eye(d)
     if model == "EEE":
@@ -244,6 +267,64 @@ def equal_shape(s: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndar
     return volume[:, None] * shape
 
 
+def rotated(values: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Covariances from variances (K, d) along axes (K, d, d)."""
+    return np.einsum("kij,kj,klj->kil", axes, values, axes)
+
+
+def volumes(s: np.ndarray) -> np.ndarray:
+    """|S| ** (1/d) of each scatter."""
+    sign, log = np.linalg.slogdet(s)
+    if (sign <= 0).any():
+        raise Collapsed("a scatter is singular")
+    return np.exp(log / s.shape[1])
+
+
+def equal_form(s: np.ndarray, weight: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """volume_k times one form of determinant 1 for all: volumes and form in turns."""
+    d = s.shape[1]
+    volume = np.trace(s, axis1=1, axis2=2) / (d * weight)
+    for _ in range(rounds):
+        if (volume <= 0).any():
+            raise Collapsed("a scatter is zero")
+        form = (s / volume[:, None, None]).sum(axis=0)
+        form = form / volumes(form[None])[0]
+        new = np.einsum("kij,ji->k", s, np.linalg.inv(form)) / (d * weight)
+        done = np.allclose(new, volume, rtol=1e-12, atol=0)
+        volume = new
+        if done:
+            break
+    return volume[:, None, None] * form
+
+
+def equal_axes(s: np.ndarray, weight: np.ndarray, n: int, model: str, rounds: int = 5000, tol: float = 1e-11) -> np.ndarray:
+    """Variances of each component along axes that all share.
+
+    Given the axes, variances are those of the scatter along them. The axes then minimise the sum of tr(S_k D inv(V_k) D'): S_k less its largest eigenvalue
+    is negative semidefinite, so the sum lies below its tangent there and the best rotation of the tangent is a singular value decomposition
+    (majorisation as in Browne & McNicholas 2014).
+    """
+    k, d, _ = s.shape
+    top = np.linalg.eigvalsh(s)[:, -1]
+    axes = np.linalg.eigh(s.sum(axis=0))[1]
+
+    def along(axes: np.ndarray) -> np.ndarray:
+        v = np.maximum(np.einsum("ji,kjl,li->ki", axes, s, axes), LEAST_DENSITY)
+        if model == "VVE":
+            return v / weight[:, None]
+        size = np.exp(np.log(v).mean(axis=1, keepdims=True))
+        return v / size * (size.sum() / n)
+
+    for _ in range(rounds):
+        tangent = np.einsum("kij,jl,kl->il", top[:, None, None] * np.eye(d) - s, axes, 1 / along(axes))
+        u, _, w = np.linalg.svd(tangent)
+        moved = np.abs(u @ w - axes).max()
+        axes = u @ w
+        if moved < tol:
+            break
+    return rotated(along(axes), np.repeat(axes[None], k, axis=0))
+
+
 Prior = np.ndarray | priors.Banded
 
 
@@ -330,11 +411,16 @@ def fit(data: DataFrame, start: Params, prior: Prior | None = None, model: str =
         held.unpersist()
 
 
+def free_covariance(model: str, k: int, d: int) -> int:
+    """Free numbers in the covariances: volumes, shapes of determinant 1, and rotations, once or for each component."""
+    of = {"E": 1, "V": k, "I": 0}
+    return of[model[0]] + of[model[1]] * (d - 1) + of[model[2]] * d * (d - 1) // 2
+
+
 def bic(data: DataFrame, fitted: Fit, model: str) -> float:
     """2 log-likelihood minus parameters times log n: larger is better."""
     k, d = fitted.params.shape
-    free = {"VVV": k * d * (d + 1) / 2, "EEE": d * (d + 1) / 2, "EEI": d, "EVI": 1 + k * (d - 1), "VEI": k + d - 1, "VVI": k * d, "EII": 1, "VII": k}[model] + k * d + k - 1
-    return 2 * fitted.trace[-1] - free * np.log(data.count())
+    return 2 * fitted.trace[-1] - (free_covariance(model, k, d) + k * d + k - 1) * np.log(data.count())
 
 
 def best_model(data: DataFrame, start: Params, models: tuple[str, ...] = MODELS, **options) -> tuple[str, Fit, dict[str, float]]:
@@ -344,9 +430,9 @@ def best_model(data: DataFrame, start: Params, models: tuple[str, ...] = MODELS,
         try:
             fits[m] = fit(data, start, model=m, **options)
             scores[m] = bic(data, fits[m], m)
-        except ValueError:
+        except Collapsed:
             continue
     if not scores:
-        raise ValueError("every covariance model collapsed")
+        raise Collapsed("every covariance model collapsed")
     best = max(scores, key=scores.__getitem__)
     return best, fits[best], scores

@@ -789,6 +789,27 @@ def distribution_kde_default(spark, sf_dir):
     return got.select("Type", r4(F.col("at")).alias("at"), r4(F.col("density"), 6).alias("density"))
 
 
+@query(f"""WITH {EVENT_TYPES}, j AS (SELECT type, metric FROM m JOIN t USING (id) WHERE type IN ('click', 'view')),
+q AS (SELECT type, count(*) AS n, min(metric) AS a, max(metric) AS z, stddev_samp(metric) AS sd, (quantile_cont(metric, 0.75) - quantile_cont(metric, 0.25)) / 1.34 AS iqr FROM j GROUP BY type),
+b AS (SELECT type, a, z, 0.9 * CASE WHEN iqr > 0 AND iqr < sd THEN iqr ELSE sd END * n ** -0.2 AS h FROM q),
+g AS (SELECT type, h, i, a - 3 * h + i * (z - a + 6 * h) / 40 AS at_ FROM b, range(0, 41) r(i)),
+d AS (SELECT type, i, at_, avg(exp(-0.5 * ((at_ - metric) / h) ** 2) / (h * sqrt(2 * pi()))) AS density FROM j JOIN g USING (type) GROUP BY type, i, at_)
+SELECT type AS "Type", i::INT AS i, round(at_, 4) AS "at", round(density, 6) AS density, round(density / max(density) OVER (), 4) AS width FROM d""")
+def distribution_violin(spark, sf_dir):
+    """Untrimmed outlines of the metric by type, each on its own grid."""
+    types, metric = event_types(spark, sf_dir)
+    got = plotdata.type_violin(types, SOME_TYPES, metric=metric, points=41)
+    return got.select("Type", "i", r4(F.col("at")).alias("at"), r4(F.col("density"), 6).alias("density"), r4(F.col("width")).alias("width"))
+
+
+@query(f"""WITH {EVENT_TYPES} SELECT id AS "Sample", round(metric, 4) AS "Metric", type AS "Type", round((2 * (('0x' || substr(md5('1:' || id), 1, 8))::BIGINT / 4294967296.0) - 1) * 0.1, 6) AS "offset"
+FROM m JOIN t USING (id) WHERE type IN ('click', 'view')""")
+def distribution_points(spark, sf_dir):
+    """The points over the outlines, moved aside by a hash."""
+    types, metric = event_types(spark, sf_dir)
+    return plotdata.type_points(types, SOME_TYPES, metric=metric).withColumn("Metric", r4(F.col("Metric"))).withColumn("offset", r4(F.col("offset"), 6))
+
+
 @query("WITH " + sql_em(3, 5) + ", n AS (SELECT k, mu AS a, lead(mu) OVER (ORDER BY k) AS b FROM p3) SELECT k::INT AS k, j::INT AS j, round(a[j], 4) AS start, round(b[j], 4) AS stop FROM n, range(1, 9) t(j) WHERE b IS NOT NULL AND sqrt(list_sum(list_transform(range(1, 9), lambda i: (a[i] - b[i]) ** 2))) > 1e-6")
 def mean_path_segments(spark, sf_dir):
     data = energy_features(spark, sf_dir)

@@ -31,6 +31,35 @@ def density(x, pi, mu, sigma):
     return np.array(out).T
 
 
+def common_axes(scatter, n, total, model):
+    """Axes that all components share, by turning two of them at a time to the best of many angles: another way than the library's."""
+    k, d, _ = scatter.shape
+
+    def loss(v):  # variances along the axes, times weights: (..., K, d)
+        return (n * np.log(v / n[:, None]).sum(axis=-1)).sum(axis=-1) if model == "VVE" else np.prod(v ** (1 / d), axis=-1).sum(axis=-1)
+
+    axes = np.linalg.eigh(scatter.sum(axis=0))[1]
+    for _ in range(200):
+        before = axes.copy()
+        for i in range(d):
+            for j in range(i):
+                mid, reach = 0.0, np.pi / 4
+                for _ in range(12):  # ever finer angles around the best
+                    t = mid + np.linspace(-reach, reach, 21)
+                    a, b = np.outer(np.cos(t), axes[:, i]) + np.outer(np.sin(t), axes[:, j]), np.outer(np.cos(t), axes[:, j]) - np.outer(np.sin(t), axes[:, i])
+                    v = np.repeat(np.einsum("ji,kjl,li->ki", axes, scatter, axes)[None], len(t), axis=0)
+                    v[..., i], v[..., j] = np.einsum("tj,kjl,tl->tk", a, scatter, a), np.einsum("tj,kjl,tl->tk", b, scatter, b)
+                    best = int(np.argmin(loss(v)))
+                    mid, reach = t[best], reach / 5
+                axes[:, i], axes[:, j] = np.cos(mid) * axes[:, i] + np.sin(mid) * axes[:, j], np.cos(mid) * axes[:, j] - np.sin(mid) * axes[:, i]
+        if np.abs(axes - before).max() < 1e-9:
+            break
+    v = np.einsum("ji,kjl,li->ki", axes, scatter, axes)
+    size = np.prod(v ** (1 / d), axis=1, keepdims=True)
+    v = v / n[:, None] if model == "VVE" else v / size * size.sum() / total
+    return np.array([axes @ np.diag(u) @ axes.T for u in v])
+
+
 def plain_em(x, p, prior, model, rounds):
     """Textbook EM with dense matrices."""
     pi, mu, sigma = p.pi, p.mu, p.sigma
@@ -62,6 +91,28 @@ def plain_em(x, p, prior, model, rounds):
         elif model == "EVI":
             size = [np.prod(np.diag(s)) ** (1 / d) for s in scatter]
             sigma = np.array([np.diag(np.diag(s)) / v * sum(size) / len(x) for s, v in zip(scatter, size)])
+        elif model in ("EVE", "VVE"):
+            sigma = common_axes(scatter, n, len(x), model)
+        elif model == "EVV":
+            size = [np.linalg.det(s) ** (1 / d) for s in scatter]
+            sigma = np.array([s / v * sum(size) / len(x) for s, v in zip(scatter, size)])
+        elif model == "VEE":
+            form = np.eye(d)
+            for _ in range(500):
+                volume = [np.trace(s @ np.linalg.inv(form)) / (m * d) for s, m in zip(scatter, n)]
+                form = sum(s / v for s, v in zip(scatter, volume))
+                form = form / np.linalg.det(form) ** (1 / d)
+            sigma = np.array([form * np.trace(s @ np.linalg.inv(form)) / (m * d) for s, m in zip(scatter, n)])
+        elif model in ("EEV", "VEV"):
+            turned = [np.linalg.svd(s) for s in scatter]
+            volume, shape = np.ones(k), sum(t[1] for t in turned) / len(x)
+            for _ in range(500 if model == "VEV" else 0):
+                volume = np.array([np.sum(t[1] / shape) / (m * d) for t, m in zip(turned, n)])
+                shape = sum(t[1] / v for t, v in zip(turned, volume))
+                shape = shape / np.prod(shape) ** (1 / d)
+            if model == "VEV":
+                volume = np.array([np.sum(t[1] / shape) / (m * d) for t, m in zip(turned, n)])
+            sigma = np.array([t[0] @ np.diag(shape * v) @ t[0].T for t, v in zip(turned, volume)])
         elif model == "VEI":
             shape = np.ones(d)
             for _ in range(500):
@@ -439,3 +490,56 @@ def test_stream(spark, tmp_path, curve):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counted").agg(F.sum("n")).first()[0] == 300
+
+
+def test_more_freedom_fits_no_worse():
+    """At the same scatter a family that contains another one is at least as likely."""
+    rng = np.random.default_rng(0)
+    n, d = np.array([40.0, 60, 80, 100]), 5
+    w = np.array([a.T @ a for a in (rng.standard_normal((int(m), d)) @ rng.standard_normal((d, d)) for m in n)])
+    stats = mixture.Statistics(int(n.sum()), n, np.zeros((4, d)), w, np.zeros((4, d)), 0.0, 0.0, False)
+    plain = mixture.Statistics(int(n.sum()), n, np.zeros((4, d)), np.einsum("kii->ki", w), np.zeros((4, d)), 0.0, 0.0, True)
+    likely = {}
+    for m in mixture.MODELS:
+        s = mixture.covariances(stats if m in mixture.FULL else plain, np.zeros((4, d)), n, m)
+        likely[m] = -0.5 * sum(c * np.linalg.slogdet(v)[1] + np.trace(x @ np.linalg.inv(v)) for c, v, x in zip(n, s, w))
+    order = [("EII", "VII"), ("EII", "EEI"), ("EEI", "VEI"), ("EEI", "EVI"), ("EVI", "VVI"), ("VEI", "VVI"), ("EEI", "EEE"), ("EEE", "VEE"), ("EEE", "EVE"), ("VEE", "VVE"), ("EVE", "VVE"), ("EEE", "EEV"), ("EEV", "VEV"), ("EEV", "EVV"), ("VEV", "VVV"), ("EVV", "VVV"), ("VVI", "VVE")]
+    assert all(likely[a] <= likely[b] + 1e-6 for a, b in order) and len(likely) == 14
+    with pytest.raises(mixture.Collapsed):
+        mixture.covariances(mixture.Statistics(9, n, np.zeros((4, d)), 0 * w, np.zeros((4, d)), 0.0, 0.0, False), np.zeros((4, d)), n, "EVV")
+
+
+def test_wrong_options_are_no_collapse(spark, curve):
+    with pytest.raises(ValueError, match="max_iter"):
+        mixture.best_model(frame(spark, curve), mixture.isotropic([0.5, 0.5], curve[:2], 1.0), max_iter=0)
+    with pytest.raises(ValueError, match="no rows"):
+        mixture.default_start(frame(spark, curve).limit(0), 2)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.standard_normal(501), "b": np.round(rng.exponential(1, 300), 1), "c": 2.0 ** np.arange(-500, 500), "d": np.array([3.5]), "e": np.full(40, -1.0), "f": np.array([-1e308, 1e308, 0.0])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("a", float("nan")), ("g", None), (None, 2.0)]
+    at = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = plotdata.quantiles(spark.createDataFrame(rows, "t string, x double").repartition(5), "t", "x", at, bins=8)
+    assert set(got) - {None} == set(groups)
+    for g, x in groups.items():
+        np.testing.assert_allclose(got[g], np.quantile(x / 4, at) * 4, rtol=1e-12)
+
+
+def test_violins_and_points(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal(200), rng.exponential(2, 100), [5.0]])
+    types = spark.createDataFrame([(i, "a" if i < 200 else "b" if i < 300 else "lone") for i in range(301)], "id bigint, type string")
+    metric = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id bigint, metric double")
+    got = plotdata.type_violin(types, ["a", "b", "lone"], metric=metric, points=101).orderBy("Type", "i").collect()
+    assert {r["Type"] for r in got} == {"a", "b"} and max(r["width"] for r in got) == 1 and len(got) == 202
+    for t, own in (("a", x[:200]), ("b", x[200:300])):
+        rows = [r for r in got if r["Type"] == t]
+        h = 0.9 * min(own.std(ddof=1), (np.quantile(own, 0.75) - np.quantile(own, 0.25)) / 1.34) * len(own) ** -0.2
+        assert rows[0]["at"] == pytest.approx(own.min() - 3 * h) and rows[-1]["at"] == pytest.approx(own.max() + 3 * h)
+        assert sum(r["density"] for r in rows) * (rows[1]["at"] - rows[0]["at"]) == pytest.approx(1, abs=0.01)
+    aside = [plotdata.type_points(types.repartition(n), ["a", "b"], metric=metric, width=0.1).orderBy("Sample").collect() for n in (1, 7)]
+    assert aside[0] == aside[1] and len(aside[0]) == 300
+    offsets = np.array([r["offset"] for r in aside[0]])
+    assert np.abs(offsets).max() <= 0.1 and np.std(offsets) == pytest.approx(0.2 / np.sqrt(12), rel=0.1)

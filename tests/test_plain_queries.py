@@ -28,6 +28,7 @@ def test_best_model(spark, data):
     _, x = data
     n, d, k = len(x), 8, 5
     free = {"VVV": k * 36, "EEE": 36, "EEI": d, "EVI": 1 + k * (d - 1), "VEI": k + d - 1, "VVI": k * d, "EII": 1, "VII": k}
+    free |= {"VEE": 35 + k, "EVE": 29 + 7 * k, "VVE": 28 + 8 * k, "EEV": 8 + 28 * k, "VEV": 7 + 29 * k, "EVV": 1 + 35 * k}
     got = {r["model"]: r["bic"] for r in QUERIES["em_best_model"](spark, SF).collect()}
     for model, count in free.items():
         params, trace = Start(x, k), []
