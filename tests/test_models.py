@@ -543,3 +543,71 @@ def test_violins_and_points(spark):
     assert aside[0] == aside[1] and len(aside[0]) == 300
     offsets = np.array([r["offset"] for r in aside[0]])
     assert np.abs(offsets).max() <= 0.1 and np.std(offsets) == pytest.approx(0.2 / np.sqrt(12), rel=0.1)
+
+
+def moments(k=12, seed=1, gaps=()):
+    rng = np.random.default_rng(seed)
+    t = np.linspace(0, 1, k)
+    n = rng.integers(1, 30, k).astype(float)
+    n[list(gaps)] = 0
+    y = np.sin(4 * t)[:, None] * [1, 0.2] + 0.1 * rng.standard_normal((k, 2))
+    return t, Moments(n, n[:, None] * y, n[:, None] * (y**2 + 0.01))
+
+
+@pytest.mark.parametrize("order", [2, (2,), (1, 3), (3, 2)])
+def test_weights_of_the_spline_are_most_likely(order):
+    """At the weights the derivative is 0, as the difference of the likelihood says too; none of many others is more likely."""
+    t, m = moments()
+    b = smoothers.spline_basis(t, 9)
+    penalties = [(lambda d: d.T @ d)(np.diff(np.eye(9), n=o, axis=0)) for o in np.atleast_1d(order)]
+    for j in range(2):
+        best = smoothers.most_likely(m, j, b, penalties)
+        weights = np.clip(best.following, smoothers.LEAST_WEIGHT, smoothers.MOST_WEIGHT)
+        inside = (weights > 10 * smoothers.LEAST_WEIGHT) & (weights < smoothers.MOST_WEIGHT / 10)
+        assert np.abs(best.slope[inside]).max(initial=0) < 1e-4 and inside.any()
+        for i in np.flatnonzero(inside):
+            up, down = (smoothers.penalised_fit(m, j, b, penalties, weights * np.where(np.arange(len(weights)) == i, f, 1)).value for f in (1.01, 1 / 1.01))
+            assert max(up, down) <= best.value + 1e-9
+        if len(penalties) == 1:
+            assert all(smoothers.penalised_fit(m, j, b, penalties, np.array([10.0**e])).value <= best.value + 1e-9 for e in np.arange(-7, 11, 0.25))
+    assert smoothers.penalised_spline(12, count=9, order=order)(m)[1].shape == (12, 2)
+
+
+def test_spline_options():
+    with pytest.raises(ValueError, match="more than"):
+        smoothers.penalised_spline(6, count=9)
+    with pytest.raises(ValueError, match="one weight"):
+        smoothers.penalised_spline(12, order=(1, 2), smoothing=3.0)
+    assert smoothers.penalised_spline(3)(moments(3)[1])[1].shape == (3, 2)
+
+
+def dense_wiener(t, m, ratio, order):
+    """The same posterior by the process's covariance matrix."""
+    have = m.n > 0
+    cov = ratio * smoothers.wiener_covariance(t - t.min(), order) + 1e6 * sum(np.outer(t**p, t**p) for p in range(order))
+    v = cov[np.ix_(have, have)] + np.diag(1 / m.n[have])
+    y = m.first[have] / m.n[have][:, None]
+    return cov[:, have] @ np.linalg.solve(v, y), (y * np.linalg.solve(v, y)).sum(axis=0), np.linalg.slogdet(v)[1]
+
+
+@pytest.mark.parametrize("k, order", [(7, 1), (12, 2), (100, 2), (30, 3)])
+def test_filter_agrees_with_the_dense_process(k, order):
+    t, m = moments(k, gaps=(3, k - 2))
+    ratios = np.array([0.1, 30.0, 1e4])
+    mean, fit, log_det = smoothers.filtered(t, m.n, m.first / np.maximum(m.n, 1)[:, None], ratios, order)
+    for r, ratio in enumerate(ratios):
+        want = dense_wiener(t, m, ratio, order)
+        for got, w in zip((mean[r], fit[r], log_det[r]), want):
+            np.testing.assert_allclose(got, w, rtol=1e-6, atol=1e-6)
+
+
+def test_quadrature_ends_where_a_finer_one_does():
+    t, m = moments(20, gaps=(0, 7))
+    for prior in (None, 0.3):
+        _, mu, var = smoothers.wiener_process(20, prior_sd=prior)(m)
+        _, fine, fine_var = smoothers.wiener_process(20, prior_sd=prior, scales=10.0 ** np.arange(-6, 12.001, 0.005))(m)
+        np.testing.assert_allclose(mu, fine, atol=2e-5)
+        np.testing.assert_allclose(var, fine_var, rtol=0.05)
+    turned = np.random.default_rng(0).permutation(20)
+    shuffled = Moments(m.n[turned], m.first[turned], m.second[turned])
+    np.testing.assert_allclose(smoothers.wiener_process(20, locations=t[turned])(shuffled)[1], smoothers.wiener_process(20)(m)[1][turned])

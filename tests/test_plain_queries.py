@@ -73,20 +73,31 @@ def cubic(k, count):
     return sum(np.where((u >= i) & (u < i + 1), p, 0) for i, p in enumerate(pieces)) / 6
 
 
-def spline(k, count, grid):
+def spline(k, count, fixed=None):
+    """With the given weight, or that of largest likelihood by golden sections around the best of many."""
     b, diff = cubic(k, count), np.diff(np.eye(count), n=2, axis=0)
     penalty = diff.T @ diff
 
     def smooth(z, y):
-        rows, best = b[z], None
-        for s in grid:
-            gram = rows.T @ rows
-            system = gram + s * penalty + 1e-10 * np.trace(gram) / count * np.eye(count)
-            coef = np.linalg.solve(system, rows.T @ y)
-            value = -0.5 * (len(y) - 2) * np.log(y @ y - y @ rows @ coef) - 0.5 * np.linalg.slogdet(system)[1] + 0.5 * (count - 2) * np.log(s)
-            if best is None or value > best[0]:
-                best = (value, coef)
-        return b @ best[1], np.var(y - rows @ best[1], ddof=1)
+        rows = b[z]
+        gram, right = rows.T @ rows, rows.T @ y
+
+        def fit(log10):
+            system = gram + 10.0**log10 * penalty + 1e-10 * np.trace(gram) / count * np.eye(count)
+            coef = np.linalg.solve(system, right)
+            return -0.5 * (len(y) - 2) * np.log(y @ y - right @ coef) - 0.5 * np.linalg.slogdet(system)[1] + 0.5 * (count - 2) * log10 * np.log(10), coef
+
+        if fixed is None:
+            mid = max(np.arange(-7, 11.5, 0.5), key=lambda e: fit(e)[0])
+            low, high, gold = mid - 1, mid + 1, (math.sqrt(5) - 1) / 2
+            while high - low > 1e-7:
+                a, c = high - gold * (high - low), low + gold * (high - low)
+                low, high = (low, c) if fit(a)[0] > fit(c)[0] else (a, high)
+            at = (low + high) / 2
+        else:
+            at = math.log10(fixed)
+        coef = fit(at)[1]
+        return b @ coef, np.var(y - rows @ coef, ddof=1)
 
     return smooth
 
@@ -94,10 +105,10 @@ def spline(k, count, grid):
 def test_splines(spark, data):
     _, x = data
     got = {(r["k"], r["j"]): (r["mean"], r["variance"]) for r in QUERIES["spline_threshold_em"](spark, SF).collect()}
-    mu, variance = threshold_em(x, 10, spline(10, 8, [1.0]))
+    mu, variance = threshold_em(x, 10, spline(10, 8, 1.0))
     assert all(got[k + 1, j + 1] == (pytest.approx(mu[k, j], abs=2e-4), pytest.approx(variance[j], abs=2e-4)) for k in range(10) for j in range(8))
     curves = {(round(r["location"] * 9), r["dimension"]): r["mean"] for r in QUERIES["spline_threshold_em_ml"](spark, SF).collect()}
-    mu, _ = threshold_em(x, 10, spline(10, 8, 10.0 ** np.arange(-4, 8.5, 0.5)))
+    mu, _ = threshold_em(x, 10, spline(10, 8))
     assert all(curves[k, j + 1] == pytest.approx(mu[k, j], abs=1e-3) for k in range(10) for j in range(8))
 
 
@@ -108,19 +119,23 @@ def test_wiener_process(spark, data):
     ids, x = data
     t = np.linspace(0, 1, 10)
     base, wide = smoothers.wiener_covariance(t, 2), np.stack([np.ones(10), t], axis=1)
-    ratios = 10.0 ** np.arange(-2, 6.5, 0.5)
+    ratios = 10.0 ** np.arange(-3, 9, 0.25)
 
     def smooth(z, y):
         logs, means, noises = [], [], []
+        have, hits = np.unique(z, return_counts=True)
+        raw = np.array([y[z == g].mean() for g in have])
+        sums = raw
         for ratio in ratios:
             cov = ratio * base + 1e6 * wide @ wide.T
-            v = cov[np.ix_(z, z)] + np.eye(len(y))
-            solved = np.linalg.solve(v, y)
-            rss = y @ solved
+            # (M C M' + I)^-1 of row memberships M, by the K x K identity.
+            small = np.linalg.inv(np.diag(1 / hits) + cov[np.ix_(have, have)])
+            solved_means = small @ sums
+            rss = y @ y - (raw**2 * hits).sum() + raw @ solved_means
             noise = rss / (len(y) - 2)
             scale = math.sqrt(ratio * noise)
-            logs.append(-0.5 * (len(y) - 2) * math.log(rss) - 0.5 * np.linalg.slogdet(v)[1] + math.log(scale) - math.log(2) * scale / 0.5)
-            means.append(cov[:, z] @ solved)
+            logs.append(-0.5 * (len(y) - 2) * math.log(rss) + 0.5 * np.linalg.slogdet(small)[1] + math.log(scale) - math.log(2) * scale / 0.5)
+            means.append(cov[:, have] @ solved_means)
             noises.append(noise)
         p = np.exp(np.array(logs) - max(logs))
         p /= p.sum()
