@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import discard, materialise
+from ..sources.staging import discard, materialise, tidied
 from . import cells, linkage
 from .graph import spread
 from .ordering import pc_scores, positions
@@ -186,6 +186,10 @@ def tsne_gradient(places: DataFrame, edges: DataFrame, exaggeration: float) -> D
 
 
 def tsne(data: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 1) -> DataFrame:
+    return tidied(data.sparkSession, lambda: tsne_layout(data, perplexity, rounds, seed))
+
+
+def tsne_layout(data: DataFrame, perplexity: float, rounds: int, seed: int) -> DataFrame:
     """One-dimensional t-SNE (van der Maaten 2014) from the first principal component: affinities among the nearest 3 * perplexity rows, all rows push."""
     n = data.count()
     if n < 3:
@@ -210,6 +214,10 @@ def tsne(data: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int
 
 
 def umap_axis(data: DataFrame, n_neighbors: int = 15, min_dist: float = 0.1, rounds: int = 200, seed: int = 1, drawn: int = 5) -> DataFrame:
+    return tidied(data.sparkSession, lambda: umap_layout(data, n_neighbors, min_dist, rounds, seed, drawn))
+
+
+def umap_layout(data: DataFrame, n_neighbors: int, min_dist: float, rounds: int, seed: int, drawn: int) -> DataFrame:
     """First axis of a two-dimensional UMAP layout. In each round edges pull with their memberships, and ``drawn`` rows, drawn anew by a hash, push each row."""
     n = data.count()
     k = min(n_neighbors, n - 1)
@@ -258,12 +266,12 @@ def merges(data: DataFrame, method: str) -> DataFrame:
     """The merges of a linkage: step, height, left, right, left_size, right_size."""
     if method not in ("single", "ward"):
         raise ValueError("linkage must be single or ward")
-    return linkage.single(data) if method == "single" else linkage.ward(data)
+    return tidied(data.sparkSession, lambda: linkage.single(data) if method == "single" else linkage.ward(data))
 
 
 def hierarchical(data: DataFrame, method: str = "single") -> DataFrame:
     """id, metric (place in the dendrogram as a number), position. Of two clusters, the one with the smaller least row stands left; our convention."""
-    places = linkage.leaf_places(data, merges(data, method))
+    places = tidied(data.sparkSession, lambda: linkage.leaf_places(data, merges(data, method)))
     return places.select("id", F.col("position").cast("double").alias("metric"), "position")
 
 

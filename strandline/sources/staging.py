@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strandline/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strandline/{tag}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].add(path)
+    return path
+
+
+#: What each open call of ``tidied`` has written, the innermost last.
+_scopes: list[set[str]] = []
+
+
+def tidied(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives. Of the tables that were written on the way, only those that it reads stay."""
+    _scopes.append(set())
+    try:
+        got = build()
+    except BaseException:
+        remove(spark, _scopes.pop())
+        raise
+    written = _scopes.pop()
+    kept = {k for k in tables_of(got)} if written else set()
+    remove(spark, {p for p in written if p.rsplit("/", 1)[1] not in kept})
+    if _scopes:
+        _scopes[-1].update(p for p in written if p.rsplit("/", 1)[1] in kept)
+    return got
+
+
+def tables_of(df: DataFrame) -> set[str]:
+    """Names of the written tables that df reads."""
+    return {f.rsplit("/", 2)[1] for f in df.inputFiles() if "/strandline/" in f}
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -42,8 +77,4 @@ def numbered(df: DataFrame, name: str, tag: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/strandline/" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/strandline/" in f})
