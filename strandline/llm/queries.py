@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import tidied
 from . import ann, chat, decontaminate, divergence, jaccard, langid, lmscore, packing, search, simhash, sql, tokenbin, tokencount, toxicity
 
 
@@ -69,8 +72,18 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def tidy_query(query):
+    """The query; tables that it has written and its result doesn't read are deleted."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tidied(spark, lambda: query(spark, sf_dir))
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: tidy_query(f)
     for f in (
         op1_language_id, op2_decontamination, op3_packing, op4_nearest, op5_chat, op6_token_files, op7_toxicity, op8_lm_scoring, op9_token_counts, op10_jaccard_join, op11_simhash,
         op12_source_divergence, op13_lexical_search,
