@@ -17,7 +17,7 @@ Defined cases: vectors that are null, zero, or hold null or non-finite component
 than the most common (ties: the shorter). Components of any finite size are scaled for codes and estimates; a score that
 overflows is infinite, and one that isn't a number counts as the least. Ties of the measure go to smaller ids. Repeated ids: rows with
 the query's own id are never its candidates, and an id counts once, with its best score. Of equal vectors in a block, the k + 1 with the smallest
-ids are searched: no other can be among the k nearest. With fewer than k candidates all are given. Extra columns are ignored.
+ids are searched: no other can be among the k nearest. An empty table gives no rows. With fewer than k candidates all are given. Extra columns are ignored.
 """
 
 from __future__ import annotations

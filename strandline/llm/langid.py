@@ -6,7 +6,8 @@ machines at once. Only the fit sees labels, on a bounded sample; the corpus itse
 
 Defined cases: a null text, or one without any Unicode letter, is ``und`` with score 0. Rows without a language teach
 nothing. With no usable training row every text is ``und``; with one language that language is predicted with score 1.
-Repeated rows each get their own prediction. Extra columns are ignored by ``identify`` and kept by ``with_language``.
+Repeated rows each get their own prediction. Very long texts are read in slices. Ties of votes and of probabilities go to the language
+that is first in the alphabet. An empty table gives no rows. Extra columns are ignored by ``identify`` and kept by ``with_language``.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ are more, the flag is joined to the texts instead.
 A document's score is the mean over its tokens of the target's loss minus the background's: below 0, it is more like the target.
 
 Defined cases: null or wordless text has 0 tokens and null losses and score. Without labels the target is the smoothed uniform
-model. Repeated rows count and are scored each. An empty table gives no rows. Extra columns are ignored.
+model. Repeated rows count and are scored each. Very long texts are hashed in slices. Words of equal frequency rank by their hashes. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

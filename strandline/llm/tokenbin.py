@@ -6,8 +6,11 @@ ids, the least and largest id, and the SHA-256 of the dictionary. Shards are row
 writing atomic on any store; row groups are small, so a look-up by id skips all but the few whose range holds it, reads the index
 columns of these, and then the frames of the shards with a hit. The dictionary is a one-row table beside them.
 
+The dictionary is trained on at most 1,000 texts, drawn by a hash, and at most 8 KiB of the ids of each. The same table gives the same files.
+
 Defined cases: a null or empty text is the end id alone. Documents stand in ascending doc_id order, null first; rows with
-equal ids stand in order of their frames. An empty table gives an empty folder of shards. Extra columns are ignored.
+equal ids stand in order of a digest of their ids, and where they are many, in several partitions. Very long texts are encoded whole; a document is one frame in one shard.
+An empty table gives an empty folder of shards. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +35,19 @@ SHARD_BYTES = 4 << 20
 
 
 def train_dictionary(docs: DataFrame, path: str, samples: int = 1000, size: int = 64 << 10, sample_bytes: int = 8 << 10) -> bytes:
-    """A dictionary from the serialized ids of at most ``samples`` documents; empty if there are too few to train on."""
+    """A dictionary from the serialized ids of at most ``samples`` documents, the same for the same texts; empty if there are too few to train on.
+
+    Texts are drawn by a hash. Of one with more than ``sample_bytes`` of ids, a stretch of that length is taken, from a place that a hash of it says.
+    """
     import zstandard
 
     rows = docs.select("text").where(F.length("text") > 0)
     n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1e6, 1.2e6 * samples / max(1, n)))).dropDuplicates(["text"]).limit(samples)  # copies of a text are drawn together
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1e6, 1.2e6 * samples / max(1, n)))).dropDuplicates(["text"]).orderBy(F.xxhash64("text"), F.length("text"), "text").limit(samples)  # copies of a text are drawn together
 
     @F.arrow_udf("binary")
     def serialized(texts: pa.Array) -> pa.Array:
-        return pa.array([ids[:sample_bytes] for ids in encoder(path).encode(each(texts))], pa.binary())
+        return pa.array([stretch(ids, sample_bytes) for ids in encoder(path).encode(each(texts))], pa.binary())
 
     got = [bytes(r[0]) for r in drawn.select(serialized.asNondeterministic()("text")).collect()]
     try:
@@ -50,6 +56,21 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 1000, size: int
         return b""
 
 
+def stretch(ids: bytes, size: int) -> bytes:
+    """One of the consecutive stretches of this size, chosen by a checksum."""
+    at = zlib.crc32(ids) % -(-len(ids) // size) * size if ids else 0
+    return ids[at : at + size]
+
+
+def place(cuts: list[int], nameless: int, doc: int | None, digest: bytes) -> int:
+    """The partition of a document: by the sorted cuts after those for documents without an id. An id that several cuts name has as many partitions, by digest."""
+    share = int.from_bytes(digest[:4], "big")
+    if doc is None:
+        return share * nameless >> 32
+    first, after = bisect.bisect_left(cuts, doc), bisect.bisect_right(cuts, doc)
+    return nameless + first + ((1 + (share * (after - first) >> 32)) if after > first else 0)
+
+
 def codec(dictionary: bytes) -> dict:
     import zstandard
 
@@ -65,7 +86,9 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    n, with_id = rows.agg(F.count("*"), F.count("doc_id")).first()
+    cuts = sorted(int(c) for c in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)) if parts > 1 else []
+    nameless = -(-parts * (n - with_id) // n) if n else 0
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -73,12 +96,13 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
         enc, pack = encoder(path), zstandard.ZstdCompressor(level=level, **codec(dictionary))
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in tidy(batches):
-            frames, sizes = [], []
+            frames, sizes, digests = [], [], []
             for ids in enc.encode(each(batch.column(1))):
+                digests.append(hashlib.blake2b(ids, digest_size=16).digest())
                 frames.append(pack.compress(ids + end))
                 sizes.append((len(ids) + len(end)) // enc.dtype.itemsize)
-            part = [0 if d is None else bisect.bisect_right(cuts, d) for d in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, pa.int32()), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "part", "n", "frame"])
+            part = [place(cuts, nameless, d, digest) for d, digest in zip(batch.column(0).to_pylist(), digests)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, pa.int32()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "part", "digest", "n", "frame"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before = TaskContext.get().partitionId(), 0, 0
@@ -101,8 +125,8 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
         if ids:
             yield shard()
 
-    framed = rows.mapInArrow(compress, "doc_id bigint, part int, n bigint, frame binary")
-    ordered = framed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "frame")
+    framed = rows.mapInArrow(compress, "doc_id bigint, part int, digest binary, n bigint, frame binary")
+    ordered = framed.repartitionById(nameless + len(cuts) + 1, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "digest")
     ordered.select("doc_id", "n", "frame").mapInArrow(shards, SHARD).write.option("compression", "none").option("parquet.block.size", SHARD_BYTES).parquet(f"{folder}/shards")
     return folder
 

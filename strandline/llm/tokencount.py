@@ -7,7 +7,7 @@ distinct pre-tokens of the corpus; the library then sees each of them once. The
 broadcast; all others meet the documents in a shuffle join, long ones by their digest. Pre-tokens too long to be broadcast may be
 frequent (a banner without a space), so their rows are dealt over salts. Nothing but counts is kept: no ids.
 
-Defined cases: null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each. An empty table gives no rows.
+Defined cases: null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each. Very long texts are counted whole; no ties arise. An empty table gives no rows.
 Extra columns are ignored.
 """
 

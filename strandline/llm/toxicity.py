@@ -13,7 +13,8 @@ Scoring is one narrow pass over whole texts, and every maximal segment of a text
 
 Defined cases: null, empty or wordless text has no segment and the score of a text without evidence. Words not in the table
 score the constant. If labels are missing or of one class only, every score is that class's (0 without labels).
-Repeated rows are scored each. Several labels of one id: the larger counts. Several rows of one id: the fit takes one of them, chosen by a hash of the text. Extra columns are kept by ``keep_civil`` only.
+Repeated rows are scored each. Very long texts are scored whole. An empty table gives no rows; a score of exactly 0.5 is predicted toxic, and no other ties
+arise. Several labels of one id: the larger counts. Several rows of one id: the fit takes one of them, chosen by a hash of the text. Extra columns are kept by ``keep_civil`` only.
 """
 
 from __future__ import annotations

@@ -120,3 +120,29 @@ def test_probes_read_probed_buckets_alone():
         assert 0 < index.read - before < 8000
     wide = ann.BlockIndex(codes, 8)
     assert len(wide.within(codes[0], 64)) == 8000 and wide.read == 8 * 8000
+
+
+def test_token_files_are_the_same_each_time_and_split_hot_ids(spark, tmp_path):
+    from strandline.llm import tokenbin
+
+    docs = spark.createDataFrame([(k, prose(k, 60)) for k in range(40)] + [(7, prose(100 + k, 30)) for k in range(200)] + [(None, prose(500 + k, 20)) for k in range(100)], "doc_id bigint, text string")
+    files = []
+    for n in (2, 7):
+        folder = tokenbin.write_tokens(docs.repartition(n), str(tmp_path / f"files{n}"), path=tokenbin.tokenizer_path())
+        shards = spark.read.parquet(f"{folder}/shards").orderBy("part", "shard").collect()
+        files.append([(r["dict_sha256"], r["doc_ids"], r["n_tokens"], bytes(r["frames"])) for r in shards])
+        assert sum(7 in r["doc_ids"] for r in shards) > 1 and sum(None in r["doc_ids"] for r in shards) > 1
+    flat = [[(d, n) for _, ids, sizes, _ in f for d, n in zip(ids, sizes)] for f in files]
+    assert flat[0] == flat[1] and len(flat[0]) == 340 and {f[0] for f in files[0]} == {f[0] for f in files[1]}
+    assert [d for d, _ in flat[0]] == sorted((d for d, _ in flat[0]), key=lambda d: -1 if d is None else d)
+
+
+def test_places_follow_the_order_of_ids():
+    from strandline.llm.tokenbin import place
+
+    rng = random.Random(2)
+    for cuts in ([], [5], [3, 5, 5, 5, 9], [5, 5, 5]):
+        rows = sorted(((rng.choice([None, 1, 3, 4, 5, 5, 5, 6, 9, 10]), rng.randbytes(16)) for _ in range(300)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        parts = [place(cuts, 2, d, h) for d, h in rows]
+        assert parts == sorted(parts) and set(parts) <= set(range(len(cuts) + 3))
+    assert len({place([3, 5, 5, 5, 9], 0, 5, rng.randbytes(16)) for _ in range(200)}) == 3
