@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax, total, vector
 from ..functions.names import spare
 from ..sources.staging import materialise
+from .graph import SALTS
 
 
 def positions(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
@@ -71,5 +72,9 @@ def pc_scores(data: DataFrame, component: int = 1, name: str = "metric") -> Data
 
 
 def local_positions(df: DataFrame, group: str, *order: Column, name: str = "position") -> DataFrame:
-    """Positions inside each group; a group's rows are sorted in one task, with spill."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """Positions inside each group: those over (group, order) less the group's first, so a group of any size is sorted by many tasks."""
+    key, first, salt = (spare(df, c) for c in ("__group", "__first", "__salt"))
+    placed = positions(df.withColumn(salt, F.lit(0)), F.col(group), *order, name=name).withColumn(salt, F.pmod(F.col(name), F.lit(SALTS)).cast("int"))
+    firsts = placed.groupBy(F.col(group).alias(key)).agg(F.min(name).alias(first)).withColumn(f"{salt}_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    got = placed.join(firsts, placed[group].eqNullSafe(firsts[key]) & (placed[salt] == firsts[f"{salt}_"]))
+    return got.withColumn(name, (F.col(name) - F.col(first) + 1).cast("int")).drop(key, first, salt, f"{salt}_")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import materialise
+from .graph import spread
 from .mixture import Params
+from .ordering import positions
 from .sampling import draw
 
 
@@ -28,12 +30,12 @@ def structure_by_order(data: DataFrame, order: DataFrame, which: list[int] | Non
 def structure_by_group(data: DataFrame, order: DataFrame, which: list[int] | None = None) -> DataFrame:
     """x, Group, Component, Value: groups in the order of their smallest id, x running on over all.
 
-    order has (id, group, position) with positions inside groups; sizes of groups are the only thing that is summed up.
+    order has (id, group, position) with positions inside groups.
     """
-    sizes = order.groupBy("group").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("first_id", "group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = data.select("id", "x").join(order.select("id", "group", "position"), "id").join(before.select("group", "before"), "group")
-    rows = rows.select((F.col("before") + F.col("position")).cast("bigint").alias("at"), F.col("group").alias("Group"), "x")
+    firsts = order.groupBy("group").agg(F.min("id").alias("first_id"))
+    # Positions over (the group's least id, position) run on from group to group: no window over all groups stands in one task.
+    placed = positions(spread(order.select("id", "group", "position"), firsts, "group", "id"), F.col("first_id"), F.col("group"), F.col("position"), name="at")
+    rows = data.select("id", "x").join(placed.select("id", "group", "at"), "id").select("at", F.col("group").alias("Group"), "x")
     return _long(rows, ["at", "Group"], "loading", "Component", "Value", which).withColumnRenamed("at", "x")
 
 

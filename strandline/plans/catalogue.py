@@ -402,35 +402,49 @@ def linear_objective(spark, sf_dir):
 # Priors ---------------------------------------------------------------------------------------------------------------------
 
 
+PENALTY = """, u AS (SELECT vec_id % 6 + 1 AS g, e, avg(embedding[e]::DOUBLE) AS u FROM embeddings, range(1, {d} + 1) t(e) GROUP BY g, e)
+SELECT ((q.i - 1) * {d} + a.e)::INT AS i, ((q.j - 1) * {d} + a.e)::INT AS j, round({v} * a.u * b.u, 6) AS value FROM q JOIN u a ON a.g = q.i JOIN u b ON b.g = q.j AND b.e = a.e WHERE v <> 0"""
+
+
 def sql_walk(order: int, k: int, d: int, strength: float) -> str:
     coef = {1: "CASE c - r WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END", 2: "CASE c - r WHEN 0 THEN 1 WHEN 1 THEN -2 WHEN 2 THEN 1 ELSE 0 END"}[order]
     return f"""WITH d AS (SELECT r, c, {coef} AS v FROM range(1, {k - order + 1}) a(r), range(1, {k + 1}) b(c)),
 q AS (SELECT a.c AS i, b.c AS j, sum(a.v * b.v) + CASE WHEN a.c = b.c THEN 1e-6 ELSE 0 END AS v FROM d a JOIN d b USING (r) GROUP BY a.c, b.c)
-SELECT ((i - 1) * {d} + e)::INT AS i, ((j - 1) * {d} + e)::INT AS j, round({strength} * v, 6) AS value FROM q, range(1, {d + 1}) t(e) WHERE v <> 0"""
+{PENALTY.format(d=d, v=f"{strength} * v")}"""
+
+
+def penalty_terms(spark: SparkSession, sf_dir: str, prior) -> DataFrame:
+    """Terms u_i Q_ij u_j of a prior over six components, at the means of six groups of rows in two features."""
+    rows = two_features(spark, sf_dir).select((F.col("id") % 6).alias("g"), F.posexplode("x").alias("e", "v"))
+    means = rows.groupBy("g", "e").agg(F.avg("v").alias("u")).select((F.col("g") * 2 + F.col("e") + 1).cast("int").alias("i"), "u")
+    terms = priors.as_frame(spark, prior).join(means, "i").join(means.select(F.col("i").alias("j"), F.col("u").alias("w")), "j")
+    return terms.select("i", "j", r4(F.col("value") * F.col("u") * F.col("w"), 6).alias("value"))
 
 
 @query(sql_walk(1, 6, 2, 10.0))
 def prior_rw1(spark, sf_dir):
-    return priors.as_frame(spark, priors.random_walk(6, 2, 1, 10.0)).withColumn("value", r4(F.col("value"), 6))
+    return penalty_terms(spark, sf_dir, priors.random_walk(6, 2, 1, 10.0))
 
 
 @query(sql_walk(2, 6, 2, 400.0))
 def prior_rw2(spark, sf_dir):
-    return priors.as_frame(spark, priors.random_walk(6, 2, 2, 400.0)).withColumn("value", r4(F.col("value"), 6))
+    return penalty_terms(spark, sf_dir, priors.random_walk(6, 2, 2, 400.0))
 
 
-@query("""WITH q AS (SELECT i, j, CASE WHEN i = j THEN CASE WHEN i = 1 THEN 1.0 ELSE 10.0 END + CASE WHEN i < 6 THEN 6.4 ELSE 0 END
+@query(f"""WITH q AS (SELECT i, j, CASE WHEN i = j THEN CASE WHEN i = 1 THEN 1.0 ELSE 10.0 END + CASE WHEN i < 6 THEN 6.4 ELSE 0 END
  WHEN abs(i - j) = 1 THEN -8.0 ELSE 0 END AS v FROM range(1, 7) a(i), range(1, 7) b(j))
-SELECT ((i - 1) * 2 + e)::INT AS i, ((j - 1) * 2 + e)::INT AS j, round(v::DOUBLE, 6) AS value FROM q, range(1, 3) t(e) WHERE v <> 0""")
+{PENALTY.format(d=2, v="v::DOUBLE")}""")
 def prior_var1(spark, sf_dir):
-    return priors.as_frame(spark, priors.var1(6, 2, 0.8 * np.eye(2), 0.1 * np.eye(2))).withColumn("value", r4(F.col("value"), 6))
+    return penalty_terms(spark, sf_dir, priors.var1(6, 2, 0.8 * np.eye(2), 0.1 * np.eye(2)))
 
 
-@query(f"""WITH m AS (SELECT k, j, 10 * {DRAW.format("'3:mean:' || k || ':' || j")} - 5 AS mu FROM range(1, 6) a(k), range(1, 3) b(j)), r AS (SELECT id, 1 + floor({DRAW.format("'3:z:' || id")} * 5)::INT AS z FROM range(0, 20000) t(id)),
+@query(f"""WITH m AS (SELECT k, j, 10 * {DRAW.format("'3:mean:' || k || ':' || j")} - 5 AS mu FROM range(1, 6) a(k), range(1, 3) b(j)), r AS (SELECT id, 1 + floor({DRAW.format("'3:z:' || id")} * 5)::INT AS z FROM (SELECT o_orderkey AS id FROM orders)),
 x AS (SELECT z, j, mu, mu + sqrt(0.1) * sqrt(-2 * ln(1 - {DRAW.format("'3:' || id || ':' || j || ':a'")})) * cos(2 * pi() * {DRAW.format("'3:' || id || ':' || j || ':b'")}) AS v FROM r JOIN m ON k = z)
 SELECT z, j::INT AS j, count(*) AS n, round(any_value(mu), 4) AS mu, round(avg(v), 4) AS mean, round(var_samp(v), 4) AS variance FROM x GROUP BY z, j""")
 def simulated_moments(spark, sf_dir):
-    rows, p = simulate.simulate_mixture(spark, 20_000, 5, 2, seed=3)
+    """A row drawn for each order, and the moments of what was drawn."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    rows, p = simulate.simulate_mixture(spark, 0, 5, 2, seed=3, ids=orders)
     true = p.as_frame(spark).select(F.col("k").alias("z"), F.posexplode("mu").alias("at", "mu"))
     got = rows.select("z", F.posexplode("x").alias("at", "v")).groupBy("z", "at").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("variance"))
     return got.join(true, ["z", "at"]).select("z", (F.col("at") + 1).alias("j"), "n", *[r4(F.col(c)).alias(c) for c in ("mu", "mean", "variance")])
@@ -792,7 +806,7 @@ def distribution_kde_default(spark, sf_dir):
 @query(f"""WITH {EVENT_TYPES}, j AS (SELECT type, metric FROM m JOIN t USING (id) WHERE type IN ('click', 'view')),
 q AS (SELECT type, count(*) AS n, min(metric) AS a, max(metric) AS z, stddev_samp(metric) AS sd, (quantile_cont(metric, 0.75) - quantile_cont(metric, 0.25)) / 1.34 AS iqr FROM j GROUP BY type),
 b AS (SELECT type, a, z, 0.9 * CASE WHEN iqr > 0 AND iqr < sd THEN iqr ELSE sd END * n ** -0.2 AS h FROM q),
-g AS (SELECT type, h, i, a - 3 * h + i * (z - a + 6 * h) / 40 AS at_ FROM b, range(0, 41) r(i)),
+g AS (SELECT type, h, i, a - 3 * h + i * (z - a + 6 * h) / 40 AS at_ FROM b, range(0, 41) r(i) WHERE h > 0),
 d AS (SELECT type, i, at_, avg(exp(-0.5 * ((at_ - metric) / h) ** 2) / (h * sqrt(2 * pi()))) AS density FROM j JOIN g USING (type) GROUP BY type, i, at_)
 SELECT type AS "Type", i::INT AS i, round(at_, 4) AS "at", round(density, 6) AS density, round(density / max(density) OVER (), 4) AS width FROM d""")
 def distribution_violin(spark, sf_dir):
