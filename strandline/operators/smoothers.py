@@ -201,6 +201,12 @@ def filtered(t: np.ndarray, n: np.ndarray, y: np.ndarray, ratios: np.ndarray, or
     return out, fit, log_det
 
 
+def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
+    """Between the two values around half of the weight, each of which stands in the middle of its own."""
+    by = np.argsort(values)
+    return float(np.interp(0.5, np.cumsum(weights[by]) - weights[by] / 2, values[by]))
+
+
 #: Prior variance of the polynomial's coefficients, relative to the noise.
 WIDE = 1e6
 
@@ -210,7 +216,7 @@ def wiener_process(k: int, pi=None, order: int = 2, locations=None, prior_sd: fl
 
     The process's scale relative to the noise is averaged by its posterior, with an exponential prior on the scale (median ``prior_sd``, if
     given): over the given ``scales``, or by a trapezoidal rule in the log of the scale around the largest posterior, whose step is halved until the
-    means change by less than ``tol`` of their range. The noise variance is the posterior median. The work grows with K, not with its square or cube.
+    means change by less than ``tol`` of their range, and the noise by less than a thousand times that. The noise variance is the posterior median. The work grows with K, not with its square or cube.
     """
     w, t = _weights(k, pi), np.linspace(0, 1, k) if locations is None else np.asarray(locations, float)
     by, t = np.argsort(t, kind="stable"), np.sort(t, kind="stable")
@@ -233,9 +239,7 @@ def wiener_process(k: int, pi=None, order: int = 2, locations=None, prior_sd: fl
     def averaged(logs: np.ndarray, means: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = np.exp(logs - logs.max(axis=0))
         p /= p.sum(axis=0)
-        order_of = np.argsort(noise, axis=0)
-        at = np.argmax(np.cumsum(np.take_along_axis(p, order_of, axis=0), axis=0) >= 0.5, axis=0)
-        return np.einsum("rd,rkd->kd", p, means), np.take_along_axis(noise, order_of, axis=0)[at, np.arange(noise.shape[1])]
+        return np.einsum("rd,rkd->kd", p, means), np.array([weighted_median(n, q) for n, q in zip(noise.T, p.T)])
 
     def smooth(m: Moments):
         if scales is not None:
@@ -248,9 +252,9 @@ def wiener_process(k: int, pi=None, order: int = 2, locations=None, prior_sd: fl
             mean, variance = averaged(logs, means, noise)
             for _ in range(8):
                 step /= 2
-                last = mean
+                last, last_variance = mean, variance
                 mean, variance = averaged(*posterior(m, 10.0 ** np.arange(low, high + step / 2, step)))
-                if np.abs(mean - last).max() <= tol * max(1e-300, np.ptp(mean)):
+                if np.abs(mean - last).max() <= tol * max(1e-300, np.ptp(mean)) and np.abs(variance / last_variance - 1).max() <= 1e3 * tol:
                     break
         back = np.empty_like(mean)
         back[by] = mean

@@ -119,7 +119,7 @@ def test_wiener_process(spark, data):
     ids, x = data
     t = np.linspace(0, 1, 10)
     base, wide = smoothers.wiener_covariance(t, 2), np.stack([np.ones(10), t], axis=1)
-    ratios = 10.0 ** np.arange(-3, 9, 0.25)
+    ratios = 10.0 ** np.arange(-6, 12.01, 0.05)
 
     def smooth(z, y):
         logs, means, noises = [], [], []
@@ -140,7 +140,7 @@ def test_wiener_process(spark, data):
         p = np.exp(np.array(logs) - max(logs))
         p /= p.sum()
         by = np.argsort(noises)
-        return p @ np.array(means), np.array(noises)[by][int(np.searchsorted(np.cumsum(p[by]), 0.5))]
+        return p @ np.array(means), np.interp(0.5, np.cumsum(p[by]) - p[by] / 2, np.array(noises)[by])
 
     got = {(round(r["location"] * 9), r["dimension"]): r["mean"] for r in QUERIES["wiener_threshold_em"](spark, SF).collect()}
     mu, _ = threshold_em(x, 10, smooth, lambda step: np.array([drawn(1, step, i) for i in ids]))
