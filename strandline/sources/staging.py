@@ -51,7 +51,7 @@ def tidied(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
 
 def tables_of(df: DataFrame) -> set[str]:
     """Names of the written tables that df reads."""
-    return {f.rsplit("/", 2)[1] for f in df.inputFiles() if "/strandline/" in f}
+    return {f.rsplit("/strandline/", 1)[1].split("/")[0] for f in df.inputFiles() if "/strandline/" in f}
 
 
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:

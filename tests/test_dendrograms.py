@@ -185,6 +185,13 @@ def test_tables_on_the_way_are_deleted(spark, tmp_path):
     got = staging.tidied(spark, build)
     assert len(names() - before) == 2 and got.count() == 3 and staging._scopes == []
 
+    def folder():
+        path = staging.shared_path(spark, "folder")
+        spark.range(4).write.parquet(f"{path}/part/deep")
+        return spark.read.parquet(f"{path}/part/deep")
+
+    assert staging.tidied(spark, folder).count() == 4  # tables inside a folder keep the folder
+
     def fails():
         staging.materialise(spark.range(5), "t")
         raise RuntimeError
