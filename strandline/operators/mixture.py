@@ -46,8 +46,6 @@ class Params:
     def cached(self) -> Params:
         """With inverses and log-determinants of the covariances; Collapsed if one isn't positive definite."""
         try:
-            if not np.isfinite(self.sigma).all():
-                raise np.linalg.LinAlgError
             low = np.linalg.cholesky(self.sigma)
         except np.linalg.LinAlgError:
             raise Collapsed("a covariance isn't positive definite: a component has collapsed") from None
@@ -399,7 +397,10 @@ def fit(data: DataFrame, start: Params, prior: Prior | None = None, model: str =
         stats = statistics(held, params, diagonal)
         trace: list[float] = []
         while True:
-            new = m_step(stats, params, prior, model, mean_update, cov_center).cached()
+            new = m_step(stats, params, prior, model, mean_update, cov_center)
+            if not np.isfinite(new.sigma).all():
+                raise Collapsed("a covariance isn't finite: a component has collapsed")
+            new = new.cached()
             stats = statistics(held, new, diagonal)
             trace.append(objective(stats.loglik_added, new.mu, prior, log_det))
             done = len(trace) > 1 and trace[-1] - trace[-2] < tol
