@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.matrices import columns_of
+from .routes import route
 from .sampling import sample_rows, sample_strata
-from .tours import method_named, open_path, path_length
+from .tours import method_named, path_length
 
 SAMPLE = 3_000
 
@@ -22,9 +23,11 @@ def candidate_losses(data: DataFrame, candidates: list[list[int]], method: str,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values("id", kind="stable")["y"])
-        return pd.DataFrame({"candidate": [pdf["candidate"].iloc[0]], "n": [len(x)], "loss": [path_length(x, open_path(x, method), normalise)]})
+        return pd.DataFrame({"candidate": [pdf["candidate"].iloc[0]], "n": [len(x)], "loss": [path_length(x, route(x, method), normalise)]})
 
-    by_group = rows.groupBy("candidate", "group").applyInPandas(run, "candidate int, n bigint, loss double")
+    # Given as a number: tours take time, not bytes, and Spark would join small partitions into one task.
+    tasks = max(16 * len(candidates), int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_group = rows.repartition(tasks, "candidate", "group").groupBy("candidate", "group").applyInPandas(run, "candidate int, n bigint, loss double")
     value = F.sum(F.col("loss") * F.col("n")) / F.sum("n") if weighted else F.avg("loss")
     return by_group.groupBy("candidate").agg(value.alias("loss"))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import routes, tours
+from strandline.operators import routes, selection, tours
 
 
 def tables():
@@ -31,3 +31,9 @@ def test_a_tour_takes_more_rows_than_a_table_of_distances(spark, method):
     n = tours.MOST + 1
     got = tours.tour(many(spark, n), method, group="grp").collect()
     assert sorted(r["id"] for r in got) == list(range(n)) and sorted(r["position"] for r in got) == list(range(1, n + 1))
+
+
+def test_selection_takes_more_rows_than_a_table_of_distances(spark):
+    rows = many(spark, tours.MOST + 1)
+    for got in (selection.forward_selection(rows), selection.forward_selection(rows, method="nn"), selection.grouped_forward_selection(rows, "grp", weighted=True)):
+        assert [r["step"] for r in got.orderBy("step").collect()] == [1, 2]
