@@ -100,6 +100,47 @@ def test_cells_leave_out_most_pairs_of_clustered_rows(spark):
     assert compared(spark, tight, 5) < 0.15 and compared(spark, tight, 5) < compared(spark, loose, 5) <= 1
 
 
+def test_planes_between_pivots_leave_out_cells_of_rows_without_clusters(spark):
+    assert compared(spark, np.random.default_rng(2).standard_normal((3000, 4)), 1) < 0.15
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_cells_within_reach_hold_all_rows_that_are_near_enough(weighted):
+    rng = np.random.default_rng(6)
+    for x in (rng.standard_normal((400, 3)) + 1e5, rng.integers(0, 4, (400, 2)).astype(float), rng.standard_normal((400, 2)) * np.array([1, 1e-9]), np.repeat(rng.standard_normal((20, 2)), 20, axis=0)):
+        pivots = np.unique(np.concatenate([x[::9], x[:4] + 1e-9]), axis=0)
+        low, high = cells.bounds(x, pivots)
+        cell = high.argmin(axis=1)
+        reach = np.array([np.sqrt(((x[cell == c] - p) ** 2).sum(axis=1)).max(initial=0) for c, p in enumerate(pivots)])
+        counts = np.bincount(cell, minlength=len(pivots))
+        dealt = cells.Cells(None, len(x), pivots, counts, counts, reach * (1 + cells.ROUNDING), counts, counts)
+        w = rng.uniform(1, 3, (len(x), len(pivots))) if weighted else np.ones((len(x), len(pivots)))
+        d = tours.distances(x) * w[:, cell]
+        u = np.sort(d, axis=1)[:, 7]
+        mask = dealt.within(low, high, u, w if weighted else None)
+        assert mask[np.arange(len(x))[:, None], cell][d <= u[:, None]].all()
+
+
+def test_last_merges_are_those_of_the_least_of_all_pairs():
+    """Sizes differ, and many heights are equal."""
+    rng = np.random.default_rng(4)
+    for x in (rng.standard_normal((90, 3)), rng.integers(0, 4, (80, 2)).astype(float), np.ones((1, 2))):
+        n = rng.integers(1, 5, len(x)).astype(float)
+        d, size, want = tours.distances(x) * np.sqrt(2 * n[:, None] * n / (n[:, None] + n)), n.copy(), []
+        np.fill_diagonal(d, np.inf)
+        for _ in range(len(x) - 1):
+            i, j = sorted(np.unravel_index(int(np.argmin(d)), d.shape))
+            h = d[i, j]
+            want.append((i, j, h))
+            with np.errstate(invalid="ignore"):
+                new = np.sqrt(np.maximum(0, ((size[i] + size) * d[i] ** 2 + (size[j] + size) * d[j] ** 2 - size * h**2) / (size[i] + size[j] + size)))
+            new[np.isinf(d[i]) | np.isinf(d[j])] = np.inf
+            d[i], d[:, i] = new, new
+            d[j], d[:, j] = np.inf, np.inf
+            size[i] += size[j]
+        assert list(linkage.ward_merges(x, n)) == want
+
+
 def test_climbing_sums_the_way_to_the_root(spark):
     links = [(0, 0, 0)] + [(k, k - 1, k) for k in range(1, 40)] + [(50, 50, 0)] + [(100 + k, 50, 7) for k in range(30)]
     got = {r["node"]: (r["up"], r["off"]) for r in graph.climbed(spark.createDataFrame(links, "node bigint, up bigint, off bigint")).collect()}
