@@ -37,3 +37,9 @@ def test_selection_takes_more_rows_than_a_table_of_distances(spark):
     rows = many(spark, tours.MOST + 1)
     for got in (selection.forward_selection(rows), selection.forward_selection(rows, method="nn"), selection.grouped_forward_selection(rows, "grp", weighted=True)):
         assert [r["step"] for r in got.orderBy("step").collect()] == [1, 2]
+
+
+def test_tours_of_groups_are_not_joined_into_one_task(spark):
+    rows = many(spark, 400).withColumn("grp", F.col("id") % 16)
+    got = tours.tour(rows, "nn", group="grp").withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 400 and len({r["task"] for r in got}) > 1
