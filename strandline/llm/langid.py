@@ -233,8 +233,8 @@ def identify(docs: DataFrame, max_per_lang: int = 400, families: dict[str, list[
     return got.select("doc_id", "held_out", "r.lang_pred", "r.score")
 
 
-def keep_identified(docs: DataFrame, langs: list[str] | None = None, min_score: float = 0.0, **options) -> DataFrame:
-    """The rows with a language (one of ``langs``, if given) of at least ``min_score``, with the same columns."""
+def keep_identified(docs: DataFrame, langs: list[str] | None = None, min_score: float = 0.0, into: str | None = None, **options) -> DataFrame:
+    """The rows with a language (one of ``langs``, if given) of at least ``min_score``, with the same columns; the column ``into``, if given, holds the language found."""
     held = remainder("doc_id", 3) == 1
     model = fit(docs.where(F.coalesce(~held, F.lit(True))), **options)
     name = spare(docs, "__lang")
@@ -242,4 +242,7 @@ def keep_identified(docs: DataFrame, langs: list[str] | None = None, min_score:
     want = (F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= min_score)
     if langs is not None:
         want &= F.col(name)["lang_pred"].isin(langs)
-    return got.where(want).select(*every_column(docs))
+    got = got.where(want)
+    if into is not None:
+        got = got.withColumn(into, F.col(name)["lang_pred"])
+    return got.select(*every_column(docs))

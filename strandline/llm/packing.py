@@ -153,8 +153,8 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in slots.items()}
 
 
-def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and the task and rank in the task among its pieces of that length."""
+def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, the task and rank in the task among its pieces of that length, and columns of the document named by ``carry``."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,18 +169,20 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | N
                     seen[length] += 1
                     owner.append(d)
             cols = np.array(rows, np.int64).reshape(-1, 5)
+            own = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, c]) for c in (1, 2, 3)), pa.array(np.full(len(cols), task, np.int32)), pa.array(cols[:, 4])],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"],
+                [batch.column(0).take(own), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, c]) for c in (1, 2, 3)), pa.array(np.full(len(cols), task, np.int32)), pa.array(cols[:, 4]), *(c.take(own) for c in batch.columns[2:])],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", *carry],
             )
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *[f"`{c}`" for c in carry]).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
-    table = materialise(pieces(docs, capacity, end_id, path), "pieces")
+def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece, and columns of its document named by ``carry``."""
+    table = materialise(pieces(docs, capacity, end_id, path, carry), "pieces")
     by_task = table.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
@@ -199,4 +201,4 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | Non
 
     ranked = table.join(before.select("length", "task", F.coalesce("before", F.lit(0)).alias("before")), ["length", "task"])
     placed = ranked.withColumn("p", place.asNondeterministic()(F.col("length"), F.col("rank") + F.col("before")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "p.sequence_id", "p.offset")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "p.sequence_id", "p.offset", *[f"`{c}`" for c in carry])
